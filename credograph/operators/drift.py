@@ -43,39 +43,46 @@ TARGET = {
     "review_reason": "string",
 }
 KIND = {str: 1, int: 2, float: 2, bool: 4, dict: 8, list: 16, type(None): 0}
-#: Of the trials that carry both fields, the share whose values have to agree for a rename.
+#: Of the values of trials that carry both fields, the share that has to agree for a rename.
 AGREE = 0.5
-#: Two truth values agree by chance: names without a common word need so many trials.
-CHANCE_TRIALS = 8
+#: Two truth values agree by chance: names without a common word need so many values.
+CHANCE_VALUES = 8
 
 
-def _digest(values: list[Any]) -> int | None:
-    """63 bits of the values' canonical JSON; none for what says nothing: null, blank, empty, or objects."""
-    if all(v is None or v == "" or v == [] or isinstance(v, (dict, list)) and any(isinstance(x, (dict, list)) for x in (v if isinstance(v, list) else [v])) for v in values):
-        return None
-    return int.from_bytes(hashlib.blake2b(json.dumps(values, sort_keys=True).encode(), digest_size=8).digest(), "big") >> 1
+#: Without a common trial, the share of the words of the smaller field that the other has to use as well.
+SHARED_WORDS = 0.25
+WORD = -1  #: position of a word's digest; the digest of a value has that of its element
 
 
-def inventory(record: dict[str, Any]) -> list[tuple[str, int, int | None, bool]]:
-    """Path, types (bits), digest and whether all values are true or false, of each field of a record."""
-    values: dict[str, list[Any]] = defaultdict(list)
-    stack: list[tuple[str, Any]] = [("", record)]
+def _hash(v: Any) -> int:
+    """63 bits of the canonical JSON."""
+    return int.from_bytes(hashlib.blake2b(json.dumps(v, sort_keys=True).encode(), digest_size=8).digest(), "big") >> 1
+
+
+def _digests(at: int, v: Any) -> set[tuple[int, int]]:
+    """Of a value that says something (not null, blank, empty, or made of objects), and of its words."""
+    if v is None or v == "" or isinstance(v, dict) or isinstance(v, list) and (not v or any(isinstance(x, (dict, list)) for x in v)):
+        return set()
+    words = re.findall(r"[^\W\d_]+", v.lower()) if isinstance(v, str) else []
+    return {(at, _hash(v)), *((WORD, _hash(w)) for w in words)}
+
+
+def inventory(record: dict[str, Any]) -> list[tuple[str, int, set[tuple[int, int]], bool]]:
+    """Path, types (bits), digests and whether all values are true or false, of each field of a record."""
+    kinds: dict[str, int] = defaultdict(int)
+    digests: dict[str, set[tuple[int, int]]] = defaultdict(set)
+    stack: list[tuple[str, Any, tuple[int, ...]]] = [("", record, ())]
     while stack:
-        path, v = stack.pop()
+        path, v, at = stack.pop()
         if isinstance(v, dict):
             for k in reversed(v):
                 p = f"{path}.{k}" if path else k
-                values[p].append(v[k])
-                stack.append((p, v[k]))
+                kinds[p] |= KIND[type(v[k])]
+                digests[p] |= _digests(_hash(at) if at else 0, v[k])
+                stack.append((p, v[k], at))
         elif isinstance(v, list):
-            stack.extend((f"{path}[]", x) for x in reversed(v) if isinstance(x, (dict, list)))
-    out = []
-    for p, vs in values.items():
-        kinds = 0
-        for v in vs:
-            kinds |= KIND[type(v)]
-        out.append((p.encode("utf-8", "replace").decode(), kinds, _digest(vs), kinds == KIND[bool]))
-    return out
+            stack.extend((f"{path}[]", x, (*at, i)) for i, x in enumerate(v) if isinstance(x, (dict, list)))
+    return [(p.encode("utf-8", "replace").decode(), k, digests[p], k == KIND[bool]) for p, k in kinds.items()]
 
 
 def _cast(v: Any, kind: str) -> tuple[Any, bool]:
@@ -146,7 +153,7 @@ def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = No
     kept = lines.select(*keep).schema
     types = {"json": "string"}
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{column_name(p)}` {types.get(t, t)}" for p, t in target.items()])
-    ddl += ", _rescued string, _fields array<struct<path: string, kinds: int, digest: bigint, flag: boolean>>, _trial string, _broken boolean"
+    ddl += ", _rescued string, _fields array<struct<path: string, kinds: int, digests: array<struct<at: bigint, digest: bigint>>, flag: boolean>>, _trial string, _broken boolean"
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
@@ -160,12 +167,12 @@ def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = No
                 else:
                     typed, rescued = enforce(record, target)
                     trial = re.sub(r"\D", "", str(record.get("nct_id") or ""))
-                    fields = [{"path": a, "kinds": k, "digest": d, "flag": f} for a, k, d, f in inventory(record)]
+                    fields = [{"path": a, "kinds": k, "digests": [{"at": x, "digest": y} for x, y in d], "flag": f} for a, k, d, f in inventory(record)]
                     row = [*typed, json.dumps(rescued) if rescued else None, fields, trial or None, False]
                 for column, x in zip(made, row):
                     column.append(x)
             kinds = [_arrow(types.get(t, t)) for t in target.values()]
-            kinds += [pa.string(), pa.list_(pa.struct([("path", pa.string()), ("kinds", pa.int32()), ("digest", pa.int64()), ("flag", pa.bool_())])), pa.string(), pa.bool_()]
+            kinds += [pa.string(), pa.list_(pa.struct([("path", pa.string()), ("kinds", pa.int32()), ("digests", pa.list_(pa.struct([("at", pa.int64()), ("digest", pa.int64())]))), ("flag", pa.bool_())])), pa.string(), pa.bool_()]
             names = [f.name for f in kept] + [column_name(p) for p in target] + ["_rescued", "_fields", "_trial", "_broken"]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(m, k) for m, k in zip(made, kinds)], names=names)
 
@@ -215,27 +222,27 @@ class _Level:
             self.children[parent][up[len(parent) :] + dot + key if dot else key] = p
 
 
-def diff(before: dict[str, int], after: dict[str, int], evidence: dict[tuple[str, str], tuple[int, int, bool]]) -> list[tuple[str, str, str]]:
-    """Field path, new path and kind of each topmost change; evidence: trials with both fields and with equal values."""
+def diff(before: dict[str, int], after: dict[str, int], evidence: dict[tuple[str, str], tuple[int, int, float, bool]]) -> list[tuple[str, str, str]]:
+    """Field path, new path and kind of each topmost change; evidence: values to compare, equal ones, shared words, all flags."""
     old, new = _Level(before), _Level(after)
     found: list[tuple[str, str, str]] = []
 
     def support(r: str, a: str) -> tuple[float, int] | None:
-        """Share and number of trials that speak for r going on as a."""
+        """Share and number of values that speak for r going on as a."""
         both = equal = 0
-        flags = True
-        for (x, y), (n, m, flag) in evidence.items():
+        words, flags = 0.0, True
+        for (x, y), (n, m, w, flag) in evidence.items():
             if x.startswith(r) and y.startswith(a) and x[len(r) :] == y[len(a) :] and x[len(r) : len(r) + 1] in ("", ".", "["):
-                both, equal, flags = both + n, equal + m, flags and flag
+                both, equal, words, flags = both + n, equal + m, max(words, w), flags and flag
         if before[r] and after[a] and not before[r] & after[a]:
             return None
         common = _words(r.rsplit(".", 1)[-1]) & _words(a.rsplit(".", 1)[-1])
         if not both:
             mine, other = _words(r.rsplit(".", 1)[-1]), _words(a.rsplit(".", 1)[-1])
-            return (0.0, 0) if common and len(common) >= 0.5 * len(mine | other) else None
+            return (words, 0) if words >= SHARED_WORDS or common and len(common) >= 0.5 * len(mine | other) else None
         if equal < AGREE * both or not equal:
             return None
-        if flags and not common and (equal < both or both < CHANCE_TRIALS):
+        if flags and not common and (equal < both or both < CHANCE_VALUES):
             return None
         return equal / both, equal
 
@@ -273,30 +280,38 @@ def changes(ingested: DataFrame, feed: str = "feed", file_no: str = "file_no") -
     parsable lines, or whose predecessor is missing, have no changes; null feeds and
     file numbers are left out; ties between candidates go to the smaller name.
     """
-    src = ingested.where(~F.col("_broken")).select(F.col(feed).alias("feed"), F.col(file_no).cast("long").alias("n"), "_trial", "_fields", "_broken").where("feed is not null and n is not null")
+    src = ingested.where(~F.col("_broken")).select(F.col(feed).alias("feed"), F.col(file_no).cast("long").alias("n"), "_trial", "_fields", "_broken").where("feed is not null and n is not null").persist()
     prof = profile(src, ["feed", "n"]).persist()
     cur, prev = prof.select("feed", "n", "path", "kinds"), prof.select("feed", (F.col("n") + 1).alias("n"), "path", "kinds")
     went = prev.join(cur, ["feed", "n", "path"], "left_anti").join(cur.select("feed", "n").distinct(), ["feed", "n"], "left_semi")
     came = cur.join(prev, ["feed", "n", "path"], "left_anti").join(prev.select("feed", "n").distinct(), ["feed", "n"], "left_semi")
-    values = src.where("_trial is not null").select("feed", "n", "_trial", F.explode("_fields").alias("f")).where("f.digest is not null").select("feed", "n", "_trial", F.col("f.path").alias("path"), F.col("f.digest").alias("digest"), F.col("f.flag").alias("flag"))
-    old = values.withColumn("n", F.col("n") + 1).join(went.select("feed", "n", "path"), ["feed", "n", "path"], "left_semi").distinct()
-    new = values.join(came.select("feed", "n", "path"), ["feed", "n", "path"], "left_semi").distinct()
-    old, new = old.withColumnRenamed("path", "old"), new.withColumnRenamed("path", "new")
-    at = ["feed", "n", "_trial"]
-    both = old.groupBy(*at, "old").agg(F.bool_and("flag").alias("flag")).join(new.groupBy(*at, "new").agg(F.lit(1).alias("one")), at).groupBy("feed", "n", "old", "new").agg(F.count("*").alias("both"), F.bool_and("flag").alias("flag"))
-    equal = old.select(*at, "old", "digest").join(new.select(*at, "new", "digest"), [*at, "digest"]).select("feed", "n", "old", "new", "_trial").distinct().groupBy("feed", "n", "old", "new").agg(F.count("*").alias("equal"))
-    pairs = both.join(equal, ["feed", "n", "old", "new"], "left")
+    values = src.select("feed", "n", "_trial", F.explode("_fields").alias("f")).select("feed", "n", "_trial", F.col("f.path").alias("path"), F.col("f.flag").alias("flag"), F.col("f.digests").alias("d"))
+
+    def of(side: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+        rows = side.join(keys.select("feed", "n", "path"), ["feed", "n", "path"], "left_semi")
+        return rows.select("feed", "n", "_trial", F.col("path").alias(name), "flag", F.inline("d")).distinct()
+
+    old, new = of(values.withColumn("n", F.col("n") + 1), went, "old"), of(values, came, "new")
+    one, other = old.where(f"at <> {WORD} and _trial is not null"), new.where(f"at <> {WORD} and _trial is not null")
+    key, at = ["feed", "n", "old", "new"], ["feed", "n", "_trial", "at"]
+    both = one.groupBy(*at, "old").agg(F.bool_and("flag").alias("flag")).join(other.select(*at, "new").distinct(), at).groupBy(key).agg(F.count("*").alias("both"), F.bool_and("flag").alias("flag"))
+    equal = one.drop("flag").join(other.drop("flag"), [*at, "digest"]).select(*key, "_trial", "at").distinct().groupBy(key).agg(F.count("*").alias("equal"))
+    words, terms = [x.where(f"at = {WORD}").select("feed", "n", c, "digest").distinct() for x, c in ((old, "old"), (new, "new"))]
+    n_old, n_new = words.groupBy("feed", "n", "old").agg(F.count("*").alias("n_old")), terms.groupBy("feed", "n", "new").agg(F.count("*").alias("n_new"))
+    shared = words.join(terms, ["feed", "n", "digest"]).groupBy(key).agg(F.count("*").alias("shared")).join(n_old, ["feed", "n", "old"]).join(n_new, ["feed", "n", "new"])
+    shared = shared.select(*key, (100 * F.col("shared") / F.least("n_old", "n_new")).cast("long").alias("words"))
+    pairs = both.join(equal, key, "left").join(shared, key, "full")
     # all that one comparison needs, as rows: fields before, fields after, and evidence
     rows = (
-        prev.select("feed", "n", F.lit("b").alias("side"), F.col("path").alias("p"), F.lit("").alias("q"), F.col("kinds").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(False).alias("flag"))
-        .unionByName(cur.select("feed", "n", F.lit("a").alias("side"), F.col("path").alias("p"), F.lit("").alias("q"), F.col("kinds").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(False).alias("flag")))
-        .unionByName(pairs.select("feed", "n", F.lit("e").alias("side"), F.col("old").alias("p"), F.col("new").alias("q"), F.col("both").alias("x"), F.coalesce("equal", F.lit(0)).cast("long").alias("y"), "flag"))
+        prev.select("feed", "n", F.lit("b").alias("side"), F.col("path").alias("p"), F.lit("").alias("q"), F.col("kinds").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), F.lit(False).alias("flag"))
+        .unionByName(cur.select("feed", "n", F.lit("a").alias("side"), F.col("path").alias("p"), F.lit("").alias("q"), F.col("kinds").cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).cast("long").alias("z"), F.lit(False).alias("flag")))
+        .unionByName(pairs.select("feed", "n", F.lit("e").alias("side"), F.col("old").alias("p"), F.col("new").alias("q"), F.coalesce("both", F.lit(0)).cast("long").alias("x"), F.coalesce("equal", F.lit(0)).cast("long").alias("y"), F.coalesce("words", F.lit(0)).cast("long").alias("z"), F.coalesce("flag", F.lit(False)).alias("flag")))
     )
 
     def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         before = {p: int(x) for p, x in pdf.loc[pdf.side == "b", ["p", "x"]].itertuples(index=False)}
         after = {p: int(x) for p, x in pdf.loc[pdf.side == "a", ["p", "x"]].itertuples(index=False)}
-        evidence = {(p, q): (int(x), int(y), bool(f)) for p, q, x, y, f in pdf.loc[pdf.side == "e", ["p", "q", "x", "y", "flag"]].itertuples(index=False)}
+        evidence = {(p, q): (int(x), int(y), int(z) / 100, bool(f)) for p, q, x, y, z, f in pdf.loc[pdf.side == "e", ["p", "q", "x", "y", "z", "flag"]].itertuples(index=False)}
         found = diff(before, after, evidence) if before and after else []
         return pd.DataFrame([(key[0], key[1], p, q, k) for p, q, k in sorted(found)], columns=["feed", "file_no", "field_path", "new_field_path", "change_kind"])
 
