@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from credograph.session import cut
+
 #: Fields of the target schema and their types; ``json`` keeps nested values as JSON text.
 TARGET = {
     "nct_id": "string",
@@ -281,7 +283,7 @@ def changes(ingested: DataFrame, feed: str = "feed", file_no: str = "file_no") -
     file numbers are left out; ties between candidates go to the smaller name.
     """
     src = ingested.where(~F.col("_broken")).select(F.col(feed).alias("feed"), F.col(file_no).cast("long").alias("n"), "_trial", "_fields", "_broken").where("feed is not null and n is not null").persist()
-    prof = profile(src, ["feed", "n"]).persist()
+    prof = cut(profile(src, ["feed", "n"]))
     cur, prev = prof.select("feed", "n", "path", "kinds"), prof.select("feed", (F.col("n") + 1).alias("n"), "path", "kinds")
     went = prev.join(cur, ["feed", "n", "path"], "left_anti").join(cur.select("feed", "n").distinct(), ["feed", "n"], "left_semi")
     came = cur.join(prev, ["feed", "n", "path"], "left_anti").join(prev.select("feed", "n").distinct(), ["feed", "n"], "left_semi")
@@ -291,7 +293,7 @@ def changes(ingested: DataFrame, feed: str = "feed", file_no: str = "file_no") -
         rows = side.join(keys.select("feed", "n", "path"), ["feed", "n", "path"], "left_semi")
         return rows.select("feed", "n", "_trial", F.col("path").alias(name), "flag", F.inline("d")).distinct()
 
-    old, new = of(values.withColumn("n", F.col("n") + 1), went, "old"), of(values, came, "new")
+    old, new = cut(of(values.withColumn("n", F.col("n") + 1), went, "old")), cut(of(values, came, "new"))
     one, other = old.where(f"at <> {WORD} and _trial is not null"), new.where(f"at <> {WORD} and _trial is not null")
     key, at = ["feed", "n", "old", "new"], ["feed", "n", "_trial", "at"]
     both = one.groupBy(*at, "old").agg(F.bool_and("flag").alias("flag")).join(other.select(*at, "new").distinct(), at).groupBy(key).agg(F.count("*").alias("both"), F.bool_and("flag").alias("flag"))
