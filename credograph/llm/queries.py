@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credograph.llm import canonical, components, frequency, splits
+from credograph.llm import canonical, components, containers, frequency, leaks, spam, splits
 from credograph.operators import packed
 from credograph.sources.tables import table
 
@@ -59,7 +59,20 @@ def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.join(p7_found(spark, sf_dir), "extraction_id", "left").select("extraction_id", F.coalesce("group_id", "extraction_id").alias("group_id"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers.assign(table(spark, sf_dir, "documents", "doc_id", "n_tokens", "text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "item_text")
+    return leaks.find(docs, items).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups}
 
 _COUNTS = r"""
 WITH toks AS (
