@@ -35,3 +35,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, ends the lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
+    """More partitions for work that is heavy on the CPU, where a small input comes in fewer than the cores can take.
+
+    Inputs that fill the cores already are left as they are, without a shuffle.
+    """
+    least = per_core * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= least else df.repartition(least, key)
