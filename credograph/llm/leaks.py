@@ -21,6 +21,8 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credograph.session import spread
+
 PASSAGE, STEP = 40, 20
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -257,6 +259,7 @@ def find(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> DataF
     held = items.select("item_id", "item_text").where("item_id is not null and trim(item_text) <> ''").limit(max_items + 1).collect()
     if len(held) > max_items:
         raise ValueError(f"more than {max_items} test items; search them in parts")
+    docs = spread(docs.select("doc_id", "text"), "doc_id")
     listed = [(r["item_id"], r["item_text"]) for r in held]
     df, n_docs = document_frequencies(docs, {w for _, text in listed for w in words(text)})
     shared = docs.sparkSession.sparkContext.broadcast((listed, df, n_docs))

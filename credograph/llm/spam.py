@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credograph.session import cut
+from credograph.session import cut, spread
 
 BLOCK_CHARS = 900
 #: Below so many characters a text is too short to tell.
@@ -136,7 +136,7 @@ def block_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in BLOCK_ROWS.split(", ")])
 
     lang = F.when(F.lower("lang").rlike("^[a-z]{2}$"), F.lower("lang")).otherwise("und")
-    return docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string")).mapInArrow(run, BLOCK_ROWS)
+    return spread(docs.select("doc_id", "text", "lang"), "doc_id").where("doc_id is not null").select(F.col("doc_id").cast("long"), lang.alias("lang"), F.col("text").cast("string")).mapInArrow(run, BLOCK_ROWS)
 
 
 def spam_share(docs: DataFrame) -> DataFrame:
