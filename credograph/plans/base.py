@@ -60,7 +60,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest classification of each trial."""
     c = table(spark, sf_dir, "classifications").where(F.col("nct_id").rlike(r"\d{8}"))
     last = F.max_by(F.struct("classification_id", "trial_outcome", "failure_modes", "confidence_overall", "operational_failure"), F.struct("classified_at", "classification_id"))
-    return c.groupBy(trial_digits(F.col("nct_id")).alias("trial_id")).agg(last.alias("v")).select("trial_id", F.coalesce(role(F.col("v.trial_outcome")), F.lit("unknown")).alias("trial_outcome"), F.col("v.failure_modes").getItem(0)["mode"].alias("mode"), F.col("v.confidence_overall").alias("confidence"), F.col("v.operational_failure").alias("operational"))
+    return c.groupBy(trial_digits(F.col("nct_id")).alias("trial_id")).agg(last.alias("v")).select("trial_id", F.coalesce(role(F.col("v.trial_outcome")), F.lit("unknown")).alias("trial_outcome"), F.get("v.failure_modes", F.lit(0))["mode"].alias("mode"), F.col("v.confidence_overall").alias("confidence"), F.col("v.operational_failure").alias("operational"))
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
