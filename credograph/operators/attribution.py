@@ -72,9 +72,10 @@ def responsibility(edges: DataFrame) -> DataFrame:
 
 def subset_pairs(arms: DataFrame) -> DataFrame:
     """Arms of one trial whose compounds are a strict subset of another's; ``gain`` is the outcome's change of grade."""
-    a, b = arms.alias("a"), arms.alias("b")
+    # joined on the smaller arm's first compound, so arms without a common compound never meet
+    a, b = arms.withColumn("key", F.col("compounds")[0]).alias("a"), arms.withColumn("key", F.explode("compounds")).alias("b")
     strict = (F.size("a.compounds") < F.size("b.compounds")) & (F.size(F.array_except("a.compounds", "b.compounds")) == 0)
-    x = a.join(b, F.col("a.trial_id") == F.col("b.trial_id")).where(strict)
+    x = a.join(b, (F.col("a.trial_id") == F.col("b.trial_id")) & (F.col("a.key") == F.col("b.key"))).where(strict)
     gain = F.col("b.grade") - F.col("a.grade")
     bucket = F.when(gain >= 2, "strong_support").when(gain == 1, "moderate_support").when(gain == 0, "ambiguous").when(gain == -1, "moderate_contradict").otherwise("strong_contradict")
     return x.select(F.col("a.trial_id").alias("trial_id"), F.col("a.arm_id").alias("base_arm"), F.col("b.arm_id").alias("combo_arm"), F.array_join(F.array_except("b.compounds", "a.compounds"), "+").alias("added"), bucket.alias("bucket"))

@@ -92,8 +92,11 @@ def attributed_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chains(spark, sf_dir).where("compound is not null and outcome in ('success', 'partial', 'failure')")
-    return c.select("trial_id", F.col("chain_id").alias("arm_id"), F.array_sort(F.array_distinct(F.split("compound", r" \+ "))).alias("compounds"), "outcome", _map({"failure": 0, "partial": 1, "success": 2}, F.col("outcome")).alias("grade"))
+    """Arms by condition: one for each set of compounds, with its best outcome."""
+    c = chains(spark, sf_dir).where("compound is not null and indication is not null and outcome in ('success', 'partial', 'failure')")
+    c = c.withColumns({"compounds": F.array_sort(F.array_distinct(F.split("compound", r" \+ | and | plus | with "))), "grade": _map({"failure": 0, "partial": 1, "success": 2}, F.col("outcome"))})
+    x = c.groupBy(F.col("indication").alias("trial_id"), "compounds").agg(F.min("chain_id").alias("arm_id"), F.max("grade").alias("grade"))
+    return x.withColumn("outcome", F.element_at(F.array(F.lit("failure"), F.lit("partial"), F.lit("success")), F.col("grade") + 1))
 
 
 def arm_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +205,8 @@ RT_SQL = f"""{CH_SQL}, rt AS (SELECT *, coalesce({STOP_SQL}, {_BRANCH}) AS branc
 ), xa AS (SELECT *, CASE WHEN sum(1 - r) OVER c > 0 THEN (1 - r) / sum(1 - r) OVER c ELSE 1.0 / count(*) OVER c END AS share, CASE outcome WHEN 'failure' THEN 0.2 ELSE 0.35 END::DOUBLE AS p FROM rb WHERE branch = 'unknown' AND outcome IN ('failure', 'partial') WINDOW c AS (PARTITION BY chain_id)
 ), rs0 AS (SELECT *, exp(sum(ln(greatest(r, 1e-12))) OVER (PARTITION BY chain_id)) AS m FROM rb WHERE branch IN ('efficacy', 'measurement') AND outcome <> 'success'
 ), rs AS (SELECT *, least(greatest((r - m) / (1 - m), 0.0), 1.0) AS p FROM rs0 WHERE 1 - m >= 1e-6)"""
-_ARMS = CH_SQL + r""", arms AS (SELECT trial_id, chain_id AS arm_id, list_sort(list_distinct(string_split(compound, ' + '))) AS compounds, outcome, CASE outcome WHEN 'failure' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END AS grade FROM ch WHERE compound IS NOT NULL AND outcome IN ('success', 'partial', 'failure')
+_ARMS = CH_SQL + r""", arm0 AS (SELECT indication AS trial_id, list_sort(list_distinct(string_split_regex(compound, ' \+ | and | plus | with '))) AS compounds, min(chain_id) AS arm_id, max(CASE outcome WHEN 'failure' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END) AS grade FROM ch WHERE compound IS NOT NULL AND indication IS NOT NULL AND outcome IN ('success', 'partial', 'failure') GROUP BY 1, 2
+), arms AS (SELECT *, CASE grade WHEN 0 THEN 'failure' WHEN 1 THEN 'partial' ELSE 'success' END AS outcome FROM arm0
 ), sp AS (SELECT a.trial_id, a.arm_id AS base_arm, b.arm_id AS combo_arm, array_to_string(list_filter(b.compounds, lambda x: NOT list_contains(a.compounds, x)), '+') AS added, CASE b.grade - a.grade WHEN 2 THEN 'strong_support' WHEN 1 THEN 'moderate_support' WHEN 0 THEN 'ambiguous' WHEN -1 THEN 'moderate_contradict' ELSE 'strong_contradict' END AS bucket
   FROM arms a JOIN arms b ON a.trial_id = b.trial_id WHERE len(a.compounds) < len(b.compounds) AND list_has_all(b.compounds, a.compounds))"""
 _AE = CH_SQL + """, cc AS (SELECT * FROM ch WHERE compound IS NOT NULL), nn AS (SELECT compound, count(*) AS n FROM cc GROUP BY 1
