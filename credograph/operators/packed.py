@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 JOIN_WORDS = {"and": "A", "plus": "P", "with": "W", "followed": "F", "by": "B", "combined": "C", "in": "I", "combination": "M"}
 #: Words that belong to a dose; a slash between two of them is no delimiter.
 UNIT_WORDS = ["mg", "mcg", "ug", "µg", "g", "kg", "ml", "l", "m", "iu", "day", "d", "week", "wk", "h", "hr", "dose", "bid", "qd"]
-TOKEN = r"\p{L}+|\p{Nd}+|\r?\n|[^\S\r\n]+|."
+#: ``n/a`` is a word.
+TOKEN = r"[nN]/[aA](?!\p{L})|\p{L}+|\p{Nd}+|\r?\n|[^\S\r\n]+|."
 #: Joining phrases as skeletons, longest first; ``~`` is any white space.
 PHRASES = ["I~M~W", "C~W", "F~B", "A", "P", "W"]
 CLOSING = {'"': '"', "“": "”", "'": "'", "‘": "’", "„": "“", "«": "»"}
