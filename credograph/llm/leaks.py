@@ -27,7 +27,7 @@ PASSAGE, STEP = 40, 20
 K1, B = 1.2, 0.75
 BLOCK = 8
 #: A passage has to score this share of the least that a run of RUN words of the item scores.
-SHARE, RUN = 0.55, 20
+SHARE, RUN = 0.65, 20
 #: An alignment's score: one for a word, one off for a word altered, lost or put in.
 SCORE, MATCHED = 13.0, 15
 #: Pairs of neighbouring words shared at about one offset that a passage has to have to be aligned:
@@ -77,9 +77,13 @@ class Index:
                 at[ws[j], ws[j + 1]].append(j)
             self.pairs.append(dict(at))
         shared = Counter(p for at in self.pairs for p in at)
-        self.own = {p for p, c in shared.items() if c <= max(2, OWN_SHARE * n)}
+        self.own: dict[tuple[str, str], list[int]] = {p: [] for p, c in shared.items() if c <= max(2, OWN_SHARE * n)}
+        for i, at in enumerate(self.pairs):
+            for p in at.keys() & self.own.keys():
+                self.own[p].append(i)
         self.need = [self._need(i) for i in range(len(items))]
         self.least = min(self.need, default=0.0)
+        self.least_own = OWN_PAIRS * min([1.0, *(len(ws) / RUN for ws in self.words)])
 
     def in_order(self, item: int, text: list[str]) -> bool:
         """Whether text and item share enough word pairs within two neighbouring bands of offsets."""
@@ -202,9 +206,18 @@ def leaked(index: Index, text: str) -> list[tuple[int, float, int]]:
     weights = [top.get(w, 0.0) for w in ws]
     if not ws or sum(weights) < index.least:
         return []
+    own = [0]  # how many word pairs up to here belong to hardly more than one item
+    for p in zip(ws, ws[1:]):
+        own.append(own[-1] + (p in index.own))
+    if own[-1] < index.least_own:
+        return []
     where: dict[int, list[int]] = defaultdict(list)
     for at in range(0, max(1, len(ws) - STEP), STEP):
-        if sum(weights[at : at + PASSAGE]) >= index.least:
+        a, b = max(0, at - STEP), min(len(own) - 1, at + PASSAGE + STEP)
+        if own[b] - own[a] >= index.least_own and sum(weights[at : at + PASSAGE]) >= index.least:
+            owners = Counter(i for p in zip(ws[a:b], ws[a + 1 : b + 1]) for i in index.own.get(p, ()))
+            if max(owners.values(), default=0) < index.least_own:
+                continue  # no item could be verified in this passage and its neighbours
             terms = {w for w in ws[at : at + PASSAGE] if w in top}
             if sum(top[t] for t in terms) >= index.least:
                 for item in index.search(terms):
