@@ -95,7 +95,22 @@ WITH RECURSIVE last AS (
 ), reach AS (SELECT a AS x, a AS y FROM edges UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a
 ), groups AS (SELECT x AS extraction_id, min(y) AS group_id FROM reach GROUP BY x)
 """
+_COMPONENTS = r"""
+WITH RECURSIVE k0 AS (
+  SELECT extraction_id, nullif(regexp_extract(nct_id, '(\d{8})', 1), '') AS t, trim(regexp_replace(lower(therapeutic_hypothesis.claimed_target), '\s+', ' ', 'g')) AS g FROM extractions
+), keyed AS (
+  SELECT extraction_id, CASE WHEN t IS NOT NULL THEN 'trial:' || t END AS a, CASE WHEN g <> '' AND g NOT IN ('unclear', 'unknown', 'n/a', 'not specified', '-', 'none', 'tbd', 'not reported') THEN 'target:' || g END AS b FROM k0
+), edges AS (SELECT DISTINCT a, b FROM keyed WHERE a IS NOT NULL AND b IS NOT NULL), links AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges
+), nodes AS (SELECT a AS node FROM keyed WHERE a IS NOT NULL UNION SELECT b FROM keyed WHERE b IS NOT NULL
+), lab(node, label) USING KEY (node) AS (
+  SELECT node, node FROM nodes
+  UNION
+  SELECT l.b, min(lab.label) FROM lab JOIN links l ON lab.node = l.a JOIN recurring.lab cur ON cur.node = l.b GROUP BY l.b HAVING min(lab.label) < min(cur.label)
+), rows AS (SELECT extraction_id, coalesce(lab.label, 'alone:' || extraction_id) AS label FROM keyed LEFT JOIN lab ON lab.node = coalesce(a, b)
+), sized AS (SELECT extraction_id, min(extraction_id) OVER w AS group_id, count(*) OVER w AS n FROM rows WINDOW w AS (PARTITION BY label))
+"""
 SQL = {
+    "p3_found": _COMPONENTS + "SELECT extraction_id, group_id FROM sized WHERE n > 1",
     "p2_found": _COUNTS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p2_counts": _COUNTS + "SELECT * FROM marked",
     "p7_found": _LINKS + "SELECT * FROM groups",
