@@ -18,9 +18,9 @@ BRANCHES = {
 }
 # Words of a stop reason; the first list that has one decides.
 STOP_WORDS = {
-    "veto": ["efficacy", "futility", "ineffective"],
-    "operational": ["accrual", "enrol", "recruit", "funding", "sponsor", "business", "drug supply", "strategic"],
-    "safety": ["safety", "toxicity", "adverse"],
+    "veto": ["futility", "futile", "efficac", "did not meet", "lack of response", "no benefit", "ineffective", "primary endpoint", "interim analysis", "insufficient response", "negative result"],
+    "operational": ["accrual", "enroll", "enrol", "recruit", "fund", "financ", "budget", "sponsor", "business", "commercial", "strateg", "portfolio", "prioriti", "supply", "manufactur", "administrativ", "merger", "reorganiz", "company", "discontinu", "logistic", "feasib", "covid", "pandemic"],
+    "safety": ["toxic", "adverse event", "tolerab", "unacceptable risk", "safety signal", "serious adverse"],
 }
 STOPPED = ["TERMINATED", "WITHDRAWN", "SUSPENDED"]
 # Observed probability of each outcome.
@@ -36,7 +36,7 @@ def branch_of(mode: Column) -> Column:
 
 def stop_override(status: Column, reason: Column) -> Column:
     """``operational``, ``safety`` or null (none, or efficacy, which can't be overridden)."""
-    r = F.lower(reason)
+    r = F.lower(reason)  # matched as parts of words
 
     def any_of(words: list[str]) -> Column:
         c = F.lit(False)

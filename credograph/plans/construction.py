@@ -13,7 +13,7 @@ from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
 # Prior bucket of each endpoint class.
-ENDPOINT_PRIORS = {"OS": "strong_support", "PFS": "moderate_support", "composite_survival": "moderate_support", "CR": "moderate_support", "ORR": "weak_support", "biomarker": "weak_support", "PRO": "ambiguous", "safety": "weak_contradict"}
+ENDPOINT_PRIORS = {"OS": "strong_support", "DFS": "moderate_support", "RFS": "moderate_support", "PFS": "moderate_support", "TTP": "moderate_support", "CR": "moderate_support", "DMFS": "weak_support", "DOR": "weak_support", "ORR": "weak_support", "safety": "weak_contradict"}
 PLURALS = [("ies$", "y"), ("omas$", "oma"), ("cers$", "cer"), ("tumors$", "tumor"), ("diseases$", "disease"), ("disorders$", "disorder")]
 CONTROLS = ["placebo", "saline", "sham", "vehicle", "standard of care", "best supportive care"]
 MERGED_TAU = 0.55
@@ -126,10 +126,11 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def database_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seed beliefs of edges that databases alone state: association score to bucket."""
-    x = table(spark, sf_dir, "evidence").where("source_type = 'database' and src_entity_id is not null and dst_entity_id is not null").groupBy("src_entity_id", "dst_entity_id").agg(F.max("quality_score").alias("s"))
-    bucket = F.when(F.col("s") >= 0.7, "strong_support").when(F.col("s") >= 0.4, "moderate_support").when(F.col("s") >= 0.1, "weak_support").otherwise("ambiguous")
-    n = B.N_EFF["database_ot_direct"]
+    """Seed beliefs of edges that databases state: association score to bucket, number of sources to weight."""
+    x = table(spark, sf_dir, "evidence").where("source_type = 'database' and src_entity_id is not null and dst_entity_id is not null").groupBy("src_entity_id", "dst_entity_id").agg(F.max("quality_score").alias("s"), F.count("*").alias("k"))
+    s = F.col("s")
+    bucket = F.when(s >= 0.75, "strong_support").when(s >= 0.5, "moderate_support").when(s >= 0.25, "weak_support").when(s >= 0.05, "ambiguous").when(s.isNotNull(), "weak_contradict").otherwise("ambiguous")
+    n = B.N_EFF["database_ot_direct"] * F.least(F.lit(1.0), F.greatest(F.lit(0.2), F.col("k") / 5))
     p = B.lookup(B.P_OBS, bucket)
     return x.select(F.col("src_entity_id").alias("src"), F.col("dst_entity_id").alias("dst"), bucket.alias("bucket"), F.round(1 + n * p, 6).alias("alpha"), F.round(1 + n * (1 - p), 6).alias("beta"))
 
@@ -173,6 +174,6 @@ SQL = {
     "overlap_gate": f"WITH {CH_SQL}, e AS (SELECT chain_id, year(annotated_at) AS y, src AS node FROM ce UNION SELECT chain_id, year(annotated_at), dst FROM ce), s AS (SELECT DISTINCT node, 1 AS seen FROM e WHERE y < 2024), p AS (SELECT chain_id, count(seen) AS k FROM e LEFT JOIN s USING (node) WHERE y >= 2024 GROUP BY 1) SELECT k, k >= 5 AS passes, count(*) AS chains FROM p GROUP BY 1, 2",
     "best_worst_trials": f"WITH {CH_SQL}, r AS (SELECT sponsor, outcome, trial_id, w, row_number() OVER (PARTITION BY sponsor, outcome ORDER BY w DESC NULLS LAST, trial_id DESC) AS k FROM ch WHERE sponsor IS NOT NULL AND outcome IN ('success', 'failure')) SELECT sponsor, outcome, trial_id, w FROM r WHERE k = 1",
     "seeded_sample": "SELECT nct_id, md5(nct_id || '#7') AS h FROM trials ORDER BY h LIMIT 20",
-    "database_priors": f"WITH s AS (SELECT src_entity_id AS src, dst_entity_id AS dst, max(quality_score) AS s FROM evidence WHERE source_type = 'database' AND src_entity_id IS NOT NULL AND dst_entity_id IS NOT NULL GROUP BY 1, 2), b AS (SELECT src, dst, CASE WHEN s >= 0.7 THEN 'strong_support' WHEN s >= 0.4 THEN 'moderate_support' WHEN s >= 0.1 THEN 'weak_support' ELSE 'ambiguous' END AS bucket FROM s) SELECT src, dst, bucket, round(1 + 12 * {_P.format('bucket')}, 6) AS alpha, round(1 + 12 * (1 - {_P.format('bucket')}), 6) AS beta FROM b",
+    "database_priors": f"WITH s AS (SELECT src_entity_id AS src, dst_entity_id AS dst, max(quality_score) AS s, count(*) AS k FROM evidence WHERE source_type = 'database' AND src_entity_id IS NOT NULL AND dst_entity_id IS NOT NULL GROUP BY 1, 2), b AS (SELECT src, dst, 12 * least(1.0, greatest(0.2, k / 5.0))::DOUBLE AS n, CASE WHEN s >= 0.75 THEN 'strong_support' WHEN s >= 0.5 THEN 'moderate_support' WHEN s >= 0.25 THEN 'weak_support' WHEN s >= 0.05 THEN 'ambiguous' WHEN s IS NOT NULL THEN 'weak_contradict' ELSE 'ambiguous' END AS bucket FROM s) SELECT src, dst, bucket, round(1 + n * {_P.format('bucket')}, 6) AS alpha, round(1 + n * (1 - {_P.format('bucket')}), 6) AS beta FROM b",
     "edge_maturity": f"WITH {EV_SQL}, t AS (SELECT dst, sum(n_records) AS n, round(max(p) - min(p), 6) AS spread FROM (SELECT *, round(alpha / (alpha + beta), 6) AS p FROM bel WHERE edge_type = 'affects') GROUP BY 1) SELECT CASE WHEN n >= 30 THEN 'mature' WHEN n >= 15 THEN 'middle' ELSE 'sparse' END AS band, count(*) AS targets, round(avg(spread), 6) AS spread FROM t GROUP BY 1",
 }
