@@ -4,7 +4,7 @@ The test items are the small side: their words make a BM25 inverted index whose
 come in blocks with the largest weight of each. Every passage of every text is a query;
 block-max WAND gives all items above a threshold while it skips blocks that can't reach
 it. An item found is verified by local alignment: enough of its words in running order,
-altered words and spelling allowed.
+altered words and spelling allowed, and enough of them said of this case alone.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,12 @@ SCORE, MATCHED = 13.0, 15
 #: Pairs of neighbouring words shared at about one offset that a passage has to have to be aligned:
 #: with five of twenty words altered, nine of nineteen pairs are still whole.
 PAIRS, BAND = 8, 8
-#: Of these so many that hardly any other item has: what is said of the case, not set phrases.
-OWN_PAIRS, OWN_SHARE = 4, 0.03
+#: What the alignment's words have to say of the case: each word counts by how little the other items
+#: lead one to expect it after the word before it (in nats; set phrases count nothing), words of the
+#: item that are altered or lost count against it. A word the items never have there has this chance.
+EVIDENCE, CHANCE = 36.0, 1e-3
+#: So many words of texts times words of items are scored in one pass.
+CELLS = 2_000_000
 #: So many test items are taken at most; the index goes to every task.
 MAX_ITEMS = 100_000
 
@@ -76,26 +81,62 @@ class Index:
             for j in range(len(ws) - 1):
                 at[ws[j], ws[j + 1]].append(j)
             self.pairs.append(dict(at))
-        shared = Counter(p for at in self.pairs for p in at)
-        self.own: dict[tuple[str, str], list[int]] = {p: [] for p, c in shared.items() if c <= max(2, OWN_SHARE * n)}
-        for i, at in enumerate(self.pairs):
-            for p in at.keys() & self.own.keys():
-                self.own[p].append(i)
+        told = {tuple(ws) for ws in self.words}  # an item given several times counts once
+        after = Counter(p for ws in told for p in zip(ws, ws[1:]))
+        first = Counter(w for ws in told for w in ws[:-1])
+        self.worth = [_worth(ws, after, first) for ws in self.words]
+        self.places: list[dict[str, list[int]]] = []
+        for ws in self.words:
+            places: dict[str, list[int]] = defaultdict(list)
+            for j, w in enumerate(ws):
+                places[w].append(j)
+            self.places.append(dict(places))
+        self.spelt: dict[str, list[str]] = {}
         self.need = [self._need(i) for i in range(len(items))]
         self.least = min(self.need, default=0.0)
-        self.least_own = OWN_PAIRS * min([1.0, *(len(ws) / RUN for ws in self.words)])
 
     def in_order(self, item: int, text: list[str]) -> bool:
         """Whether text and item share enough word pairs within two neighbouring bands of offsets."""
         bands: Counter[int] = Counter()
-        own: Counter[int] = Counter()
         at = self.pairs[item]
         for i, p in enumerate(zip(text, text[1:])):
             for j in at.get(p, ()):
                 bands[(i - j) // BAND] += 1
-                own[(i - j) // BAND] += p in self.own
         need = min(1.0, len(self.words[item]) / RUN)
-        return any(n + bands.get(k + 1, 0) >= PAIRS * need and own[k] + own.get(k + 1, 0) >= OWN_PAIRS * need for k, n in bands.items())
+        return any(n + bands.get(k + 1, 0) >= PAIRS * need for k, n in bands.items())
+
+    def like(self, item: int, w: str) -> list[str]:
+        """The item's words that w may stand for: itself, or else all of like spelling."""
+        held = self.places[item]
+        if w in held:
+            return [w]
+        if w not in self.spelt:
+            if len(self.spelt) >= 200_000:
+                self.spelt.clear()
+            self.spelt[w] = [x for x in self.top if (x[0] == w[0] or x[-1] == w[-1]) and near(w, x)]
+        return [x for x in self.spelt[w] if x in held]
+
+    def scores(self, found: list[tuple[int, list[str]]]) -> list[int]:
+        """The best local alignment's score of each item and text, all in one pass: what ``alignment`` gives, without its words."""
+        height, width = max(len(text) for _, text in found), max(len(self.words[i]) for i, _ in found)
+        same = np.full((height, len(found), width), -1, np.int8)
+        for n, (item, text) in enumerate(found):
+            held = self.places[item]
+            for i, w in enumerate(text):
+                for x in self.like(item, w):
+                    same[i, n, held[x]] = 1
+        at = np.arange(width, dtype=np.int16)
+        score = np.zeros((len(found), width + 1), np.int16)
+        best = np.zeros((len(found), width), np.int16)
+        for row in same:
+            x = np.maximum(score[:, :-1] + row, score[:, 1:] - 1)
+            np.maximum(x, 0, out=x)
+            x += at  # a word of the item left out costs one: the running maximum over the item
+            np.maximum.accumulate(x, axis=1, out=x)
+            x -= at
+            score[:, 1:] = x
+            np.maximum(best, x, out=best)
+        return best.max(axis=1).tolist()
 
     def _need(self, i: int) -> float:
         """The threshold of an item: a share of what its weakest run scores against it."""
@@ -171,32 +212,44 @@ def near(a: str, b: str) -> bool:
     return before[-1] <= k
 
 
+def _worth(ws: list[str], after: Counter[tuple[str, str]], first: Counter[str]) -> list[float]:
+    """How little each word is to be expected after the one before it, by what the other items say (nats)."""
+    own, own_first = Counter(zip(ws, ws[1:])), Counter(ws[:-1])
+    return [-math.log(CHANCE)] * bool(ws) + [-math.log((after[p] - own[p] + CHANCE) / (first[p[0]] - own_first[p[0]] + 1)) for p in zip(ws, ws[1:])]
+
+
 def aligned(text: list[str], item: list[str]) -> tuple[float, int]:
     """Score and matched words of the best local alignment."""
     spelt = set(item)
     same: dict[str, set[str]] = {w: {w} if w in spelt else {x for x in spelt if x[0] == w[0] or x[-1] == w[-1] if near(w, x)} for w in set(text)}
-    best, matched = 0.0, 0
-    score, count = [0.0] * (len(item) + 1), [0] * (len(item) + 1)
+    return alignment(text, item, same, [0.0] * len(item))[:2]
+
+
+def alignment(text: list[str], item: list[str], same: dict[str, set[str]], worth: list[float]) -> tuple[float, int, float]:
+    """Score, matched words and evidence of the best local alignment; ``same``: what each word of the text may stand for."""
+    best, matched, evidence = 0.0, 0, 0.0
+    score, count, told = [0.0] * (len(item) + 1), [0] * (len(item) + 1), [0.0] * (len(item) + 1)
     for w in text:
         hits = same[w]
-        last_s, last_c = score, count
-        score, count = [0.0], [0]
+        last_s, last_c, last_e = score, count, told
+        score, count, told = [0.0], [0], [0.0]
         for j, x in enumerate(item, 1):
             if x in hits:
-                s, c = last_s[j - 1] + 1, last_c[j - 1] + 1
+                s, c, e = last_s[j - 1] + 1, last_c[j - 1] + 1, last_e[j - 1] + worth[j - 1]
             else:
-                s, c = last_s[j - 1] - 1, last_c[j - 1]
+                s, c, e = last_s[j - 1] - 1, last_c[j - 1], last_e[j - 1] - worth[j - 1]
             if last_s[j] - 1 > s:
-                s, c = last_s[j] - 1, last_c[j]
+                s, c, e = last_s[j] - 1, last_c[j], last_e[j]
             if score[j - 1] - 1 > s:
-                s, c = score[j - 1] - 1, count[j - 1]
+                s, c, e = score[j - 1] - 1, count[j - 1], told[j - 1] - worth[j - 1]
             if s <= 0:
-                s, c = 0.0, 0
+                s, c, e = 0.0, 0, 0.0
             score.append(s)
             count.append(c)
+            told.append(e)
             if s > best:
-                best, matched = s, c
-    return best, matched
+                best, matched, evidence = s, c, e
+    return best, matched, evidence
 
 
 def leaked(index: Index, text: str) -> list[tuple[int, float, int]]:
@@ -206,36 +259,34 @@ def leaked(index: Index, text: str) -> list[tuple[int, float, int]]:
     weights = [top.get(w, 0.0) for w in ws]
     if not ws or sum(weights) < index.least:
         return []
-    own = [0]  # how many word pairs up to here belong to hardly more than one item
-    for p in zip(ws, ws[1:]):
-        own.append(own[-1] + (p in index.own))
-    if own[-1] < index.least_own:
-        return []
     where: dict[int, list[int]] = defaultdict(list)
     for at in range(0, max(1, len(ws) - STEP), STEP):
-        a, b = max(0, at - STEP), min(len(own) - 1, at + PASSAGE + STEP)
-        if own[b] - own[a] >= index.least_own and sum(weights[at : at + PASSAGE]) >= index.least:
-            owners = Counter(i for p in zip(ws[a:b], ws[a + 1 : b + 1]) for i in index.own.get(p, ()))
-            if max(owners.values(), default=0) < index.least_own:
-                continue  # no item could be verified in this passage and its neighbours
+        if sum(weights[at : at + PASSAGE]) >= index.least:
             terms = {w for w in ws[at : at + PASSAGE] if w in top}
             if sum(top[t] for t in terms) >= index.least:
                 for item in index.search(terms):
                     where[item].append(at)
-    out = []
+    found: list[tuple[int, list[str]]] = []
     for item, ats in where.items():
         spans: list[list[int]] = []  # neighbouring passages are aligned as one
-        reach = len(index.words[item])
         for at in ats:
             if spans and at <= spans[-1][1]:
                 spans[-1][1] = at + PASSAGE + STEP
             else:
                 spans.append([max(0, at - STEP), at + PASSAGE + STEP])
-        need = min(1.0, reach / RUN)  # items shorter than a run have to be there as a whole
-        best = max((aligned(ws[a:b], index.words[item]) for a, b in spans if index.in_order(item, ws[a:b])), default=(0.0, 0))
-        if best[0] >= SCORE * need and best[1] >= MATCHED * need:
-            out.append((index.ids[item], *best))
-    return out
+        found.extend((item, ws[a:b]) for a, b in spans if index.in_order(item, ws[a:b]))
+    verified: dict[int, tuple[float, int]] = {}
+    found.sort(key=lambda x: len(x[1]))  # of like length together
+    while found:
+        size = max(1, CELLS // (len(found[-1][1]) * max(len(index.words[i]) for i, _ in found)))
+        part, found = found[-size:], found[:-size]
+        for (item, text), score in zip(part, index.scores(part)):
+            need = min(1.0, len(index.words[item]) / RUN)  # items shorter than a run have to be there as a whole
+            if score >= SCORE * need:
+                best, matched, evidence = alignment(text, index.words[item], {w: set(index.like(item, w)) for w in set(text)}, index.worth[item])
+                if matched >= MATCHED * need and evidence >= EVIDENCE * need:
+                    verified[item] = max(verified.get(item, (0.0, 0)), (best, matched))
+    return [(index.ids[item], *hit) for item, hit in verified.items()]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:

@@ -61,3 +61,38 @@ def test_alignment():
 
 def test_words():
     assert leaks.words("The <b>inflam-\nmation</b> wasn’t &amp; Café 1:20") == ["the", "inflammation", "wasnt", "and", "cafe", "1", "20"]
+
+
+def case(k: int) -> str:
+    """Three set phrases about case k; facts repeat among the cases, as in the test items."""
+    r = random.Random(k)
+    n, of = lambda: r.randrange(900), lambda *xs: r.choice(xs)
+    towns, jobs = ("arlby", "corvale", "varnes", "talmouth", "ormville", "pellham"), ("farmer", "clerk", "welder", "baker", "tailor")
+    tests, signs = ("ferritin", "lactate", "sodium", "troponin", "albumin"), ("tremor", "jaundice", "itching", "dizziness", "palpitations")
+    return (
+        f"A {of('pale', 'restless', 'anxious')} {20 + n() % 50}-year-old {of(*jobs)} from {of(*towns)} noticed {of(*signs)} {n() % 40} days after {of('selling', 'restoring', 'moving')} a {of('colleague', 'neighbour', 'twin')}'s {of('kiln', 'beehive', 'aquarium')}. "
+        f"Imaging in {of(*towns)} found a {of(*tests)} of {n()} beside signs of {of('apoptosis', 'fibrosis', 'angiogenesis')} and {of(*signs)} returned within {n() % 90} hours. "
+        f"Stopping {of('selling', 'restoring', 'moving')} the {of('kiln', 'beehive', 'aquarium')} in {of(*towns)} changed a {of(*tests)} of {n()} to a {of(*tests)} of {n()} by visit {n() % 20}."
+    )
+
+
+CASES = [(k, case(k)) for k in range(200)]
+
+
+def search(items, text):
+    df = {w: 5 for _, t in items for w in leaks.words(t)}
+    return {i for i, _, _ in leaks.leaked(leaks.Index(items, df, 1000), text)}
+
+
+def test_thinly_altered_run_is_found_but_no_similar_case():
+    for k in range(0, 40):
+        ws = leaks.words(CASES[k][1])[:36]
+        for at in (4, 11, 17, 25):  # the age's neighbour, and facts of either phrase
+            ws[at] = "given"
+        assert search(CASES, f"{FILLER} {' '.join(ws)} {FILLER}") == {k}
+        assert search(CASES, f"{FILLER} {case(1000 + k)} {FILLER}") == set()
+
+
+def test_item_given_three_times():
+    items = ITEMS + [(i, ITEMS[3][1]) for i in (103, 203)]
+    assert search(items, DOCS[1]) == {3, 103, 203}
