@@ -96,3 +96,25 @@ def test_thinly_altered_run_is_found_but_no_similar_case():
 def test_item_given_three_times():
     items = ITEMS + [(i, ITEMS[3][1]) for i in (103, 203)]
     assert search(items, DOCS[1]) == {3, 103, 203}
+
+
+def test_every_passage_that_can_score_is_a_query(monkeypatch):
+    """A passage without a single word pair of an item is searched too: gates on pairs would skip it."""
+    asked = []
+    search = leaks.Index.search
+    monkeypatch.setattr(leaks.Index, "search", lambda self, terms: asked.append(terms) or search(self, terms))
+    index = leaks.Index(ITEMS, {w: 3 for _, t in ITEMS for w in leaks.words(t)}, 1000)
+    nouns = sorted({w for w in leaks.words(ITEMS[4][1]) if w in NOUNS})
+    assert leaks.leaked(index, " zz ".join(nouns[:20])) == []
+    assert asked and index.ids.index(4) in search(index, asked[0])
+
+
+def test_threshold_of_a_passage():
+    """Runs of which five words of twenty are altered reach the threshold, or all but."""
+    index = leaks.Index(CASES, {w: 5 for _, t in CASES for w in leaks.words(t)}, 1000)
+    for i, ws in enumerate(index.words):
+        own = {w: index.weights[w][index.items[w].index(i)] for w in set(ws)}
+        for k in range(len(ws) - leaks.RUN + 1):
+            altered = random.Random(k).sample(range(leaks.RUN), 5)
+            kept = {w for n, w in enumerate(ws[k : k + leaks.RUN]) if n not in altered}
+            assert sum(own[w] for w in kept) >= 0.95 * index.need[i]
