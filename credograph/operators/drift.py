@@ -3,7 +3,8 @@
 ``ingest`` enforces a target schema on raw JSON lines; whatever is unknown or can't be
 cast is kept as JSON in ``_rescued``, and each record's fields are listed with their
 types and a digest of their values. ``promote`` replays rescued values into new typed
-columns. ``changes`` compares each file of a feed with the one before it; a rename is
+columns; ``replay`` does so for every change that ``changes`` found, renamed or retyped,
+nested or in arrays. ``changes`` compares each file of a feed with the one before it; a rename is
 told from an addition by replaying the values of trials that both files export.
 """
 
@@ -14,6 +15,7 @@ import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import repeat
 from typing import Any
 
 import pandas as pd
@@ -44,6 +46,11 @@ TARGET = {
     "needs_expert_review": "boolean",
     "review_reason": "string",
 }
+#: What is enforced where changes are replayed: fields of array elements too, after the array they are in.
+REPLAYED = {**TARGET, "failure_modes[].mode": "array<string>", "registry_phase": "string"}
+#: In an object that took the place of a single value, the keys that hold the value.
+VALUE_KEYS = ("met", "code", "raw", "exact", "enrolled", "description", "value", "name")
+TRUTH = {"true": True, "yes": True, "y": True, "1": True, "false": False, "no": False, "n": False, "0": False}
 KIND = {str: 1, int: 2, float: 2, bool: 4, dict: 8, list: 16, type(None): 0}
 #: Of the values of trials that carry both fields, the share that has to agree for a rename.
 AGREE = 0.5
@@ -129,8 +136,153 @@ def enforce(record: dict[str, Any], target: dict[str, str]) -> tuple[list[Any],
     return [typed.get(p) for p in target], rescued
 
 
+def recast(v: Any, kind: str) -> Any:
+    """A value of another shape in the target's type, or None: wrapped, listed, quoted or coded values."""
+    value, ok = _cast(v, kind)
+    if ok:
+        return value
+    if kind == "array<string>":
+        if isinstance(v, list):
+            return [recast(x, "string") for x in v]
+        text = recast(v, "string")
+        return None if text is None else [x for x in (x.strip() for x in re.split(r"[;\n]", text)) if x]
+    if isinstance(v, dict):
+        for k in VALUE_KEYS:
+            if k in v:
+                return recast(v[k], kind)
+        parts = [recast(x, "string") for x in v.values() if not isinstance(x, (dict, list))]
+        return " ".join(x for x in parts if x and x.strip()) or None if kind == "string" else None
+    if isinstance(v, list):
+        parts = [x for x in v if x is not None]
+        if len(parts) == 1:
+            return recast(parts[0], kind)
+        return "; ".join(x for x in (recast(x, "string") for x in parts) if x) or None if kind == "string" else None
+    if kind == "string":
+        return json.dumps(v)
+    if kind == "boolean":
+        return TRUTH.get((v if isinstance(v, str) else json.dumps(v)).strip().lower()) if v not in (0.0, 1.0) else v == 1
+    if isinstance(v, str) and re.fullmatch(r"\s*[-+]?\d+(\.\d+)?([eE][-+]?\d+)?\s*", v):
+        return _cast(int(v) if re.fullmatch(r"\s*[-+]?\d+\s*", v) else float(v), kind)[0]
+    return None
+
+
+class Names:
+    """What the fields of each file are called in the target, by the renames that ``changes`` found.
+
+    A field keeps its identity through the renames of a feed, forwards and backwards; it
+    is the target's field whose name it bears in any file. A name that no rename of its
+    own feed explains means what it means in other feeds, if they agree.
+    """
+
+    def __init__(self, found: list[tuple[str, int, str, str, str]], target: dict[str, str]):
+        known = {p[:i] for p in target for i in range(1, len(p) + 1) if i == len(p) or p[i] in ".["}
+        self.spans: dict[str, list[tuple[str, float, float, str]]] = defaultdict(list)
+        meanings: dict[str, set[str]] = defaultdict(set)
+        by_feed: dict[str, list[tuple[int, str, str, str]]] = defaultdict(list)
+        for feed, n, old, new, kind in found:
+            by_feed[feed].append((n, old, new, kind))
+        for feed, rows in by_feed.items():
+            live: dict[str, tuple[str, float]] = {}  # path: its origin, and the file since when
+            spans: list[tuple[str, float, float, str]] = []
+            bore: dict[str, list[str]] = defaultdict(list)
+            rank = {"removed": 0, "renamed": 1, "added": 2, "retyped": 3}
+            for n, old, new, kind in sorted(rows, key=lambda x: (x[0], rank[x[3]], x[1].count("."), x[1])):
+                if kind in ("renamed", "removed"):
+                    origin, since = live.pop(old, (_resolve(old, live), float("-inf")))
+                    spans.append((old, since, n, origin))
+                    bore[origin].append(old)
+                    for k in [k for k in live if k.startswith((old + ".", old + "["))]:
+                        below, since = live.pop(k)
+                        spans.append((k, since, n, below))
+                        if kind == "renamed":
+                            live[new + k[len(old) :]] = (below, n)
+                            bore[below].append(new + k[len(old) :])
+                    if kind == "renamed":
+                        live[new] = (origin, n)
+                        bore[origin].append(new)
+                elif kind == "added":
+                    live[new] = (new, n)
+            spans += [(k, since, float("inf"), origin) for k, (origin, since) in live.items()]
+            means = {o: next((x for x in (o, *names) if x in known), None) for o, names in bore.items()}
+            for path, since, until, origin in spans:
+                if (goal := means.get(origin)) and goal != path:
+                    self.spans[feed].append((path, since, until, goal))
+                    if path not in known:
+                        meanings[path].add(goal)
+        self.elsewhere = {p: min(m) for p, m in meanings.items() if len(m) == 1}
+        self.held: dict[tuple[str, int], dict[str, str]] = {}
+
+    def of(self, feed: str | None, n: int | None) -> dict[str, str]:
+        if (feed, n) not in self.held:
+            own = {} if feed is None or n is None else {p: t for p, since, until, t in self.spans.get(feed, []) if since <= n < until}
+            self.held[feed, n] = {**self.elsewhere, **own}
+        return self.held[feed, n]
+
+
+def _resolve(path: str, live: dict[str, tuple[str, float]]) -> str:
+    """The path with its parents called as they were when they first came."""
+    up, dot, key = path.rpartition(".")
+    if path in live:
+        return live[path][0]
+    parent = re.sub(r"(\[\])+$", "", up)
+    return _resolve(parent, live) + up[len(parent) :] + dot + key if dot else path
+
+
+def replay(record: dict[str, Any], target: dict[str, str], names: dict[str, str]) -> tuple[list[Any], dict[str, Any]]:
+    """As ``enforce``, with every field under the target's name and in its type.
+
+    Of several fields that mean one, that of the target's own name goes first; values that
+    had to be cast from another shape stay rescued as they were, beside the typed value.
+    """
+    found: dict[str, list[tuple[bool, str, Any]]] = defaultdict(list)
+    rescued: dict[str, Any] = {}
+    prefixes = {p[:i] for p in target for i, c in enumerate(p) if c == "."}
+    stack: list[tuple[str, str, Any]] = [("", "", record)]
+    while stack:
+        path, name, v = stack.pop()
+        if name in target:
+            found[name].append((path != name, path, v))
+        elif isinstance(v, dict) and (not name or name in prefixes):
+            for k, x in v.items():
+                below = f"{path}.{k}" if path else k
+                stack.append((below, names.get(below) or (f"{name}.{k}" if name else k), x))
+        elif v is not None:
+            rescued[path] = v
+    typed: dict[str, Any] = {}
+    for name, kind in target.items():
+        for _, path, v in sorted(found.get(name, ()), key=lambda x: x[:2]):
+            if kind == "json":
+                v = _renamed(v, path, name, names)
+            value, ok = _cast(v, kind)
+            value = value if ok else recast(v, kind)
+            if v is not None and (not ok or typed.get(name) is not None):
+                rescued[path] = v
+            if typed.get(name) is None:
+                typed[name] = value
+                for inner in (t for t in target if t.startswith(name + "[].") and kind == "json" and isinstance(v, list)):
+                    typed[inner] = [recast(x.get(inner[len(name) + 3 :]), "string") if isinstance(x, dict) else recast(x, "string") for x in v]
+    return [typed.get(p) for p in target], rescued
+
+
+def _renamed(v: Any, path: str, name: str, names: dict[str, str]) -> Any:
+    """A nested value with its keys called as in the target."""
+    if isinstance(v, list):
+        return [_renamed(x, f"{path}[]", f"{name}[]", names) for x in v]
+    if not isinstance(v, dict):
+        return v
+    out: dict[str, Any] = {}
+    for k, x in v.items():
+        below = f"{path}.{k}"
+        goal = names.get(below, "")
+        key = goal[len(name) + 1 :] if goal.startswith(name + ".") and "." not in goal[len(name) + 1 :] else k
+        if key != k and (key in v or key in out):
+            key = k
+        out[key] = _renamed(x, below, f"{name}.{key}", names)
+    return out
+
+
 def column_name(path: str) -> str:
-    return path.replace(".", "__")
+    return path.replace("[]", "").replace(".", "__")
 
 
 def parse(payload: Any) -> dict[str, Any] | None:
@@ -144,12 +296,13 @@ def parse(payload: Any) -> dict[str, Any] | None:
     return x if isinstance(x, dict) else None
 
 
-def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = None, payload: str = "payload") -> DataFrame:
+def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = None, payload: str = "payload", names: Names | None = None, file: tuple[str, str] = ("feed", "file_no")) -> DataFrame:
     """``keep`` columns, the target's columns, ``_rescued`` (JSON by path), ``_fields`` and ``_trial``.
 
     Broken, null and empty lines come with ``_broken`` true and all else null, so that no
     line is lost; repeated lines stay repeated. Columns of ``lines`` that are not in
-    ``keep`` are not read; names beginning with ``_`` are reserved.
+    ``keep`` are not read; names beginning with ``_`` are reserved. With ``names`` fields
+    are replayed under the target's names; ``file``, the feed and file number, has to be in ``keep``.
     """
     target = TARGET if target is None else target
     kept = lines.select(*keep).schema
@@ -162,12 +315,13 @@ def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = No
 
         for b in batches:
             made: list[list[Any]] = [[] for _ in range(len(target) + 4)]
-            for p in b.column(len(keep)).to_pylist():
+            files = zip(*(b.column(keep.index(c)).to_pylist() for c in file)) if names else repeat((None, None))
+            for p, (feed, n) in zip(b.column(len(keep)).to_pylist(), files):
                 record = parse(p)
                 if record is None:
                     row = [None] * (len(target) + 3) + [True]
                 else:
-                    typed, rescued = enforce(record, target)
+                    typed, rescued = replay(record, target, names.of(feed, n)) if names else enforce(record, target)
                     trial = re.sub(r"\D", "", str(record.get("nct_id") or ""))
                     fields = [{"path": a, "kinds": k, "digests": [{"at": x, "digest": y} for x, y in d], "flag": f} for a, k, d, f in inventory(record)]
                     row = [*typed, json.dumps(rescued) if rescued else None, fields, trial or None, False]
@@ -175,8 +329,8 @@ def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = No
                     column.append(x)
             kinds = [_arrow(types.get(t, t)) for t in target.values()]
             kinds += [pa.string(), pa.list_(pa.struct([("path", pa.string()), ("kinds", pa.int32()), ("digests", pa.list_(pa.struct([("at", pa.int64()), ("digest", pa.int64())]))), ("flag", pa.bool_())])), pa.string(), pa.bool_()]
-            names = [f.name for f in kept] + [column_name(p) for p in target] + ["_rescued", "_fields", "_trial", "_broken"]
-            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(m, k) for m, k in zip(made, kinds)], names=names)
+            columns = [f.name for f in kept] + [column_name(p) for p in target] + ["_rescued", "_fields", "_trial", "_broken"]
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(m, k) for m, k in zip(made, kinds)], names=columns)
 
     return lines.select(*keep, F.col(payload)).mapInArrow(run, ddl)
 

@@ -14,11 +14,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One consistent table of all records, with renamed outcome fields replayed from the rescue column."""
-    lines = table(spark, sf_dir, "feed_lines", "line_id", "feed", "file_no", "line_no", "payload")
-    out = drift.ingest(lines, ["line_id", "feed", "file_no", "line_no"])
-    out = drift.promote(out, {"trial_outcome": ("trial_result", "string"), "results__primary_endpoint_met": ("results.endpoint_met", "boolean"), "registry_phase": ("registry_phase", "string")})
-    return out.drop("_fields", "_trial")
+    """One consistent table of all records: every rename and retype that p1_found reports is replayed.
+
+    The changes are gathered in the driver; they are bounded by files and fields, not by lines.
+    """
+    keep = ["line_id", "feed", "file_no", "line_no"]
+    lines = table(spark, sf_dir, "feed_lines", *keep, "payload")
+    found = drift.changes(drift.ingest(lines, ["feed", "file_no"])).distinct().collect()
+    names = drift.Names([tuple(r) for r in found], drift.REPLAYED)
+    return drift.ingest(lines, keep, drift.REPLAYED, names=names).drop("_fields", "_trial")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,34 @@ def test_rescue_and_replay(spark):
 @pytest.mark.parametrize("v,kind,want", [(1, "double", 1.0), (True, "double", None), (10**400, "double", None), (1.5, "long", None), (2.0, "long", 2), (float("nan"), "long", None), ("x", "boolean", None), (["a"], "array<string>", ["a"]), ([1], "array<string>", None), ({"a": 1}, "json", '{"a": 1}')])
 def test_cast(v, kind, want):
     assert drift._cast(v, kind) == (want, want is not None)
+
+
+def test_replay_of_changes(spark):
+    """Renames of all kinds, nested, in arrays, of parents, forwards and backwards, and retyped values."""
+
+    def file(n):
+        out = []
+        for i in range(12):
+            met, outcome, mode = i % 3 == 0, ["success", "failure", "partial"][i % 3], ["underpowered", "wrong_target"][i % 2]
+            key, name, inner = (("primary_endpoint_met", "outcome", "mode"), ("endpoint_reached", "trial_outcome", "why_failed"), ("endpoint_reached", "verdict", "why_failed"))[n]
+            design = "context" if n < 2 else "design"
+            out.append({"nct_id": f"NCT{i:08d}", "results": {key: met if n < 2 else {"met": met}}, name: outcome if n < 2 else [outcome], "failure_modes": [{inner: mode, "evidence": f"e{i}"}], design: {"sample_size": i if n < 2 else str(i)}})
+        return out
+
+    rows = [("f", n + 1, json.dumps(r)) for n in range(3) for r in file(n)] + [("g", 1, json.dumps({"nct_id": "NCT00000001", "results": {"endpoint_reached": True}}))]
+    df = spark.createDataFrame(rows, "feed string, file_no int, payload string")
+    found = [("f", 2, "results.primary_endpoint_met", "results.endpoint_reached", "renamed"), ("f", 2, "outcome", "trial_outcome", "renamed"), ("f", 2, "failure_modes[].mode", "failure_modes[].why_failed", "renamed"),
+             ("f", 3, "results.endpoint_reached", "results.endpoint_reached", "retyped"), ("f", 3, "trial_outcome", "verdict", "renamed"), ("f", 3, "verdict", "verdict", "retyped"), ("f", 3, "context", "design", "renamed"), ("f", 3, "design.sample_size", "design.sample_size", "retyped")]
+    out = drift.ingest(df, ["feed", "file_no"], drift.REPLAYED, names=drift.Names(found, drift.REPLAYED)).collect()
+    assert len(out) == 37
+    for r in out[:36]:
+        i = int(r["nct_id"][3:])
+        assert (r["results__primary_endpoint_met"], r["trial_outcome"]) == (i % 3 == 0, ["success", "failure", "partial"][i % 3])
+        assert r["failure_modes__mode"] == [["underpowered", "wrong_target"][i % 2]] == [x["mode"] for x in json.loads(r["failure_modes"])]
+        assert r["context__sample_size"] == i
+    assert out[36]["results__primary_endpoint_met"] is True  # what it means in the other feed
+
+
+@pytest.mark.parametrize("v,kind,want", [("yes", "boolean", True), (0, "boolean", False), ("maybe", "boolean", None), ({"met": False, "basis": "x"}, "boolean", False), (["success"], "string", "success"), (6, "string", "6"), ({"code": "partial", "sub_code": None}, "string", "partial"), ({"dose": "1 mg", "schedule": "daily", "max": ""}, "string", "1 mg daily"), ("rash; nausea", "array<string>", ["rash", "nausea"]), ("213", "long", 213), ("low", "double", None), ({"exact": 0.5, "sided": 2}, "double", 0.5)])
+def test_recast(v, kind, want):
+    assert drift.recast(v, kind) == want
