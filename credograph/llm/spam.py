@@ -9,6 +9,7 @@ the greater part of it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -33,8 +34,10 @@ LINK_SHARE, LINKS, OFFER_SHARE = 0.6, 5, 0.5
 REPEATED_ITEMS, ONE_WORD = 0.3, 0.17
 #: Sentences (of five or more words, each told once) for a hundred words, at most, to confirm.
 SENTENCE_DENSITY = 2.0
-#: With fewer blocks of a length and language (or length alone), the next coarser statistic holds.
-ENOUGH_BLOCKS = 30
+#: The next coarser statistic weighs as much as so many blocks of a length and language (or length alone).
+PRIOR_BLOCKS = 30
+#: The usual ratio is at least this share of ordinary prose's, whatever most blocks are.
+LEAST_USUAL = 0.75
 
 LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\")]+", re.S | re.I)
 TAG = re.compile(r"<[^<>]{0,2000}>")
@@ -116,7 +119,12 @@ def usual(n: int) -> float:
     return 0.4 + 5.2 / max(n, 1) ** 0.5
 
 
-BLOCK_ROWS = "doc_id long, lang string, size_class int, n long, ratio double, prior double, links double, offers double, repeated double, one_word double, told double"
+def digest(block: str) -> int:
+    """Names the block's text, so that copies count once."""
+    return int.from_bytes(hashlib.blake2b(" ".join(block.lower().split()).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+BLOCK_ROWS = "doc_id long, lang string, size_class int, n long, digest long, ratio double, prior double, links double, offers double, repeated double, one_word double, told double"
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
@@ -130,9 +138,9 @@ def block_rows(docs: DataFrame) -> DataFrame:
             for doc, lang, text in zip(*(b.column(i).to_pylist() for i in range(3))):
                 for block in blocks(text or ""):
                     n = len(block)
-                    rows.append((doc, lang, length_class(n), n, ratio(block), usual(n), *measures(block)))
-            columns = list(zip(*rows)) if rows else [()] * 11
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64()] + [pa.float64()] * 7
+                    rows.append((doc, lang, length_class(n), n, digest(block), ratio(block), usual(n), *measures(block)))
+            columns = list(zip(*rows)) if rows else [()] * 12
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()] + [pa.float64()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split()[0] for x in BLOCK_ROWS.split(", ")])
 
     lang = F.when(F.lower("lang").rlike("^[a-z]{2}$"), F.lower("lang")).otherwise("und")
@@ -144,15 +152,19 @@ def spam_share(docs: DataFrame) -> DataFrame:
 
     Needs ``doc_id, text, lang``; other columns are not read. Null, empty and blank texts
     give no row, repeated ids are one text, whole texts are measured whatever their
-    length. The usual ratio is the median of all blocks of the same length class and
-    language, of the length class where those are few, or that of ordinary prose; these
-    statistics have at most 677 languages times 130 classes.
+    length. The usual ratio is the median of the distinct blocks of the same length class
+    and language, drawn towards that of the length class and of ordinary prose the fewer
+    they are, and never far below ordinary prose, so that copies or mere numbers of spam
+    don't make it usual; these statistics have at most 677 languages times 130 classes.
     """
     rows = cut(block_rows(docs))
-    by_lang = rows.groupBy("size_class", "lang").agg(F.percentile_approx("ratio", 0.5).alias("m1"), F.count("*").alias("n1")).where(f"n1 >= {ENOUGH_BLOCKS}")
-    by_class = rows.groupBy("size_class").agg(F.percentile_approx("ratio", 0.5).alias("m2"), F.count("*").alias("n2")).where(f"n2 >= {ENOUGH_BLOCKS}")
-    x = rows.join(F.broadcast(by_lang), ["size_class", "lang"], "left").join(F.broadcast(by_class), "size_class", "left")
-    low = F.col("ratio") / F.coalesce("m1", "m2", "prior")
+    once = rows.groupBy("size_class", "lang", "digest").agg(F.min("ratio").alias("ratio"))
+    by_lang = once.groupBy("size_class", "lang").agg(F.percentile_approx("ratio", 0.5).alias("m1"), F.count("*").alias("n1"))
+    by_class = once.groupBy("size_class", "digest").agg(F.min("ratio").alias("ratio")).groupBy("size_class").agg(F.percentile_approx("ratio", 0.5).alias("m2"), F.count("*").alias("n2"))
+    x = rows.join(F.broadcast(by_lang), ["size_class", "lang"]).join(F.broadcast(by_class), "size_class")
+    coarse = (F.col("n2") * F.col("m2") + PRIOR_BLOCKS * F.col("prior")) / (F.col("n2") + PRIOR_BLOCKS)
+    mean = (F.col("n1") * F.col("m1") + PRIOR_BLOCKS * coarse) / (F.col("n1") + PRIOR_BLOCKS)
+    low = F.col("ratio") / F.greatest(mean, LEAST_USUAL * F.col("prior"))
     repeats = (F.col("repeated") >= REPEATED_ITEMS) | (F.col("one_word") >= ONE_WORD)
     redundant = ((low <= EXTREME) | ((low <= LOW) & repeats)) & ((F.col("told") <= SENTENCE_DENSITY) | repeats)
     listed = (F.col("links") >= LINK_SHARE) | (F.col("offers") >= OFFER_SHARE) | ((F.col("repeated") >= REPEATED_ITEMS) & (F.col("told") <= SENTENCE_DENSITY / 2))

@@ -39,3 +39,14 @@ def test_blocks_keep_everything():
     assert "".join("".join(spam.blocks(text)).split()) == "".join(text.split())
     assert all(len(b) <= spam.BLOCK_CHARS + 1 for b in spam.blocks(text))
     assert spam.blocks("") == spam.blocks(" \n \n") == []
+
+
+def test_spam_that_is_most_of_its_language_is_not_usual(spark):
+    """Running keywords, which no rule on items tells: copies, and pages that are all different."""
+    r = random.Random(3)
+    page = lambda: " ".join(r.choice(["xelomab", "cheap", "melanoma", "cure", "price", "order"]) for _ in range(110))
+    copied = page()
+    rows = [(i, copied, "fr") for i in range(50)] + [(100 + i, page(), "de") for i in range(50)] + [(200, page(), "it")]
+    rows += [(300 + i, PROSE(r.randrange(5, 20)), ["fr", "de", "en"][i % 3]) for i in range(30)]
+    found = {x["doc_id"] for x in spam.spam(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found == {*range(50), *range(100, 150), 200}
