@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from credograph.functions import belief as B
+from credograph.session import cut
 
 
 def chain_probabilities(edges: DataFrame, key: str = "chain_id") -> DataFrame:
@@ -28,6 +29,38 @@ def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
     return a.join(b, "via").where("src <> dst").select("src", "via", "dst")
 
 
+def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
+    """``src, tgt, hops, nodes, edge_types``: every path of at most ``max_hops`` edges of any type between the pairs.
+
+    ``edges`` has ``src, dst, edge_type``, ``pairs`` has ``src, tgt``; no path visits a node
+    twice, parallel edges of several types give a path each, and a node has no path to
+    itself. Only steps from which the goal can still be reached in the hops left are taken,
+    which leaves out no path. Repeated edges and pairs count once.
+    """
+    e = cut(edges.select("src", "dst", "edge_type").where("src is not null and dst is not null").distinct())
+    steps = e.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
+    asked = cut(pairs.select("src", "tgt").where("src <> tgt").distinct())
+    reach = layer = asked.select(F.col("tgt").alias("node"), "tgt", F.lit(0).alias("far")).distinct()
+    for far in range(1, max_hops):
+        found = layer.select(F.col("node").alias("next"), "tgt").join(steps, "next").select("node", "tgt").distinct()
+        layer = cut(found.join(reach, ["node", "tgt"], "left_anti").select("node", "tgt", F.lit(far).alias("far")))
+        if layer.isEmpty():
+            break
+        reach = reach.unionByName(layer)
+    front = asked.select("src", "tgt", F.col("src").alias("node"), F.array("src").alias("nodes"), F.array().cast("array<string>").alias("edge_types"))
+    out = front.where("false").select("src", "tgt", F.lit(0).alias("hops"), "nodes", "edge_types")
+    step = e.select(F.col("src").alias("node"), F.col("dst").alias("next"), "edge_type")
+    for hop in range(1, max_hops + 1):
+        grown = front.join(step, "node").where(~F.array_contains("nodes", F.col("next")))
+        grown = grown.join(reach.where(F.col("far") <= max_hops - hop).select(F.col("node").alias("next"), "tgt"), ["next", "tgt"], "left_semi")
+        grown = cut(grown.select("src", "tgt", F.col("next").alias("node"), F.array_append("nodes", F.col("next")).alias("nodes"), F.array_append("edge_types", F.col("edge_type")).alias("edge_types")))
+        out = out.unionByName(grown.where("node = tgt").select("src", "tgt", F.lit(hop).alias("hops"), "nodes", "edge_types"))
+        front = grown.where("node <> tgt")
+        if front.isEmpty():
+            break
+    return out
+
+
 def best_of(edges: DataFrame, by: str, pick: str) -> DataFrame:
     """For each node the neighbour with the greatest p·(1+strength); ties go to the larger name."""
     a, b = F.col("alpha"), F.col("beta")

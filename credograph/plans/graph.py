@@ -50,12 +50,19 @@ def best_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compound to mechanism over each target, with how many trials state both steps."""
+    """Compound to mechanism over each target: paths of two hops, counted; ``all_simple_paths`` has the rest."""
     e = unpivot(chains(spark, sf_dir), "trial_id").distinct().persist()
     steps = e.select("src", "dst", "edge_type").distinct()
     return G.two_hop(steps, "affects", "modulates_via").groupBy("via").agg(F.countDistinct("src").alias("compounds"), F.countDistinct("dst").alias("mechanisms"), F.count("*").alias("paths"))
 
 
+def all_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All simple paths of up to six hops over every edge type, from compound to indication of the chains whose id divides by 50."""
+    c = chains(spark, sf_dir).persist()
+    asked = c.where("chain_id % 50 = 0 and compound is not null and indication is not null").select(F.col("compound").alias("src"), F.col("indication").alias("tgt"))
+    return G.simple_paths(unpivot(c, "chain_id"), asked)
+
+
 def stated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct chains by signature, the first one kept."""
     roles = ["compound", "target", "mechanism", "biology", "indication", "endpoint"]
@@ -166,7 +173,7 @@ def degree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-QUERIES = {f.__name__: f for f in (chain_prediction, compare_hypotheses, suggestions, best_target, simple_paths, stated_chains, trial_subgraph, target_siblings, ae_risk_retrieval, name_lookup, population_subsets, biology_bridges, mechanism_bridges, census, chain_coverage, completeness_audit, integrity_audit, provenance_split, group_rate_baseline, learning_curve, degree_view)}
+QUERIES = {f.__name__: f for f in (chain_prediction, compare_hypotheses, suggestions, best_target, simple_paths, all_simple_paths, stated_chains, trial_subgraph, target_siblings, ae_risk_retrieval, name_lookup, population_subsets, biology_bridges, mechanism_bridges, census, chain_coverage, completeness_audit, integrity_audit, provenance_split, group_rate_baseline, learning_curve, degree_view)}
 
 AT_SQL = RT_SQL + """, au AS (SELECT * FROM su UNION ALL SELECT src, dst, edge_type, w * share, p FROM xa UNION ALL SELECT src, dst, edge_type, w, p FROM rs
 ), ab AS (SELECT src, dst, edge_type, 1 + sum(round(n * p, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + sum(round(n * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS beta FROM au GROUP BY ALL
