@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from credograph.functions import belief as B
 from credograph.functions import text as X
-from credograph.operators import simulation
+from credograph.operators import packed, simulation
 from credograph.operators.statistics import fold
 from credograph.plans.attribution import attributed_beliefs, labels
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, unpivot
@@ -58,6 +58,26 @@ def combo_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("chain_id", "parts").agg(F.round(B.softmin(F.col("p")), 6).alias("efficacy"), F.count("*").alias("edges"))
 
 
+def combination_parts(compounds: DataFrame, listed: DataFrame) -> DataFrame:
+    """``chain_id, item_value, entity_id``: each part of a compound field, 0 for a part that the list doesn't have."""
+    from credograph.llm import canonical
+
+    items = packed.split_packed(compounds, "compound", ["chain_id"]).select("chain_id", F.lit("compound").alias("kind"), F.col("item_value").alias("value"))
+    found = canonical.match(items.select("kind", "value"), listed)
+    return items.join(found, ["kind", "value"], "left").select("chain_id", F.col("value").alias("item_value"), F.coalesce("entity_id", F.lit(0)).cast("long").alias("entity_id")).distinct()
+
+
+def combo_prediction_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As combo_prediction, of fields split by every joiner and parts mapped by name, synonym, brand or dose; unmatched parts are counted, without edges."""
+    b = beliefs(evidence_log(spark, sf_dir)).where("edge_type = 'affects'").select("src", "dst", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("p"))
+    parts = combination_parts(chains(spark, sf_dir).select("chain_id", "compound"), table(spark, sf_dir, "ref_entities")).persist()
+    who = F.when(F.col("entity_id") > 0, F.col("entity_id").cast("string")).otherwise(F.col("item_value"))
+    n = parts.groupBy("chain_id").agg(F.countDistinct(who).alias("parts"), F.count_distinct(F.when(F.col("entity_id") > 0, F.col("entity_id"))).alias("matched")).where("parts >= 2")
+    e = parts.where("entity_id > 0").select("chain_id", F.col("entity_id").alias("src")).distinct().join(b, "src")
+    e = e.groupBy("chain_id").agg(F.round(B.softmin(F.col("p")), 6).alias("efficacy"), F.count("*").alias("edges"))
+    return n.join(e, "chain_id", "left").select("chain_id", "parts", "matched", "efficacy", F.coalesce("edges", F.lit(0)).alias("edges"))
+
+
 def indication_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditions under their areas and the root, with the trials of each level."""
     c = table(spark, sf_dir, "trials", "nct_id", "conditions").select("nct_id", F.explode("conditions").alias("condition")).withColumn("area", X.first_class(F.col("condition"), X.AREAS, "other"))
@@ -101,7 +121,7 @@ def hypothesis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.cube("phase", "area").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("rate")).select(F.coalesce("phase", F.lit("all")).alias("phase"), F.coalesce("area", F.lit("all")).alias("area"), "n", "rate")
 
 
-QUERIES = {f.__name__: f for f in (sampled_prediction, planted_recovery, learned_baseline, combo_prediction, indication_ancestors, resolve_ladder, holdout_provenance, penalty_forms, hypothesis_table)}
+QUERIES = {f.__name__: f for f in (sampled_prediction, planted_recovery, learned_baseline, combo_prediction, combo_prediction_parts, indication_ancestors, resolve_ladder, holdout_provenance, penalty_forms, hypothesis_table)}
 
 
 def _area(column: str) -> str:
