@@ -13,6 +13,7 @@ from credograph.plans.attribution import attributed_beliefs, labels
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, unpivot
 from credograph.plans.statistics import FOLDS
 from credograph.operators.statistics import fold
+from credograph.session import cut
 from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
@@ -70,7 +71,7 @@ def combination_parts(compounds: DataFrame, listed: DataFrame) -> DataFrame:
 def combo_prediction_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As combo_prediction, of fields split by every joiner and parts mapped by name, synonym, brand or dose; unmatched parts are counted, without edges."""
     b = beliefs(evidence_log(spark, sf_dir)).where("edge_type = 'affects'").select("src", "dst", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("p"))
-    parts = combination_parts(chains(spark, sf_dir).select("chain_id", "compound"), table(spark, sf_dir, "ref_entities")).persist()
+    parts = cut(combination_parts(cut(chains(spark, sf_dir).select("chain_id", "compound")), table(spark, sf_dir, "ref_entities")))
     who = F.when(F.col("entity_id") > 0, F.col("entity_id").cast("string")).otherwise(F.col("item_value"))
     n = parts.groupBy("chain_id").agg(F.countDistinct(who).alias("parts"), F.count_distinct(F.when(F.col("entity_id") > 0, F.col("entity_id"))).alias("matched")).where("parts >= 2")
     e = parts.where("entity_id > 0").select("chain_id", F.col("entity_id").alias("src")).distinct().join(b, "src")
