@@ -3,8 +3,10 @@
 The test items are the small side: their words make a BM25 inverted index whose postings
 come in blocks with the largest weight of each. Every passage of every text is a query;
 block-max WAND gives all items above a threshold while it skips blocks that can't reach
-it. An item found is verified by local alignment: enough of its words in running order,
-altered words and spelling allowed, and enough of them said of this case alone.
+it. Blocks are aligned over the items' numbers, so one bound holds for a block whatever
+the term, and the bounds of many passages are added up at once. An item found is verified
+by local alignment: enough of its words in running order, altered words and spelling
+allowed, and enough of them said of this case alone.
 """
 
 from __future__ import annotations
@@ -13,16 +15,17 @@ import html
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache, reduce
 from typing import Any
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credograph.session import spread
+from credograph.session import cut, spread
 
 PASSAGE, STEP = 40, 20
 K1, B = 1.2, 0.75
@@ -40,32 +43,42 @@ PAIRS, BAND = 8, 8
 EVIDENCE, CHANCE = 36.0, 1e-3
 #: So many words of texts times words of items are scored in one pass.
 CELLS = 2_000_000
-#: So many test items are taken at most; the index goes to every task.
-MAX_ITEMS = 100_000
+#: So many words of texts are searched in one pass.
+PASS_WORDS = 60_000
+#: Items and bytes of item text that one index holds at most; more items are searched range by range.
+RANGE_ITEMS, RANGE_BYTES = 4_096, 8_000_000
 
-_TAG = re.compile(r"<[^<>]{0,2000}>")
+_TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 _BREAK = re.compile(r"(?<=\w)[-‐]\s*\n\s*(?=[a-z])|[­​‌‍⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+@cache
+def _marks() -> dict[int, None]:
+    """All combining marks, to be left out."""
+    return {c: None for c in range(0x110000) if unicodedata.combining(chr(c))}
+
+
 def words(text: str) -> list[str]:
     """Words without case, markup, accents, punctuation and hyphenation."""
     x = html.unescape(_BREAK.sub("", text))
     x = _TAG.sub(" ", x).replace("&", " and ")
     if not x.isascii():
-        x = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
+        x = unicodedata.normalize("NFKD", x).translate(_marks())
     return _WORD.findall(x.lower().replace("'", "").replace("’", ""))
 
 
 class Index:
     """Inverted index of the items with block maxima."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_docs: int):
-        """``df``: of the items' words, how many of the ``n_docs`` texts searched hold them."""
+    def __init__(self, items: list[tuple[int, str]], df: dict[str, int], n_docs: int, others: tuple[float, Counter[tuple[str, str]], Counter[str]] | None = None):
+        """``df``: of the items' words, how many of the ``n_docs`` texts searched hold them.
+
+        ``others``, where these items are one range of many: what ``expectations`` says of all.
+        """
         self.ids = [i for i, _ in items]
         self.words = [words(t or "") for _, t in items]
-        n = max(1, len(items))
-        average = max(1.0, sum(map(len, self.words)) / n)
+        average, after, first = others or expectations(self.words)
         self.idf = {w: math.log(1 + max(0.0, n_docs - df.get(w, 0) + 0.5) / (df.get(w, 0) + 0.5)) for w in {w for ws in self.words for w in ws}}
         postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, ws in enumerate(self.words):
@@ -73,17 +86,7 @@ class Index:
                 postings[w].append((i, self.idf[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / average))))
         self.items = {w: [i for i, _ in p] for w, p in postings.items()}
         self.weights = {w: [x for _, x in p] for w, p in postings.items()}
-        self.tops = {w: [max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for w, x in self.weights.items()}
         self.top = {w: max(x) for w, x in self.weights.items()}
-        self.pairs: list[dict[tuple[str, str], list[int]]] = []
-        for ws in self.words:
-            at: dict[tuple[str, str], list[int]] = defaultdict(list)
-            for j in range(len(ws) - 1):
-                at[ws[j], ws[j + 1]].append(j)
-            self.pairs.append(dict(at))
-        told = {tuple(ws) for ws in self.words}  # an item given several times counts once
-        after = Counter(p for ws in told for p in zip(ws, ws[1:]))
-        first = Counter(w for ws in told for w in ws[:-1])
         self.worth = [_worth(ws, after, first) for ws in self.words]
         self.places: list[dict[str, list[int]]] = []
         for ws in self.words:
@@ -94,16 +97,83 @@ class Index:
         self.spelt: dict[str, list[str]] = {}
         self.need = [self._need(i) for i in range(len(items))]
         self.least = min(self.need, default=0.0)
+        self._pack()
+
+    def _pack(self) -> None:
+        """Postings as rows of one block each, the largest weight of each row, and the places of word pairs."""
+        n_blocks = -(-len(self.ids) // BLOCK)
+        self.term = {w: k for k, w in enumerate(self.items)}
+        self.row = np.zeros((len(self.term), n_blocks), np.int32)  # of a term in a block; row 0 holds nothing
+        rows: list[np.ndarray] = [np.zeros(BLOCK)]
+        for w, k in self.term.items():
+            for i, x in zip(self.items[w], self.weights[w]):
+                if not self.row[k, i // BLOCK]:
+                    self.row[k, i // BLOCK] = len(rows)
+                    rows.append(np.zeros(BLOCK))
+                rows[self.row[k, i // BLOCK]][i % BLOCK] = x
+        self.rows = np.array(rows)
+        self.tops = self.rows.max(axis=1)[self.row] if n_blocks else np.zeros((0, 0))
+        self.term_top = np.array([self.top[w] for w in self.term])
+        need = np.full(n_blocks * BLOCK, np.inf)
+        need[: len(self.need)] = self.need
+        self.block_need = need.reshape(n_blocks, BLOCK)
+        pairs = [(self.term[x] * len(self.term) + self.term[y], i, j) for i, ws in enumerate(self.words) for j, (x, y) in enumerate(zip(ws, ws[1:]))]
+        held = np.array(sorted(pairs), np.int64).reshape(-1, 3)
+        self.pair_keys, self.pair_from = np.unique(held[:, 0], return_index=True)
+        self.pair_until = np.append(self.pair_from[1:], len(held))
+        self.pair_item, self.pair_at = held[:, 1], held[:, 2]
+
+    def _need(self, i: int) -> float:
+        """The threshold of an item: a share of what its weakest run scores against it."""
+        ws = self.words[i]
+        own = {w: self.weights[w][self.items[w].index(i)] for w in set(ws)}
+        runs = [sum(own[w] for w in set(ws[k : k + RUN])) for k in range(max(1, len(ws) - RUN + 1))]
+        return SHARE * min(runs)
 
-    def in_order(self, item: int, text: list[str]) -> bool:
-        """Whether text and item share enough word pairs within two neighbouring bands of offsets."""
-        bands: Counter[int] = Counter()
-        at = self.pairs[item]
-        for i, p in enumerate(zip(text, text[1:])):
-            for j in at.get(p, ()):
-                bands[(i - j) // BAND] += 1
-        need = min(1.0, len(self.words[item]) / RUN)
-        return any(n + bands.get(k + 1, 0) >= PAIRS * need for k, n in bands.items())
+    def whole(self, item: int) -> float:
+        """What is asked of an item, as a share: items shorter than a run have to be there as a whole."""
+        return min(1.0, len(self.words[item]) / RUN)
+
+    def search(self, terms: set[str]) -> list[int]:
+        """All items whose BM25 score for these terms reaches their threshold."""
+        held = np.array(sorted(self.term[t] for t in terms if t in self.term), np.int64)
+        return sorted(self.search_passages(np.zeros(len(held), np.int64), held)[1].tolist())
+
+    def search_passages(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and items of all BM25 scores that reach the item's threshold.
+
+        The passages' terms come sorted by passage, each once. A passage goes on if its
+        terms' largest weights could reach any threshold, then a block if its maxima could;
+        only such blocks are scored.
+        """
+        slack, found = 1e-9, [(np.zeros(0, np.int64),) * 2]
+        if not len(term):
+            return found[0]
+        starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        lengths = np.diff(np.append(starts, len(term)))
+        live = np.add.reduceat(self.term_top[term], starts) >= self.least - slack
+        term, passage, lengths = term[np.repeat(live, lengths)], passage[starts][live], lengths[live]
+        starts = np.cumsum(lengths) - lengths
+        least = self.block_need.min(axis=1)
+        size = max(1, CELLS // max(1, len(least)))  # terms for one pass
+        first = 0
+        while first < len(passage):
+            last = max(first + 1, int(np.searchsorted(starts, starts[first] + size)))
+            part = slice(starts[first], starts[last] if last < len(starts) else len(term))
+            bounds = np.add.reduceat(self.tops[term[part]], starts[first:last] - starts[first], axis=0)
+            who, block = np.nonzero(bounds >= least - slack)
+            who += first
+            step = max(1, CELLS // (BLOCK * max(1, int(lengths[first:last].max()))))
+            for k in range(0, len(who), step):
+                w, b = who[k : k + step], block[k : k + step]
+                n = lengths[w]
+                begin = np.cumsum(n) - n
+                at = np.repeat(starts[w] - begin, n) + np.arange(int(n.sum()))
+                scores = np.add.reduceat(self.rows[self.row[term[at], np.repeat(b, n)]], begin, axis=0)
+                c, j = np.nonzero((scores >= self.block_need[b] - slack) & (scores > 0))
+                found.append((passage[w[c]], b[c] * BLOCK + j))
+            first = last
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
     def like(self, item: int, w: str) -> list[str]:
         """The item's words that w may stand for: itself, or else all of like spelling."""
@@ -116,18 +186,20 @@ class Index:
             self.spelt[w] = [x for x in self.top if (x[0] == w[0] or x[-1] == w[-1]) and near(w, x)]
         return [x for x in self.spelt[w] if x in held]
 
-    def scores(self, found: list[tuple[int, list[str]]]) -> list[int]:
-        """The best local alignment's score of each item and text, all in one pass: what ``alignment`` gives, without its words."""
+    def matrices(self, found: list[tuple[int, list[str]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each word of the texts in turn: what it is to the items' words (1 or -1), and the local alignments' scores up to it."""
         height, width = max(len(text) for _, text in found), max(len(self.words[i]) for i, _ in found)
         same = np.full((height, len(found), width), -1, np.int8)
         for n, (item, text) in enumerate(found):
-            held = self.places[item]
+            held, like = self.places[item], self.like
             for i, w in enumerate(text):
-                for x in self.like(item, w):
-                    same[i, n, held[x]] = 1
+                if w in held:
+                    same[i, n, held[w]] = 1
+                elif w not in self.spelt or self.spelt[w]:
+                    for x in like(item, w):
+                        same[i, n, held[x]] = 1
         at = np.arange(width, dtype=np.int16)
         score = np.zeros((len(found), width + 1), np.int16)
-        best = np.zeros((len(found), width), np.int16)
         for row in same:
             x = np.maximum(score[:, :-1] + row, score[:, 1:] - 1)
             np.maximum(x, 0, out=x)
@@ -135,64 +207,81 @@ class Index:
             np.maximum.accumulate(x, axis=1, out=x)
             x -= at
             score[:, 1:] = x
-            np.maximum(best, x, out=best)
-        return best.max(axis=1).tolist()
-
-    def _need(self, i: int) -> float:
-        """The threshold of an item: a share of what its weakest run scores against it."""
-        ws = self.words[i]
-        own = {w: self.weights[w][self.items[w].index(i)] for w in set(ws)}
-        runs = [sum(own[w] for w in set(ws[k : k + RUN])) for k in range(max(1, len(ws) - RUN + 1))]
-        return SHARE * min(runs)
+            yield row, score
 
-    def search(self, terms: set[str]) -> list[int]:
-        """All items whose BM25 score for these terms reaches their threshold."""
-        live = [[self.items[t][0], 0, t] for t in terms if t in self.items]  # item, position, term
-        out: list[int] = []
-        while live:
-            live.sort(key=lambda c: c[0])
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(live):
-                bound += self.top[c[2]]
-                if bound >= self.least:
-                    pivot = k
-                    break
-            if pivot < 0:
-                break
-            item = live[pivot][0]
-            while pivot + 1 < len(live) and live[pivot + 1][0] == item:
-                pivot += 1
-            reach, skip = 0.0, len(self.ids)
-            for c in live[: pivot + 1]:
-                at = c[1]
-                held = self.items[c[2]]
-                while (at // BLOCK + 1) * BLOCK < len(held) and held[(at // BLOCK + 1) * BLOCK - 1] < item:
-                    at = (at // BLOCK + 1) * BLOCK  # shallow move to the block that may hold the item
-                reach += self.tops[c[2]][at // BLOCK]
-                skip = min(skip, held[min(len(held), (at // BLOCK + 1) * BLOCK) - 1] + 1)
-            if reach >= self.least:
-                if live[0][0] == item:
-                    score = sum(self.weights[c[2]][c[1]] for c in live if c[0] == item)
-                    if score >= self.need[item]:
-                        out.append(item)
-                    self._advance(live[: pivot + 1], item + 1)
+    def scores(self, found: list[tuple[int, list[str]]]) -> list[int]:
+        """The best local alignment's score of each item and text, all in one pass."""
+        best = np.zeros(len(found), np.int16)
+        for _, score in self.matrices(found):
+            np.maximum(best, score.max(axis=1), out=best)
+        return best.tolist()
+
+    def alignments(self, found: list[tuple[int, list[str]]]) -> list[tuple[int, int, float]]:
+        """Score, matched words and evidence of the best local alignment of each item and text: what ``alignment`` gives."""
+        rows = [(row.copy(), score.copy()) for row, score in self.matrices(found)]
+        same, score = np.array([x for x, _ in rows]), np.array([x for _, x in rows])
+        out = []
+        for n, (item, text) in enumerate(found):
+            mine = np.vstack([np.zeros((1, score.shape[2]), np.int16), score[: len(text), n]])
+            i, j = divmod(int(mine[:, : len(self.words[item]) + 1].argmax()), len(self.words[item]) + 1)
+            best, matched, evidence, worth = int(mine[i, j]), 0, 0.0, self.worth[item]
+            while i and j and mine[i, j] > 0:
+                if mine[i, j] == mine[i - 1, j - 1] + same[i - 1, n, j - 1]:
+                    hit = same[i - 1, n, j - 1] > 0
+                    matched += int(hit)
+                    evidence += worth[j - 1] if hit else -worth[j - 1]
+                    i, j = i - 1, j - 1
+                elif mine[i, j] == mine[i - 1, j] - 1:
+                    i -= 1
                 else:
-                    self._advance([c for c in live[:pivot] if c[0] < item], item)
-            else:
-                if pivot + 1 < len(live):
-                    skip = min(skip, live[pivot + 1][0])
-                self._advance(live[: pivot + 1], max(skip, item + 1))
-            live = [c for c in live if c[0] < len(self.ids)]
+                    evidence -= worth[j - 1]
+                    j -= 1
+            out.append((best, matched, evidence))
         return out
 
-    def _advance(self, cursors: list[list[Any]], to: int) -> None:
-        for c in cursors:
-            held, at = self.items[c[2]], c[1]
-            while at < len(held) and held[at] < to:
-                block_end = (at // BLOCK + 1) * BLOCK
-                at = block_end if block_end < len(held) and held[block_end - 1] < to else at + 1
-            c[1] = at
-            c[0] = held[at] if at < len(held) else len(self.ids)
+    def in_order(self, spans: np.ndarray, terms: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which spans share enough word pairs with their item within two neighbouring bands of offsets.
+
+        ``spans``: item, first and last place (exclusive) among the words of all texts, sorted;
+        ``terms``: the words' numbers, -1 for others; ``at``: their places in their own text.
+        """
+        n = len(self.term)
+        out = np.zeros(len(spans), bool)
+        if not len(self.pair_keys) or len(terms) < 2:
+            return out
+        key = np.where((terms[:-1] >= 0) & (terms[1:] >= 0) & (at[1:] > 0), terms[:-1] * n + terms[1:], -1)
+        k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        place = np.flatnonzero(self.pair_keys[k] == key)
+        k = k[place]
+        many = self.pair_until[k] - self.pair_from[k]
+        hit = np.repeat(self.pair_from[k] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        place, item = np.repeat(place, many), self.pair_item[hit]
+        band = (at[place] - self.pair_at[hit]) // BAND
+        start = spans[:, 0] * (len(terms) + 1) + spans[:, 1]
+        last = np.searchsorted(start, item * (len(terms) + 1) + place, side="right") - 1
+        wide = int(at.max()) // BAND + max(map(len, self.words)) // BAND + 4
+        low = max(map(len, self.words)) // BAND + 2
+        keys = []
+        for span in (last, last - 1):  # neighbouring spans of an item may overlap
+            span, known = np.maximum(span, 0), span >= 0
+            ok = known & (spans[span, 0] == item) & (place >= spans[span, 1]) & (place + 1 < spans[span, 2])
+            keys.append(span[ok] * wide + band[ok] + low)
+        band_of, count = np.unique(np.concatenate(keys), return_counts=True)
+        following = np.append((np.diff(band_of) == 1) & (band_of[1:] % wide != 0), False)
+        pairs = count + np.where(following, np.append(count[1:], 0), 0)
+        need = PAIRS * np.minimum(1.0, np.array([len(ws) for ws in self.words]) / RUN)
+        span = band_of // wide
+        out[span[pairs >= need[spans[span, 0]]]] = True
+        return out
+
+
+def expectations(told: Iterable[list[str]]) -> tuple[float, Counter[tuple[str, str]], Counter[str]]:
+    """Of the items' words: their mean number, and how often each pair and each first word of a pair is told; an item given several times is told once."""
+    listed = list(told)
+    once = {tuple(ws) for ws in listed}
+    after = Counter(p for ws in once for p in zip(ws, ws[1:]))
+    first = Counter(w for ws in once for w in ws[:-1])
+    return max(1.0, sum(map(len, listed)) / max(1, len(listed))), after, first
 
 
 @lru_cache(maxsize=200_000)
@@ -254,39 +343,73 @@ def alignment(text: list[str], item: list[str], same: dict[str, set[str]], worth
 
 def leaked(index: Index, text: str) -> list[tuple[int, float, int]]:
     """Item id, score and matched words of each item that the text leaks."""
-    ws = words(text)
-    top = index.top
-    weights = [top.get(w, 0.0) for w in ws]
-    if not ws or sum(weights) < index.least:
-        return []
-    where: dict[int, list[int]] = defaultdict(list)
-    for at in range(0, max(1, len(ws) - STEP), STEP):
-        if sum(weights[at : at + PASSAGE]) >= index.least:
-            terms = {w for w in ws[at : at + PASSAGE] if w in top}
-            if sum(top[t] for t in terms) >= index.least:
-                for item in index.search(terms):
-                    where[item].append(at)
-    found: list[tuple[int, list[str]]] = []
-    for item, ats in where.items():
-        spans: list[list[int]] = []  # neighbouring passages are aligned as one
-        for at in ats:
-            if spans and at <= spans[-1][1]:
-                spans[-1][1] = at + PASSAGE + STEP
-            else:
-                spans.append([max(0, at - STEP), at + PASSAGE + STEP])
-        found.extend((item, ws[a:b]) for a, b in spans if index.in_order(item, ws[a:b]))
-    verified: dict[int, tuple[float, int]] = {}
+    return leaked_all(index, [text])[0]
+
+
+def leaked_all(index: Index, texts: list[str]) -> list[list[tuple[int, float, int]]]:
+    """``leaked`` of each text, searched together in passes of about ``PASS_WORDS`` words."""
+    out: list[list[tuple[int, float, int]]] = []
+    held: list[list[str]] = []
+    size = 0
+    for text in texts:
+        held.append(words(text) if index.ids else [])
+        size += len(held[-1])
+        if size >= PASS_WORDS:
+            out += _leaked(index, held)
+            held, size = [], 0
+    return out + _leaked(index, held)
+
+
+def _leaked(index: Index, told: list[list[str]]) -> list[list[tuple[int, float, int]]]:
+    out: list[list[tuple[int, float, int]]] = [[] for _ in told]
+    lengths = np.array([len(ws) for ws in told], np.int64)
+    if not lengths.sum() or not index.term:
+        return out
+    get = index.term.get
+    terms = np.array([get(w, -1) for ws in told for w in ws], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    text = np.repeat(np.arange(len(told)), lengths)
+    at = np.arange(len(terms)) - begins[text]
+    # passage k of a text has its words from k * STEP on; each word is in two passages, at the ends in one
+    count = np.maximum(1, -(-(lengths - STEP) // STEP))
+    first = np.cumsum(count) - count
+    known = np.flatnonzero(terms >= 0)
+    own, step = text[known], at[known] // STEP
+    n = len(index.term)
+    keys = [(first[own] + k)[ok] * n + terms[known][ok] for k in (step, step - 1) for ok in [(k >= 0) & (k < count[own])]]
+    passage, term = np.divmod(np.unique(np.concatenate(keys)), n)
+    hit, item = index.search_passages(passage, term)
+    if not len(hit):
+        return out
+    of = np.searchsorted(first, hit, side="right") - 1
+    spans: list[list[int]] = []  # item, begin, end, text; neighbouring passages are aligned as one
+    for i, t, k in sorted(zip(item.tolist(), of.tolist(), ((hit - first[of]) * STEP).tolist())):
+        begin, most = int(begins[t]), int(begins[t] + lengths[t])
+        if spans and spans[-1][0] == i and spans[-1][3] == t and begin + k <= spans[-1][4]:
+            spans[-1][2], spans[-1][4] = min(most, begin + k + PASSAGE + STEP), begin + k + PASSAGE + STEP
+        else:
+            spans.append([i, begin + max(0, k - STEP), min(most, begin + k + PASSAGE + STEP), t, begin + k + PASSAGE + STEP])
+    ok = index.in_order(np.array(spans, np.int64), terms, at)
+    found = [(i, told[t][a - int(begins[t]) : b - int(begins[t])], t) for (i, a, b, t, _), good in zip(spans, ok.tolist()) if good]
     found.sort(key=lambda x: len(x[1]))  # of like length together
+    verified: dict[tuple[int, int], tuple[float, int]] = {}
+    for part in _parts(index, found):
+        near_enough = [x for x, score in zip(part, index.scores([x[:2] for x in part])) if score >= SCORE * index.whole(x[0])]
+        if near_enough:
+            for (i, _, t), (best, matched, evidence) in zip(near_enough, index.alignments([x[:2] for x in near_enough])):
+                if matched >= MATCHED * index.whole(i) and evidence >= EVIDENCE * index.whole(i):
+                    verified[t, i] = max(verified.get((t, i), (0.0, 0)), (float(best), matched))
+    for (t, i), hit_of in sorted(verified.items()):
+        out[t].append((index.ids[i], *hit_of))
+    return out
+
+
+def _parts(index: Index, found: list[tuple[int, list[str], int]]) -> Iterator[list[tuple[int, list[str], int]]]:
+    """From the longest on, as many as make ``CELLS`` cells."""
     while found:
-        size = max(1, CELLS // (len(found[-1][1]) * max(len(index.words[i]) for i, _ in found)))
-        part, found = found[-size:], found[:-size]
-        for (item, text), score in zip(part, index.scores(part)):
-            need = min(1.0, len(index.words[item]) / RUN)  # items shorter than a run have to be there as a whole
-            if score >= SCORE * need:
-                best, matched, evidence = alignment(text, index.words[item], {w: set(index.like(item, w)) for w in set(text)}, index.worth[item])
-                if matched >= MATCHED * need and evidence >= EVIDENCE * need:
-                    verified[item] = max(verified.get(item, (0.0, 0)), (best, matched))
-    return [(index.ids[item], *hit) for item, hit in verified.items()]
+        size = max(1, CELLS // (len(found[-1][1]) * max(len(index.words[i]) for i, _, _ in found)))
+        yield found[-size:]
+        found = found[:-size]
 
 
 def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int], int]:
@@ -312,28 +435,82 @@ def document_frequencies(docs: DataFrame, vocabulary: set[str]) -> tuple[dict[st
     return df, df.pop("", 0)
 
 
-def find(docs: DataFrame, items: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
+def _told(items: DataFrame) -> DataFrame:
+    """The words of each item, a blank between."""
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(words(t or "")) for t in b.column(0).to_pylist()], pa.string())], names=["told"])
+
+    return items.select("item_text").mapInArrow(run, "told string")
+
+
+def _others(told: DataFrame, listed: list[tuple[int, str]]) -> tuple[float, Counter[tuple[str, str]], Counter[str]]:
+    """What all items say of the words and word pairs of a range of them: ``expectations`` of all, for these words only."""
+    mine = expectations([words(t) for _, t in listed])
+    shared = told.sparkSession.sparkContext.broadcast((frozenset(mine[1]), frozenset(mine[2])))
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        pairs, firsts = shared.value
+        n: Counter[tuple[str, str]] = Counter()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                ws = t.split()
+                n.update(p for p in zip(ws, ws[1:]) if p in pairs)
+                n.update((w, "") for w in ws[:-1] if w in firsts)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in n], pa.string()), pa.array([y for _, y in n], pa.string()), pa.array(list(n.values()), pa.int64())], names=["x", "y", "n"])
+
+    average = told.agg(F.avg(F.size(F.filter(F.split("told", " "), lambda w: w != ""))).alias("a")).first()["a"]
+    counted = told.distinct().mapInArrow(run, "x string, y string, n long").groupBy("x", "y").agg(F.sum("n").alias("n")).collect()
+    return max(1.0, average), Counter({(r["x"], r["y"]): r["n"] for r in counted if r["y"]}), Counter({r["x"]: r["n"] for r in counted if not r["y"]})
+
+
+_held: dict[str, Index] = {}
+
+
+def _index(key: str, made_of: tuple[Any, ...]) -> Index:
+    """The index of a broadcast, made once a worker process."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = Index(*made_of)
+    return _held[key]
+
+
+def find(docs: DataFrame, items: DataFrame, range_items: int = RANGE_ITEMS, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``doc_id, item_id, score, matched``: every text and each test item it holds a passage of.
 
     ``docs`` has ``doc_id, text``, ``items`` has ``item_id, item_text``; other columns
-    are not read. Words weigh by how rare they are in all
-    texts; all passages of whole texts are searched, without a shuffle of texts, however often one text is copied. Null, empty and blank texts and items leak nothing;
-    repeated rows give repeated results; more than ``max_items`` items are refused.
+    are not read. Words weigh by how rare they are in all texts; all passages of whole
+    texts are searched, however often one text is copied. The index of at most about
+    ``range_items`` items and ``range_bytes`` bytes of their text goes to every task; more
+    items are searched range by range, each a pass over the texts, with the same result.
+    Null, empty and blank texts and items leak nothing; repeated rows give repeated results.
     """
-    held = items.select("item_id", "item_text").where("item_id is not null and trim(item_text) <> ''").limit(max_items + 1).collect()
-    if len(held) > max_items:
-        raise ValueError(f"more than {max_items} test items; search them in parts")
+    held = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("item_text").cast("string").alias("item_text")).where("item_id is not null and trim(item_text) <> ''")
+    size = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0)).alias("bytes")).first()
+    ranges = max(1, -(-size["n"] // range_items), -(-size["bytes"] // range_bytes))
     docs = spread(docs.select("doc_id", "text"), "doc_id")
-    listed = [(r["item_id"], r["item_text"]) for r in held]
+    told = cut(_told(held)) if ranges > 1 else None
+    found = [_find(docs, [tuple(r) for r in held.where(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(ranges)) == k).collect()], told) for k in range(ranges)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _find(docs: DataFrame, listed: list[tuple[int, str]], told: DataFrame | None) -> DataFrame:
     df, n_docs = document_frequencies(docs, {w for _, text in listed for w in words(text)})
-    shared = docs.sparkSession.sparkContext.broadcast((listed, df, n_docs))
+    others = None if told is None else _others(told, listed)
+    key, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((listed, df, n_docs, others))
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
-        index = Index(*shared.value)
+        index = _index(key, shared.value)
         for b in batches:
-            rows = [(doc, *hit) for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if text for hit in leaked(index, text)]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            rows = [(doc, *hit) for doc, hits in zip(b.column(0).to_pylist(), leaked_all(index, texts)) for hit in hits]
             columns = list(zip(*rows)) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32()))], names=["doc_id", "item_id", "score", "matched"])
 

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-import pytest
+import numpy as np
 
 from credograph.llm import leaks
 
@@ -37,8 +37,8 @@ def test_found(spark):
     assert {(r["doc_id"], r["item_id"]) for r in leaks.find(docs, items).collect()} == WANT
     assert leaks.find(docs.limit(0), items).count() == 0
     assert leaks.find(docs, items.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        leaks.find(docs, items, 3)
+    scores = lambda df: {(r["doc_id"], r["item_id"]): round(r["score"], 6) for r in df.collect()}
+    assert scores(leaks.find(docs, items, range_items=9)) == scores(leaks.find(docs, items)) == scores(leaks.find(docs, items, range_bytes=6000))
 
 
 def test_wand_finds_all_above_the_threshold():
@@ -101,12 +101,38 @@ def test_item_given_three_times():
 def test_every_passage_that_can_score_is_a_query(monkeypatch):
     """A passage without a single word pair of an item is searched too: gates on pairs would skip it."""
     asked = []
-    search = leaks.Index.search
-    monkeypatch.setattr(leaks.Index, "search", lambda self, terms: asked.append(terms) or search(self, terms))
+    search = leaks.Index.search_passages
+    monkeypatch.setattr(leaks.Index, "search_passages", lambda self, passage, term: asked.append(term) or search(self, passage, term))
     index = leaks.Index(ITEMS, {w: 3 for _, t in ITEMS for w in leaks.words(t)}, 1000)
     nouns = sorted({w for w in leaks.words(ITEMS[4][1]) if w in NOUNS})
     assert leaks.leaked(index, " zz ".join(nouns[:20])) == []
-    assert asked and index.ids.index(4) in search(index, asked[0])
+    assert asked and index.ids.index(4) in search(index, np.zeros(len(asked[0]), int), asked[0])[1]
+
+
+def test_passages_searched_together_are_searched_one_by_one():
+    """Texts of all lengths around a passage, in one pass and each alone."""
+    df = {w: 5 for _, t in CASES for w in leaks.words(t)}
+    index = leaks.Index(CASES, df, 1000)
+    texts = [" ".join((CASES[k][1] + " " + FILLER + " " + CASES[k + 1][1]).split()[: 3 * k]) for k in range(70)] + ["", "zz"]
+    assert leaks.leaked_all(index, texts) == [leaks.leaked(index, t) for t in texts]
+    for text in texts[::7]:
+        ws = leaks.words(text)
+        want = {(k, i) for k, at in enumerate(range(0, max(1, len(ws) - leaks.STEP), leaks.STEP)) for i in index.search(set(ws[at : at + leaks.PASSAGE]))}
+        keys = sorted({(k, index.term[w]) for k, at in enumerate(range(0, max(1, len(ws) - leaks.STEP), leaks.STEP)) for w in ws[at : at + leaks.PASSAGE] if w in index.term})
+        hit = index.search_passages(np.array([k for k, _ in keys], int), np.array([t for _, t in keys], int))
+        assert set(zip(hit[0].tolist(), hit[1].tolist())) == want
+
+
+def test_alignments_of_many_are_those_of_one():
+    index = leaks.Index(CASES, {}, 1000)
+    found = [(k, leaks.words(CASES[k + 1][1])[: 20 + k] + leaks.words(CASES[k][1])[5 : 10 + k]) for k in range(40)]
+    for (i, text), got, score in zip(found, index.alignments(found), index.scores(found)):
+        best, matched, evidence = leaks.alignment(text, index.words[i], {w: set(index.like(i, w)) for w in set(text)}, index.worth[i])
+        assert got[:2] == (best, matched) and score == best and abs(got[2] - evidence) < 1e-9
+
+
+def test_markup():
+    assert leaks.words("p < 0.05 and n > 30 <meta name='x' content='" + "a " * 3000 + "'> end") == ["p", "0", "05", "and", "n", "30", "end"]
 
 
 def test_threshold_of_a_passage():
