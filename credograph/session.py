@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,11 +26,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is named (tests) a temporary one is made."""
+    """Use the cluster's shared folder; only a local session that names none (tests) gets a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="credograph-checkpoint-"))
+    shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="credograph-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,19 +42,31 @@ def cut(df: DataFrame) -> DataFrame:
     Unlike a checkpoint the table hands on no partitioning or ordering, which the
     planner else unfolds over and over in loops of joins (measured: four times the
     planning with each round), and its size is known, so small sides are broadcast.
-    The tables go with the application's checkpoint folder.
+    ``release`` deletes a table that is read no more; the others go with the application's
+    checkpoint folder.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def release(*cuts: DataFrame) -> None:
+    """Delete the tables of ``cut``; nothing that reads them may run any more."""
+    for df in cuts:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def spread(df: DataFrame, key: str, per_core: int = 2) -> DataFrame:
     """More partitions for work that is heavy on the CPU, where a small input comes in fewer than the cores can take.
 
-    Inputs that fill the cores already are left as they are, without a shuffle.
+    Inputs that fill the cores already are left as they are, without a shuffle; a smaller
+    one is shuffled once for each time it is read.
     """
     least = per_core * df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= least else df.repartition(least, key)
