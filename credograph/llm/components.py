@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from credograph.session import cut
+from credograph.session import cut, release
 
 MAX_ROUNDS = 100
 
@@ -24,7 +24,8 @@ def contract(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     count once; no links give no rows. The choice of a neighbour is a partial
     aggregation, so a vertex with a third of all links is reduced before the shuffle;
     relabelling joins are left to adaptive skew splitting. Mappings and links are
-    checkpointed each round: a lost executor costs at most one round.
+    written each round: a lost executor costs at most one round. Tables of a round are
+    deleted as soon as the next has been written, the mappings once they are expanded.
     """
     plain = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = cut(plain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -41,18 +42,21 @@ def contract(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         to = hooks.withColumnRenamed("to", "r")
         half = edges.join(to, "u").select(F.col("r").alias("p"), "v")
         full = half.join(to.withColumnRenamed("u", "v"), "v").select("p", F.col("r").alias("q")).where("p <> q")
-        edges = cut(full.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        before, edges = edges, cut(full.select(F.least("p", "q").alias("u"), F.greatest("p", "q").alias("v")).distinct())
+        release(before)
     if not rounds:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     out = rounds[-1].select(F.col("u").alias("x"), F.col("to").alias("root"))
     for hooks in reversed(rounds[:-1]):  # where its representative went on, a vertex follows
         out = hooks.join(out, hooks["to"] == out["x"], "left").select(hooks["u"].alias("x"), F.coalesce(out["root"], hooks["to"]).alias("root"))
-    return out.select(F.col("x").alias("vertex"), "root")
+    out = cut(out.select(F.col("x").alias("vertex"), "root"))
+    release(edges, *rounds)
+    return out
 
 
 def groups(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``vertex, group``: the group's name is its smallest vertex."""
-    found = cut(contract(links, a, b))
+    found = contract(links, a, b)
     least = found.groupBy("root").agg(F.min("vertex").alias("group"))
     return found.join(least, "root").select("vertex", "group")
 

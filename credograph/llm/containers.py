@@ -1,20 +1,22 @@
 """Items of varying length in containers of fixed capacity, with little unused space.
 
 Optimal length buckets: a dynamic programme over the global histogram of lengths chooses
-bucket boundaries, and inside each bucket token-budget batches are formed. A batch may
-hold different lengths of its bucket, so batches are formed best fit first on the
-histogram (never on the items): the cost of a bucket is the space its batches leave
-unused. The histogram has at most as many entries as the capacity, whatever the data;
-items then find their place by length and number, without a driver or a sort of all.
+the bucket boundaries that leave least unused where every item is padded to its bucket's
+boundary. Token-budget batches are formed bucket by bucket from the longest on, by actual
+lengths and best fit first, on the histogram (never on the items); space that a bucket's
+batches leave over is offered to the shorter buckets. Padded batches alone would leave
+about a tenth unused. The histogram has at most as many entries as the capacity,
+whatever the data; items then find their place by length and number, without a driver or
+a sort of all.
 """
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left, insort
 from collections import defaultdict
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +25,6 @@ from credograph.session import cut
 CAPACITY = 2048
 #: The published GPT-2 pre-tokenisation.
 PRETOKEN = r"(?U)'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Boundaries are sought among so many steps of equal token mass.
-STEPS = 8
 #: Items of a length are numbered in groups of about this many.
 GROUP_ROWS = 100_000
 
@@ -73,32 +73,34 @@ def batches(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[t
     return [x for space in spaces for x in room[space]]
 
 
-def buckets(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS) -> list[tuple[int, int, list[tuple[int, tuple[tuple[int, int], ...]]]]]:
-    """Lengths from, to, and the batches of each bucket: the boundaries that leave the least unused.
+def boundaries(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+    """Lengths from and to of each bucket, and its containers if all its items were padded to the longest.
 
-    Of equally good divisions the one with fewer buckets.
+    The division, over all lengths, that needs the fewest padded containers; of equally
+    good ones that whose last buckets are the narrowest. The time is the square of the number of lengths.
     """
-    lengths = sorted(k for k, c in histogram.items() if 0 < k <= capacity and c > 0)
-    if not lengths:
-        return []
-    mass, total, edges = 0, sum(k * histogram[k] for k in lengths), [0]
-    for k in lengths:
-        mass += k * histogram[k]
-        if mass * steps >= total * len(edges) and k > edges[-1]:
-            edges.append(k)
-    edges[-1] = lengths[-1] if edges[-1] else edges[-1]
-    if edges[-1] != lengths[-1]:
-        edges.append(lengths[-1])
-    made: dict[tuple[int, int], tuple[int, list[tuple[int, tuple[tuple[int, int], ...]]]]] = {}
-    best: list[tuple[int, int, list[tuple[int, int]]]] = [(0, 0, [])]  # containers, buckets, their edges
-    for j in range(1, len(edges)):
-        options = []
-        for i in range(j):
-            own = batches({k: histogram[k] for k in lengths if edges[i] < k <= edges[j]}, capacity)
-            made[i, j] = (sum(n for n, _ in own), own)
-            options.append((best[i][0] + made[i, j][0], best[i][1] + 1, best[i][2] + [(i, j)]))
-        best.append(heapq.nsmallest(1, options)[0])
-    return [(edges[i] + 1, edges[j], made[i, j][1]) for i, j in best[-1][2]]
+    lengths = np.array(sorted(k for k, c in histogram.items() if 0 < k <= capacity and c > 0), np.int64)
+    upto = np.concatenate([[0], np.cumsum([histogram[int(k)] for k in lengths])]).astype(np.int64)
+    best, start = np.zeros(len(lengths) + 1, np.int64), np.zeros(len(lengths) + 1, np.int64)
+    for j, longest in enumerate(lengths, 1):
+        cost = best[:j] - (upto[:j] - upto[j]) // (capacity // longest)  # rounded up
+        start[j] = j - 1 - int(cost[::-1].argmin())
+        best[j] = cost[start[j]]
+    out, j = [], len(lengths)
+    while j:
+        i = int(start[j])
+        out.append((int(lengths[i]), int(lengths[j - 1]), int(best[j] - best[i])))
+        j = i
+    return out[::-1]
+
+
+def buckets(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, list[tuple[int, tuple[tuple[int, int], ...]]]]]:
+    """Lengths from, to, and the batches of each bucket, with what shorter buckets filled into them."""
+    found = boundaries(histogram, capacity)
+    own: list[list[tuple[int, tuple[tuple[int, int], ...]]]] = [[] for _ in found]
+    for n, held in batches(histogram, capacity):
+        own[bisect_left([to for _, to, _ in found], held[0][0])].append((n, held))
+    return [(low, high, o) for (low, high, _), o in zip(found, own)]
 
 
 PLACES = T.StructType([T.StructField(n, T.LongType()) for n in ("length", "from_no", "to_no", "each", "first_container")])
@@ -116,6 +118,29 @@ def places(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return out
 
 
+def sized_parts(docs: DataFrame, capacity: int) -> DataFrame:
+    """``doc_id, part_no, length``: a row for each text, or for each part of one longer than the capacity."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("n_tokens"), F.col("text")).alias("total"))
+    cut_up = F.transform(F.sequence(F.lit(0), F.ceil(F.col("total") / capacity) - 1), lambda i: F.least(F.lit(capacity).cast("long"), F.col("total") - i * capacity))
+    lengths = F.when(F.col("total") <= capacity, F.array(F.col("total"))).otherwise(cut_up)
+    return sized.select("doc_id", F.posexplode(lengths).alias("part_no", "length"))
+
+
+def bucket_report(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``from_length, to_length, items, tokens, padded_containers, opened_containers`` of each bucket.
+
+    ``padded_containers``: what its items would need, padded to the bucket's boundary and kept
+    apart; ``opened_containers``: those whose longest item is of the bucket, as ``assign`` fills them.
+    """
+    histogram = {r["length"]: r["n"] for r in sized_parts(docs, capacity).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    opened = {high: sum(n for n, _ in own) for _, high, own in buckets(histogram, capacity)}
+    rows = []
+    for low, high, padded in boundaries(histogram, capacity):
+        held = [(k, c) for k, c in histogram.items() if low <= k <= high]
+        rows.append((low, high, sum(c for _, c in held), sum(k * c for k, c in held), padded, opened[high]))
+    return docs.sparkSession.createDataFrame(rows, "from_length long, to_length long, items long, tokens long, padded_containers long, opened_containers long")
+
+
 def assign(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``doc_id, part_no, first_token, n_tokens, container_id``: where each text, or part of a long one, goes.
 
@@ -126,16 +151,11 @@ def assign(docs: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     third of all rows share is no single task; repeated rows get a place each. What the
     driver holds is the histogram and the runs, bounded by the capacity.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), token_count(F.col("n_tokens"), F.col("text")).alias("total"))
-    # whole containers of long texts are counted apart: each has a container of its own
-    parts = sized.select("doc_id", "total", F.posexplode(F.when(F.col("total") <= capacity, F.array(F.col("total"))).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.col("total") / capacity) - 1), lambda i: F.least(F.lit(capacity).cast("long"), F.col("total") - i * capacity)))).alias("part_no", "length"))
-    parts = cut(parts.select("doc_id", "part_no", "length"))
+    parts = cut(sized_parts(docs, capacity))
     histogram = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = parts.sparkSession.createDataFrame(places(histogram, capacity), PLACES)
     groups = max(1, -(-max(histogram.values(), default=1) // group_rows))
     keyed = parts.where("length > 0").withColumn("g", F.pmod(F.xxhash64("doc_id", "part_no"), F.lit(groups)).cast("int"))
-    from pyspark.sql import Window
-
     sizes = keyed.groupBy("length", "g").agg(F.count("*").alias("n"))
     offsets = sizes.select("length", "g", (F.sum("n").over(Window.partitionBy("length").orderBy("g")) - F.col("n")).alias("offset"))
     own = F.row_number().over(Window.partitionBy("length", "g").orderBy("doc_id", "part_no")) - 1

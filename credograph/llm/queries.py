@@ -67,12 +67,17 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.assign(table(spark, sf_dir, "documents", "doc_id", "n_tokens", "text"))
 
 
+def p8_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of the dynamic programme, and what padding to their boundaries would need."""
+    return containers.bucket_report(table(spark, sf_dir, "documents", "doc_id", "n_tokens", "text"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "eval_items", "item_id", "item_text")
     return leaks.find(docs, items).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p8_containers": p8_containers, "p9_found": p9_found, "p10_found": p10_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups}
+QUERIES = {"p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p10_found": p10_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups}
 
 _COUNTS = r"""
 WITH toks AS (

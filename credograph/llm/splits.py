@@ -3,14 +3,13 @@
 Records that share a key, directly or through others, form a component. Components are
 placed by grouped iterative stratification: their label vectors are summed, the label
 with the fewest rows outstanding comes first, and its components go to the split that
-needs it most.
+needs it most. Components with equal vectors are placed together, each as if alone.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from credograph.llm.components import contract
 from credograph.session import cut
@@ -18,9 +17,13 @@ from credograph.session import cut
 #: Values that name nothing and so join nothing.
 PLACEHOLDERS = ["unclear", "unknown", "n/a", "not specified", "-", "none", "tbd", "not reported"]
 SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
-#: Components of at least 1/GRAIN of all rows are placed one by one (so at most GRAIN); the
-#: others in bundles by their rarest label and a hash, at most GRAIN for each label.
-GRAIN = 1000
+#: So many labels are balanced one by one; all rarer ones count as one label.
+LABELS = 1000
+#: Components are placed by their label vectors; while there are more different ones than this, those of
+#: the fewest rows are placed in bundles of equal rarest label, a hundredth of this for each label.
+VECTORS = 100_000
+#: Components of equal vectors are numbered in groups of about this many.
+GROUP_ROWS = 100_000
 
 
 def trial_key(c: Column) -> Column:
@@ -55,58 +58,103 @@ def grouped(df: DataFrame, record: str, keys: dict[str, Column], keep: list[str]
     return rows.join(sizes, "__root").select(F.col("__id").alias(record), "group_id", "group_rows", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)])
 
 
-def place(vectors: list[tuple[int, list[int]]], shares: list[float]) -> dict[int, int]:
-    """Item to split by iterative stratification; ``vectors``: item and its rows by label.
+def share_out(needs: list[float], rows: int, n: int, tie: list[float]) -> list[int]:
+    """How many of ``n`` equal items of ``rows`` rows each go to whom, each to the one in greatest need at its turn.
 
-    The label with the fewest rows outstanding comes first; of its items the largest;
-    each goes to the split with the greatest need of that label, then of rows in all,
-    then the first.
+    Ties go by ``tie``, the need in all, then to the first. All but the last few turns are
+    taken at once, by the level to which the needs come down.
     """
-    n = len(vectors[0][1]) if vectors else 0
-    total = [sum(v[i] for _, v in vectors) for i in range(n)]
-    need = [[share * t for t in total] for share in shares]
-    left = {item: v for item, v in vectors}
-    outstanding = total[:]
-    out: dict[int, int] = {}
+    out = [0] * len(needs)
+    bulk = n - 2 * len(needs)
+    if bulk > 0:
+        order = sorted(needs, reverse=True)
+        for k in range(1, len(order) + 1):
+            level = (sum(order[:k]) - bulk * rows) / k
+            if k == len(order) or level >= order[k]:
+                break
+        out = [max(0, int((x - level) / rows) - 1) if x > level else 0 for x in needs]
+    for _ in range(n - sum(out)):
+        out[max(range(len(needs)), key=lambda s: (needs[s] - out[s] * rows, tie[s] - out[s] * rows, -s))] += 1
+    return out
+
+
+def place(classes: list[tuple[tuple[int, ...], int]], shares: list[float]) -> list[list[int]]:
+    """How many components of each class go to each split, by iterative stratification.
+
+    ``classes``: label vector and number of components that have it. The label with the
+    fewest rows outstanding comes first; of its components those of most rows; each goes
+    to the split with the greatest need of that label, then of rows in all, then the first.
+    """
+    n = len(classes[0][0]) if classes else 0
+    outstanding = [sum(v[i] * c for v, c in classes) for i in range(n)]
+    need = [[share * t for t in outstanding] for share in shares]
+    out = [[0] * len(shares) for _ in classes]
+    left = set(range(len(classes)))
     while left:
         live = [i for i in range(n) if outstanding[i] > 0]
         if not live:
-            out |= dict.fromkeys(left, 0)
+            for k in left:
+                out[k][0] = classes[k][1]
             break
         label = min(live, key=lambda i: (outstanding[i], i))
-        for item, v in sorted(((k, v) for k, v in left.items() if v[label]), key=lambda x: (-sum(x[1]), x[0])):
-            best = max(range(len(shares)), key=lambda s: (need[s][label], sum(need[s]), -s))
-            out[item] = best
+        for k in sorted((k for k in left if classes[k][0][label]), key=lambda k: (-sum(classes[k][0]), classes[k][0])):
+            v, c = classes[k]
+            out[k] = share_out([x[label] for x in need], v[label], c, [sum(x) for x in need])
             for i in range(n):
-                need[best][i] -= v[i]
-                outstanding[i] -= v[i]
-            del left[item]
+                outstanding[i] -= v[i] * c
+                for s, got in enumerate(out[k]):
+                    need[s][i] -= v[i] * got
+            left.remove(k)
     return out
 
 
-def assign(records: DataFrame, record: str, label: str, shares: dict[str, float] = SHARES, grain: int = GRAIN) -> DataFrame:
+def assign(records: DataFrame, record: str, label: str, shares: dict[str, float] = SHARES, labels: int = LABELS, vectors: int = VECTORS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """``record, group_id, split`` of what ``grouped`` gives with the column ``label`` kept.
 
-    What reaches the driver is bounded by ``grain`` and the number of labels, which has
-    to be small: at most ``grain`` large components and ``grain`` bundles a label. Null
-    labels are a label of their own; ties go to the smaller label, item and split.
+    Components of equal label vectors are alike, so the driver places vectors with their
+    numbers of components, which is what placing all components one by one gives; which
+    of them goes where is settled by their number. What reaches the driver is bounded by
+    ``labels`` and ``vectors``, not by rows or components. Null labels are a label of
+    their own; ties go to the smaller label and the first split.
     """
-    labelled = records.select(record, "group_id", "group_rows", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("__l"))
-    counts = {r["__l"]: r["n"] for r in labelled.groupBy("__l").agg(F.count("*").alias("n")).collect()}
-    names = sorted(counts, key=lambda x: (counts[x], x))
-    total = sum(counts.values())
+    labelled = records.select(record, "group_id", F.coalesce(F.col(label).cast("string"), F.lit("")).alias("__l"))
+    counts = labelled.groupBy("__l").agg(F.count("*").alias("n"))
+    held = counts.orderBy(F.desc("n"), "__l").limit(labels).collect()
+    names = [r["__l"] for r in sorted(held, key=lambda r: (r["n"], r["__l"]))]
     splits = list(shares)
     if not names:
         return records.select(record, "group_id", F.lit(splits[0]).alias("split"))
-    vector = F.array(*[F.sum(F.when(F.col("__l") == x, 1).otherwise(0)) for x in names])
-    comps = labelled.groupBy("group_id").agg(F.max("group_rows").alias("n"), vector.alias("v"))
-    big = F.col("n") >= max(1.0, total / grain)
-    rarest = F.array_position(F.transform("v", lambda x: (x > 0).cast("int")), 1)
-    item = F.when(big, F.lit(-1) - F.col("group_id")).otherwise(rarest * grain + F.pmod(F.xxhash64("group_id"), F.lit(grain)))
-    comps = cut(comps.withColumn("item", item))
-    bundles = comps.groupBy("item").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(len(names))]).collect()
-    placed = place([(r["item"], [r[f"v{i}"] for i in range(len(names))]) for r in bundles], list(shares.values()))
-    schema = T.StructType([T.StructField("item", T.LongType()), T.StructField("split", T.StringType())])
-    lookup = records.sparkSession.createDataFrame([(k, splits[s]) for k, s in placed.items()], schema)
-    chosen = comps.select("group_id", "item").join(F.broadcast(lookup), "item").select("group_id", "split")
-    return records.select(record, "group_id").join(chosen, "group_id").select(record, "group_id", "split")
+    other = F.count("*") - F.count(F.when(F.col("__l").isin(names), 1))
+    vector = F.array(*[F.count(F.when(F.col("__l") == x, 1)) for x in names], other)
+    comps = cut(labelled.groupBy("group_id").agg(vector.alias("v")))
+    size = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x)
+    classes = comps.groupBy("v").agg(F.count("*").alias("n")).withColumn("size", size)
+    large = classes.orderBy(F.desc("size"), "v").limit(vectors + 1).collect()
+    if len(large) > vectors:  # all components of at least so many rows by their own vectors, the rest in bundles
+        least = large[-1]["size"] + 1
+        rarest = F.array_position(F.transform("v", lambda x: (x > 0).cast("int")), 1)
+        per = max(1, vectors // 100)
+        bundle = F.when(size < least, rarest * per + F.pmod(F.xxhash64("group_id"), F.lit(per)))
+        whole = comps.withColumn("b", bundle)
+        sums = whole.where("b is not null").groupBy("b").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(len(names) + 1)]).alias("w"))
+        comps = cut(whole.join(sums, "b", "left").select("group_id", F.coalesce("w", "v").alias("v"), F.coalesce(F.col("b"), F.lit(-1)).alias("b")))
+        unit = comps.select("v", "b", F.when(F.col("b") < 0, F.col("group_id")).alias("one")).distinct()
+        large = unit.groupBy("v").agg(F.count("*").alias("n")).collect()
+    else:
+        comps = comps.withColumn("b", F.lit(-1).cast("long"))
+    listed = [(tuple(r["v"]), r["n"]) for r in large]
+    rows, most = [], max(n for _, n in listed)
+    for (v, _), placed in zip(listed, place(listed, list(shares.values()))):
+        ends = [sum(placed[: s + 1]) for s in range(len(placed))]
+        rows += [(list(v), e - n, e, splits[s]) for s, (e, n) in enumerate(zip(ends, placed)) if n]
+    ranges = records.sparkSession.createDataFrame(rows, "v array<long>, from_no long, to_no long, split string")
+    # the components of a vector are numbered in hashed groups, so that no vector is one task; a bundle is one component
+    groups = max(1, -(-most // group_rows))
+    named = comps.select("group_id", "v", F.when(F.col("b") < 0, F.col("group_id")).otherwise(-F.col("b")).alias("unit"))
+    units = named.select("v", "unit").distinct().withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int"))
+    sizes = units.groupBy("v", "g").agg(F.count("*").alias("n"))
+    offsets = sizes.select("v", "g", (F.sum("n").over(Window.partitionBy("v").orderBy("g")) - F.col("n")).alias("offset"))
+    numbered = units.withColumn("no", F.row_number().over(Window.partitionBy("v", "g").orderBy(F.xxhash64("unit"), "unit")) - 1).join(offsets, ["v", "g"]).select("v", "unit", (F.col("no") + F.col("offset")).alias("no"))
+    chosen = numbered.join(ranges, "v").where("no >= from_no and no < to_no").select("v", "unit", "split")
+    by_group = named.join(chosen, ["v", "unit"]).select("group_id", "split")
+    return records.select(record, "group_id").join(by_group, "group_id").select(record, "group_id", "split")

@@ -37,6 +37,38 @@ def test_close_to_the_bound():
     assert n <= 1.002 * -(-sum(k * c for k, c in histogram.items()) // 2048)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 60), min_size=1, max_size=9))
+def test_boundaries_need_the_fewest_padded_containers(histogram):
+    """Against every division of the lengths."""
+    lengths = sorted(histogram)
+
+    def padded(division):
+        return sum(-(-sum(histogram[k] for k in b) // (32 // b[-1])) for b in division)
+
+    divisions = []
+    for mask in range(1 << (len(lengths) - 1)):
+        division, held = [], []
+        for i, k in enumerate(lengths):
+            held.append(k)
+            if i == len(lengths) - 1 or mask >> i & 1:
+                division.append(held)
+                held = []
+        divisions.append(division)
+    found = containers.boundaries(histogram, 32)
+    assert sum(n for _, _, n in found) == min(map(padded, divisions))
+    assert [k for low, high, _ in found for k in lengths if low <= k <= high] == lengths
+    assert sum(n for _, _, own in containers.buckets(histogram, 32) for n, _ in own) <= sum(n for _, _, n in found)
+
+
+def test_report(spark):
+    df = spark.createDataFrame([(i, [5, 17, 40, 100, 250, 0, 64][i % 7], None) for i in range(90)], "doc_id long, n_tokens long, text string")
+    rows = containers.bucket_report(df, 100).collect()
+    assert sum(r["opened_containers"] for r in rows) == containers.usage(containers.assign(df, 100), 100).first()["containers"]
+    assert sum(r["items"] for r in rows) == sum([1, 1, 1, 1, 3, 0, 1][i % 7] for i in range(90))
+    assert containers.bucket_report(df.limit(0)).count() == 0
+
+
 def test_large_counts_cost_no_more():
     assert held({k: 10**12 + k for k in range(1, 2049)}, 2048)[1][2048] == 10**12 + 2048
 
