@@ -8,6 +8,9 @@ needs it most. Components with equal vectors are placed together, each as if alo
 
 from __future__ import annotations
 
+from fractions import Fraction
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
 #: So many labels are balanced one by one; all rarer ones count as one label.
 LABELS = 1000
 #: Components are placed by their label vectors; while there are more different ones than this, those of
-#: the fewest rows are placed in bundles of equal rarest label, a hundredth of this for each label.
+#: the fewest rows are placed in hashed bundles of equal rarest label, as many again in all.
 VECTORS = 100_000
 #: Components of equal vectors are numbered in groups of about this many.
 GROUP_ROWS = 100_000
@@ -58,10 +61,11 @@ def grouped(df: DataFrame, record: str, keys: dict[str, Column], keep: list[str]
     return rows.join(sizes, "__root").select(F.col("__id").alias(record), "group_id", "group_rows", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(kept)])
 
 
-def share_out(needs: list[float], rows: int, n: int, tie: list[float]) -> list[int]:
-    """How many of ``n`` equal items of ``rows`` rows each go to whom, each to the one in greatest need at its turn.
+def share_out(needs: list[Any], rows: int, n: int, in_all: list[Any], all_rows: int) -> list[int]:
+    """How many of ``n`` equal items go to whom, each to the one in greatest need at its turn.
 
-    Ties go by ``tie``, the need in all, then to the first. All but the last few turns are
+    An item has ``rows`` rows of what is needed and ``all_rows`` in all; ties go by the
+    need ``in_all``, then to the first. All but the last few turns are
     taken at once, by the level to which the needs come down.
     """
     out = [0] * len(needs)
@@ -74,16 +78,17 @@ def share_out(needs: list[float], rows: int, n: int, tie: list[float]) -> list[i
                 break
         out = [max(0, int((x - level) / rows) - 1) if x > level else 0 for x in needs]
     for _ in range(n - sum(out)):
-        out[max(range(len(needs)), key=lambda s: (needs[s] - out[s] * rows, tie[s] - out[s] * rows, -s))] += 1
+        out[max(range(len(needs)), key=lambda s: (needs[s] - out[s] * rows, in_all[s] - out[s] * all_rows, -s))] += 1
     return out
 
 
-def place(classes: list[tuple[tuple[int, ...], int]], shares: list[float]) -> list[list[int]]:
+def place(classes: list[tuple[tuple[int, ...], int]], shares: list[Any]) -> list[list[int]]:
     """How many components of each class go to each split, by iterative stratification.
 
     ``classes``: label vector and number of components that have it. The label with the
     fewest rows outstanding comes first; of its components those of most rows; each goes
     to the split with the greatest need of that label, then of rows in all, then the first.
+    Shares are best given as fractions, so that ties are ties.
     """
     n = len(classes[0][0]) if classes else 0
     outstanding = [sum(v[i] * c for v, c in classes) for i in range(n)]
@@ -99,7 +104,7 @@ def place(classes: list[tuple[tuple[int, ...], int]], shares: list[float]) -> li
         label = min(live, key=lambda i: (outstanding[i], i))
         for k in sorted((k for k in left if classes[k][0][label]), key=lambda k: (-sum(classes[k][0]), classes[k][0])):
             v, c = classes[k]
-            out[k] = share_out([x[label] for x in need], v[label], c, [sum(x) for x in need])
+            out[k] = share_out([x[label] for x in need], v[label], c, [sum(x) for x in need], sum(v))
             for i in range(n):
                 outstanding[i] -= v[i] * c
                 for s, got in enumerate(out[k]):
@@ -133,7 +138,7 @@ def assign(records: DataFrame, record: str, label: str, shares: dict[str, float]
     if len(large) > vectors:  # all components of at least so many rows by their own vectors, the rest in bundles
         least = large[-1]["size"] + 1
         rarest = F.array_position(F.transform("v", lambda x: (x > 0).cast("int")), 1)
-        per = max(1, vectors // 100)
+        per = max(1, vectors // (len(names) + 1))
         bundle = F.when(size < least, rarest * per + F.pmod(F.xxhash64("group_id"), F.lit(per)))
         whole = comps.withColumn("b", bundle)
         sums = whole.where("b is not null").groupBy("b").agg(F.array(*[F.sum(F.col("v")[i]) for i in range(len(names) + 1)]).alias("w"))
@@ -144,7 +149,7 @@ def assign(records: DataFrame, record: str, label: str, shares: dict[str, float]
         comps = comps.withColumn("b", F.lit(-1).cast("long"))
     listed = [(tuple(r["v"]), r["n"]) for r in large]
     rows, most = [], max(n for _, n in listed)
-    for (v, _), placed in zip(listed, place(listed, list(shares.values()))):
+    for (v, _), placed in zip(listed, place(listed, [Fraction(str(x)) for x in shares.values()])):
         ends = [sum(placed[: s + 1]) for s in range(len(placed))]
         rows += [(list(v), e - n, e, splits[s]) for s, (e, n) in enumerate(zip(ends, placed)) if n]
     ranges = records.sparkSession.createDataFrame(rows, "v array<long>, from_no long, to_no long, split string")
