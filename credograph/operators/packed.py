@@ -8,10 +8,12 @@ joined back; the pieces are then taken out of the token array by position, JVM-s
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from credograph.session import cut
 
 #: Words that join two values, each with its skeleton character.
 JOIN_WORDS = {"and": "A", "plus": "P", "with": "W", "followed": "F", "by": "B", "combined": "C", "in": "I", "combination": "M"}
@@ -22,7 +24,7 @@ TOKEN = r"[nN]/[aA](?!\p{L})|\p{L}+|\p{Nd}+|\r?\n|[^\S\r\n]+|."
 #: Joining phrases as skeletons, longest first; ``~`` is any white space.
 PHRASES = ["I~M~W", "C~W", "F~B", "A", "P", "W"]
 CLOSING = {'"': '"', "“": "”", "'": "'", "‘": "’", "„": "“", "«": "»"}
-SIGNS = set(";；|•\n&+,/")
+SIGNS = ";；|•\n&+,/"
 #: Up to so many distinct skeletons are broadcast; beyond, the join is salted.
 BROADCAST_ROWS = 50_000
 
@@ -50,111 +52,81 @@ def skeleton(toks: Column) -> Column:
     return F.array_join(F.transform(toks, mask), "")
 
 
-def _marker(s: str, i: int, form: str | None = None) -> tuple[int, str] | None:
-    """End and form of a list number that begins at i: ``(9)``, ``9)`` or ``9.`` before a space."""
-    for f in ("(9)", "9)", "9."):
-        if s.startswith(f, i) and form in (None, f) and (f != "9." or s[i + 2 : i + 3] == " "):
-            return i + len(f), f
-    return None
+_STOP = r"(?=[ \n()" + "".join(SIGNS) + r"]|\z)"
+_QUOTED = "(?s)^(?:" + "|".join(f"{q}.*?{m}" for q, m in CLOSING.items()) + ")" + _STOP
+_PHRASE = "^(?:" + "|".join(p.replace("~", " ") for p in PHRASES) + r")(?=[ \n]|\z)"
+_MARKERS = [r"^\(9\)", r"^9\)", r"^9\.(?= )"]  #: of a list's numbers
+
+
+def _found(text: str, pattern: str) -> str:
+    """SQL: how long the pattern's match in a text is, 0 without one."""
+    return f"length(regexp_extract({text}, {_quoted(pattern)}, 0))"
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
 
-def _phrase(s: str, i: int) -> int:
-    """Length of the joining phrase at i, or 0; it has to stand between spaces."""
-    if i and s[i - 1] not in " \n":
-        return 0
-    for p in PHRASES:
-        if s.startswith(p.replace("~", " "), i) and s[i + len(p) : i + len(p) + 1] in ("", " ", "\n"):
-            return len(p)
-    return 0
+def _text(begin: str, n: str) -> str:
+    """SQL: the characters of a stretch; ``cs`` has one for each token."""
+    return f"array_join(slice(cs, {begin} + 1, {n}), '')"
 
 
-def _inside_number(s: str, i: int) -> bool:
-    """Whether the comma or slash at i belongs to a dose or a chemical name."""
-    before, after = s[i - 1 : i], s[i + 1 : i + 2]
-    if s[i] == ",":
-        return before == "9" == after and s[i + 2 : i + 4] != ",9"
-    left, right = s[:i].rstrip(" ")[-1:], s[i + 1 :].lstrip(" ")
-    if left == "u" and right[:1] == "u":
-        return True
-    return left == "9" and right[:1] == "9" and right[1:3] != ",9"
+def _trimmed(b: str, e: str) -> str:
+    """SQL: begin and end of what is left of a stretch without the white space around it; an empty one begins at -1."""
+    return f"""aggregate(if({e} > {b}, sequence({b}, {e} - 1), cast(array() as array<int>)), named_struct('b', -1, 'e', -1),
+        (a, i) -> if(cs[i] in (' ', '\\n'), a, named_struct('b', if(a.b < 0, i, a.b), 'e', i + 1)))"""
 
 
-def cuts(s: str) -> list[list[int]]:
-    """Begin and end (exclusive, in tokens) of each value of a skeleton.
+def cuts(skeletons: DataFrame) -> DataFrame:
+    """``s, cuts`` of skeletons ``s``: begin and end (exclusive, in tokens) of each value, in SQL expressions only.
 
     Signs and joining words separate outside quotes and brackets; empty pieces are
-    left out. Brackets and quotes that are never closed count as ordinary signs.
+    left out. Brackets and quotes that are never closed count as ordinary signs. One
+    pass over the characters: at each, the first rule that holds says whether a value
+    ends here, how many characters it takes, and whether nothing of the next has come yet.
+    All rules but those of quotes and brackets look at the next few characters only, since
+    white space is one token.
     """
-    pieces: list[tuple[int, int]] = []
-    first = len(s) - len(s.lstrip(" \n"))
-    listed = _marker(s, first)
-    form = listed[1] if listed else None
-    begin, i, fresh = 0, 0, True  # fresh: nothing of the value has come yet
-
-    def end(at: int, after: int) -> int:
-        nonlocal begin, fresh
-        pieces.append((begin, at))
-        begin, fresh = after, True
-        return after
-
-    while i < len(s):
-        c = s[i]
-        if form and (i == first or s[i - 1] in " \n" or fresh) and (m := _marker(s, i, form)):
-            i = end(i, m[0])
-        elif c in " ":
-            i += 1
-        elif fresh and c in CLOSING and (j := _close_quote(s, i, CLOSING[c])) > 0:
-            fresh, i = False, j + 1
-        elif c in "([{" and (j := _close_bracket(s, i)) > 0:
-            fresh, i = False, j + 1
-        elif n := _phrase(s, i):
-            i = end(i, i + n)
-        elif c in SIGNS and not (c in ",/" and _inside_number(s, i)):
-            i = end(i, i + 1)
-        else:
-            fresh, i = False, i + 1
-    pieces.append((begin, len(s)))
-    out = []
-    for b, e in pieces:
-        b, e = _trim(s, b, e)
-        if e - b >= 2 and s[b] in CLOSING and _close_quote(s, b, CLOSING[s[b]]) == e - 1:
-            b, e = _trim(s, b + 1, e - 1)
-        if e > b:
-            out.append([b, e])
-    return out
-
-
-def _trim(s: str, b: int, e: int) -> tuple[int, int]:
-    while b < e and s[b] in " \n":
-        b += 1
-    while e > b and s[e - 1] in " \n":
-        e -= 1
-    return b, e
-
-
-def _close_quote(s: str, i: int, mark: str) -> int:
-    """Where the quote opened at i closes: the next mark before a delimiter or the end."""
-    j = s.find(mark, i + 1)
-    while j > 0:
-        rest = s[j + 1 :].lstrip(" ")
-        if not rest or rest[0] in SIGNS or rest[0] in "()" or s[j + 1] == " ":
-            return j
-        j = s.find(mark, j + 1)
-    return -1
-
-
-def _close_bracket(s: str, i: int) -> int:
-    depth = 0
-    for j in range(i, len(s)):
-        depth += (s[j] in "([{") - (s[j] in ")]}")
-        if not depth:
-            return j
-    return -1
-
-
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
-def _rules(s: pd.Series) -> pd.Series:
-    return s.map(cuts)
+    # few characters are taken one by one: a slice would copy the whole array at each step
+    near = lambda offsets: "concat_ws('', " + ", ".join(f"get(cs, i + {k})" for k in offsets) + ")"
+    c, before, ahead = "cs[i]", "if(i = 0, '', cs[i - 1])", near(range(8))
+    apart = f"(i = 0 or {before} in (' ', '\n'))"
+    marker = "case form " + " ".join(f"when {k} then {_found(ahead, m)}" for k, m in enumerate(_MARKERS, 1)) + " else 0 end"
+    rest = _text("i", "size(cs) - i")
+    opens, closes = "('(', '[', '{')", "(')', ']', '}')"
+    depth = f"a.d + if(x in {opens}, 1, 0) - if(x in {closes}, 1, 0)"
+    bracket = f"""if({c} not in {opens}, 0, aggregate(slice(cs, i + 1, size(cs) - i), named_struct('d', 0, 'k', 0, 'at', 0),
+        (a, x) -> named_struct('d', {depth}, 'k', a.k + 1, 'at', if(a.at = 0 and {depth} = 0, a.k + 1, a.at))).at)"""
+    marks = ", ".join(_quoted(q) for q in CLOSING)
+    quote = f"if({c} not in ({marks}), 0, {_found(rest, _QUOTED)})"
+    head = near((-3, -2, -1))
+    number = f"""(({c} = ',' and {before} = '9' and {_found(ahead, "^,9(?!,9)")} > 0)
+        or ({c} = '/' and (({_found(head, r"9 *\z")} > 0 and {_found(ahead, "^/ *9(?!,9)")} > 0) or ({_found(head, r"u *\z")} > 0 and {_found(ahead, "^/ *u")} > 0))))"""
+    signs = ", ".join(_quoted(x) for x in SIGNS)
+    move = f"""case
+        when form > 0 and (i = first or t.m.fresh or {apart}) and {marker} > 0 then named_struct('cut', true, 'n', {marker}, 'fresh', true)
+        when {c} = ' ' then named_struct('cut', false, 'n', 1, 'fresh', t.m.fresh)
+        when t.m.fresh and {quote} > 0 then named_struct('cut', false, 'n', {quote}, 'fresh', false)
+        when {bracket} > 0 then named_struct('cut', false, 'n', {bracket}, 'fresh', false)
+        when {apart} and {_found(ahead, _PHRASE)} > 0 then named_struct('cut', true, 'n', {_found(ahead, _PHRASE)}, 'fresh', true)
+        when {c} in ({signs}) and not {number} then named_struct('cut', true, 'n', 1, 'fresh', true)
+        else named_struct('cut', false, 'n', 1, 'fresh', false) end"""
+    # what is copied at each step is the last move, not the pieces: those grow by the one that the step before has ended
+    start = "named_struct('skip', 0, 'begin', 0, 'fresh', true, 'b', -1, 'e', -1)"
+    stay = "named_struct('skip', t.m.skip, 'begin', t.m.begin, 'fresh', t.m.fresh, 'b', -1, 'e', -1)"
+    go = "named_struct('skip', i + m.n, 'begin', if(m.cut, i + m.n, t.m.begin), 'fresh', m.fresh, 'b', if(m.cut, t.m.begin, -1), 'e', if(m.cut, i, -1))"
+    ended = "if(t.m.b < 0, t.out, array_append(t.out, named_struct('b', t.m.b, 'e', t.m.e)))"
+    pieces = f"""aggregate(sequence(0, size(cs) - 1), named_struct('m', {start}, 'out', cast(array() as array<struct<b: int, e: int>>)),
+        (t, i) -> named_struct('m', if(i < t.m.skip, {stay}, transform(array({move}), m -> {go})[0]), 'out', {ended}),
+        t -> array_append({ended}, named_struct('b', t.m.begin, 'e', size(cs))))"""
+    enclosed = f"p.e - p.b >= 2 and cs[p.b] in ({marks}) and {_found(_text('p.b', 'size(cs) - p.b'), _QUOTED)} = p.e - p.b"
+    bare = f"transform(transform({pieces}, p -> {_trimmed('p.b', 'p.e')}), p -> if({enclosed}, {_trimmed('(p.b + 1)', '(p.e - 1)')}, p))"
+    first = _found("s", r"^[ \n]+")
+    form = "case " + " ".join(f"when {_found(_text(first, '8'), m)} > 0 then {k}" for k, m in enumerate(_MARKERS, 1)) + " else 0 end"
+    found = f"transform(array(split(s, '')), cs -> transform(array(named_struct('first', {first}, 'form', {form})), z -> transform(filter({bare}, p -> p.e > p.b), p -> array(p.b, p.e)))[0])[0]"
+    found = re.sub(r"\bform (?=>|when)", "z.form ", found).replace("i = first", "i = z.first")
+    return skeletons.where("s <> ''").select("s", F.expr(found).alias("cuts"))
 
 
 def split_packed(df: DataFrame, value: str, keep: list[str], pos: str = "pos", item: str = "item_value", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -172,7 +144,7 @@ def split_packed(df: DataFrame, value: str, keep: list[str], pos: str = "pos", i
     kept = [f"__k{n}" for n in range(len(keep))]
     base = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(value).alias("__v")).where(F.trim(F.regexp_replace("__v", r"\s+", " ")) != "")
     base = base.withColumn("__t", tokens(F.col("__v"))).withColumn("__s", skeleton(F.col("__t"))).drop("__v")
-    rules = base.select("__s").distinct().withColumn("__r", _rules("__s")).persist()
+    rules = cut(cuts(base.select(F.col("__s").alias("s")).distinct()).select(F.col("s").alias("__s"), F.col("cuts").alias("__r")))
     if rules.limit(broadcast_rows + 1).count() <= broadcast_rows:
         joined = base.join(F.broadcast(rules), "__s")
     else:
