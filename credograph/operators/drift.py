@@ -1,8 +1,7 @@
 """Schemas that drift between files: rescue-column ingestion and a report of every change.
 
 ``ingest`` enforces a target schema on raw JSON lines; whatever is unknown or can't be
-cast is kept as JSON in ``_rescued``, and each record's fields are listed with their
-types and a digest of their values. ``promote`` replays rescued values into new typed
+cast is kept as JSON in ``_rescued``. ``promote`` replays rescued values into new typed
 columns; ``replay`` does so for every change that ``changes`` found, renamed or retyped,
 nested or in arrays. ``changes`` compares each file of a feed with the one before it; a rename is
 told from an addition by replaying the values of trials that both files export.
@@ -14,11 +13,10 @@ import hashlib
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from itertools import repeat
 from typing import Any
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +49,8 @@ REPLAYED = {**TARGET, "failure_modes[].mode": "array<string>", "registry_phase":
 #: In an object that took the place of a single value, the keys that hold the value.
 VALUE_KEYS = ("met", "code", "raw", "exact", "enrolled", "description", "value", "name")
 TRUTH = {"true": True, "yes": True, "y": True, "1": True, "false": False, "no": False, "n": False, "0": False}
+#: A task passes its profile on when it holds so many fields of files; the sums are the same.
+FLUSH_FIELDS = 200_000
 KIND = {str: 1, int: 2, float: 2, bool: 4, dict: 8, list: 16, type(None): 0}
 #: Of the values of trials that carry both fields, the share that has to agree for a rename.
 AGREE = 0.5
@@ -76,22 +76,24 @@ def _digests(at: int, v: Any) -> set[tuple[int, int]]:
     return {(at, _hash(v)), *((WORD, _hash(w)) for w in words)}
 
 
-def inventory(record: dict[str, Any]) -> list[tuple[str, int, set[tuple[int, int]], bool]]:
-    """Path, types (bits), digests and whether all values are true or false, of each field of a record."""
+def inventory(record: dict[str, Any], wanted: Container[str] = ()) -> tuple[dict[str, int], dict[str, set[tuple[int, int]]]]:
+    """Types (bits) of each field of a record, and the digests of the values of those that are wanted."""
     kinds: dict[str, int] = defaultdict(int)
     digests: dict[str, set[tuple[int, int]]] = defaultdict(set)
     stack: list[tuple[str, Any, tuple[int, ...]]] = [("", record, ())]
     while stack:
         path, v, at = stack.pop()
         if isinstance(v, dict):
-            for k in reversed(v):
+            for k, x in v.items():
                 p = f"{path}.{k}" if path else k
-                kinds[p] |= KIND[type(v[k])]
-                digests[p] |= _digests(_hash(at) if at else 0, v[k])
-                stack.append((p, v[k], at))
-        elif isinstance(v, list):
+                kinds[p] |= KIND[type(x)]
+                if p in wanted:
+                    digests[p] |= _digests(_hash(at) if at else 0, x)
+                if isinstance(x, (dict, list)):
+                    stack.append((p, x, at))
+        else:
             stack.extend((f"{path}[]", x, (*at, i)) for i, x in enumerate(v) if isinstance(x, (dict, list)))
-    return [(p.encode("utf-8", "replace").decode(), k, digests[p], k == KIND[bool]) for p, k in kinds.items()]
+    return kinds, digests
 
 
 def _cast(v: Any, kind: str) -> tuple[Any, bool]:
@@ -297,7 +299,7 @@ def parse(payload: Any) -> dict[str, Any] | None:
 
 
 def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = None, payload: str = "payload", names: Names | None = None, file: tuple[str, str] = ("feed", "file_no")) -> DataFrame:
-    """``keep`` columns, the target's columns, ``_rescued`` (JSON by path), ``_fields`` and ``_trial``.
+    """``keep`` columns, the target's columns, ``_rescued`` (JSON by path) and ``_broken``.
 
     Broken, null and empty lines come with ``_broken`` true and all else null, so that no
     line is lost; repeated lines stay repeated. Columns of ``lines`` that are not in
@@ -308,28 +310,26 @@ def ingest(lines: DataFrame, keep: list[str], target: dict[str, str] | None = No
     kept = lines.select(*keep).schema
     types = {"json": "string"}
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{column_name(p)}` {types.get(t, t)}" for p, t in target.items()])
-    ddl += ", _rescued string, _fields array<struct<path: string, kinds: int, digests: array<struct<at: bigint, digest: bigint>>, flag: boolean>>, _trial string, _broken boolean"
+    ddl += ", _rescued string, _broken boolean"
 
     def run(batches: Iterator[Any]) -> Iterator[Any]:
         import pyarrow as pa
 
         for b in batches:
-            made: list[list[Any]] = [[] for _ in range(len(target) + 4)]
+            made: list[list[Any]] = [[] for _ in range(len(target) + 2)]
             files = zip(*(b.column(keep.index(c)).to_pylist() for c in file)) if names else repeat((None, None))
             for p, (feed, n) in zip(b.column(len(keep)).to_pylist(), files):
                 record = parse(p)
                 if record is None:
-                    row = [None] * (len(target) + 3) + [True]
+                    row = [None] * (len(target) + 1) + [True]
                 else:
                     typed, rescued = replay(record, target, names.of(feed, n)) if names else enforce(record, target)
-                    trial = re.sub(r"\D", "", str(record.get("nct_id") or ""))
-                    fields = [{"path": a, "kinds": k, "digests": [{"at": x, "digest": y} for x, y in d], "flag": f} for a, k, d, f in inventory(record)]
-                    row = [*typed, json.dumps(rescued) if rescued else None, fields, trial or None, False]
+                    row = [*typed, json.dumps(rescued) if rescued else None, False]
                 for column, x in zip(made, row):
                     column.append(x)
             kinds = [_arrow(types.get(t, t)) for t in target.values()]
-            kinds += [pa.string(), pa.list_(pa.struct([("path", pa.string()), ("kinds", pa.int32()), ("digests", pa.list_(pa.struct([("at", pa.int64()), ("digest", pa.int64())]))), ("flag", pa.bool_())])), pa.string(), pa.bool_()]
-            columns = [f.name for f in kept] + [column_name(p) for p in target] + ["_rescued", "_fields", "_trial", "_broken"]
+            kinds += [pa.string(), pa.bool_()]
+            columns = [f.name for f in kept] + [column_name(p) for p in target] + ["_rescued", "_broken"]
             yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(keep))] + [pa.array(m, k) for m, k in zip(made, kinds)], names=columns)
 
     return lines.select(*keep, F.col(payload)).mapInArrow(run, ddl)
@@ -357,9 +357,69 @@ def promote(ingested: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFram
     return out
 
 
-def profile(ingested: DataFrame, by: list[str]) -> DataFrame:
-    """Types of each field of each file; null alone is no type."""
-    return ingested.where(~F.col("_broken")).select(*by, F.explode("_fields").alias("f")).groupBy(*by, F.col("f.path").alias("path")).agg(F.bit_or("f.kinds").alias("kinds"))
+def _files(lines: DataFrame, feed: str, file_no: str, payload: str) -> DataFrame:
+    return lines.select(F.col(feed).cast("string").alias("feed"), F.col(file_no).cast("long").alias("n"), F.col(payload).cast("string").alias("payload")).where("feed is not null and n is not null")
+
+
+def profile(lines: DataFrame, feed: str = "feed", file_no: str = "file_no", payload: str = "payload") -> DataFrame:
+    """``feed, n, path, kinds``: types of each field of each file; null alone is no type.
+
+    Each task adds up its own files' fields first. Lines that can't be parsed, and those
+    without feed or file number, say nothing.
+    """
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        held: dict[tuple[str, int, str], int] = defaultdict(int)
+
+        def passed() -> Any:
+            keys = list(held)
+            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string()), pa.array([held[k] for k in keys], pa.int32())]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns, names=["feed", "n", "path", "kinds"])
+
+        for b in batches:
+            for f, n, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                record = parse(text)
+                for p, k in inventory(record)[0].items() if record is not None else ():
+                    held[f, n, _clean(p)] |= k
+            if len(held) > FLUSH_FIELDS:
+                yield passed()
+        yield passed()
+
+    return _files(lines, feed, file_no, payload).mapInArrow(run, "feed string, n long, path string, kinds int").groupBy("feed", "n", "path").agg(F.bit_or("kinds").alias("kinds"))
+
+
+def _clean(path: str) -> str:
+    return path.encode("utf-8", "replace").decode()
+
+
+def _evidence(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``feed, n, side, trial, path, flag, at, digest`` of the fields that came (``new``) or went (``old``, under the file after).
+
+    ``wanted``: for each file the paths that ``came`` with it and that ``went`` after it.
+    """
+
+    def run(batches: Iterator[Any]) -> Iterator[Any]:
+        import pyarrow as pa
+
+        names = ["feed", "n", "side", "trial", "path", "flag", "at", "digest"]
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()]
+        for b in batches:
+            rows = []
+            for f, n, text, came, went in zip(*(b.column(i).to_pylist() for i in range(5))):
+                record = parse(text)
+                if record is None:
+                    continue
+                sides = [(n, "new", frozenset(came or ())), (n + 1, "old", frozenset(went or ()))]
+                kinds, digests = inventory(record, sides[0][2] | sides[1][2])
+                trial = re.sub(r"\D", "", str(record.get("nct_id") or "")) or None
+                rows += [(f, at_n, side, trial, p, kinds[p] == KIND[bool], at, d) for at_n, side, paths in sides for p in paths & digests.keys() for at, d in digests[p]]
+            columns = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, types)], names=names)
+
+    return lines.join(wanted, ["feed", "n"]).select("feed", "n", "payload", "came", "went").mapInArrow(run, "feed string, n long, side string, trial string, path string, flag boolean, at long, digest long")
 
 
 def _words(name: str) -> set[str]:
@@ -382,14 +442,17 @@ def diff(before: dict[str, int], after: dict[str, int], evidence: dict[tuple[str
     """Field path, new path and kind of each topmost change; evidence: values to compare, equal ones, shared words, all flags."""
     old, new = _Level(before), _Level(after)
     found: list[tuple[str, str, str]] = []
+    told: dict[tuple[str, str], tuple[int, int, float, bool]] = {}  # evidence of a pair and of all alike paths below it
+    for (x, y), (n, m, w, flag) in evidence.items():
+        for k in [len(x), *(i for i, c in enumerate(x) if c in ".[")]:
+            if y.endswith(x[k:]):
+                pair = x[:k], y[: len(y) - len(x) + k]
+                n0, m0, w0, flag0 = told.get(pair, (0, 0, 0.0, True))
+                told[pair] = n0 + n, m0 + m, max(w0, w), flag0 and flag
 
     def support(r: str, a: str) -> tuple[float, int] | None:
         """Share and number of values that speak for r going on as a."""
-        both = equal = 0
-        words, flags = 0.0, True
-        for (x, y), (n, m, w, flag) in evidence.items():
-            if x.startswith(r) and y.startswith(a) and x[len(r) :] == y[len(a) :] and x[len(r) : len(r) + 1] in ("", ".", "["):
-                both, equal, words, flags = both + n, equal + m, max(words, w), flags and flag
+        both, equal, words, flags = told.get((r, a), (0, 0, 0.0, True))
         if before[r] and after[a] and not before[r] & after[a]:
             return None
         common = _words(r.rsplit(".", 1)[-1]) & _words(a.rsplit(".", 1)[-1])
@@ -427,27 +490,25 @@ def diff(before: dict[str, int], after: dict[str, int], evidence: dict[tuple[str
     return found
 
 
-def changes(ingested: DataFrame, feed: str = "feed", file_no: str = "file_no") -> DataFrame:
+def changes(lines: DataFrame, feed: str = "feed", file_no: str = "file_no", payload: str = "payload") -> DataFrame:
     """One row per change of a file against the file numbered one less, topmost path only.
 
-    Fields are profiled with partial aggregation; values are compared only for fields
-    that went or came, by joins on trial, never within one task. What one task gathers is
+    The lines are read twice: fields are profiled first, added up within each task; then
+    values are compared only for fields that went or came, by joins on trial, never within
+    one task. What one task gathers is
     a pair of files' field lists, bounded by the width of the schema. Files without
     parsable lines, or whose predecessor is missing, have no changes; null feeds and
     file numbers are left out; ties between candidates go to the smaller name.
     """
-    src = ingested.where(~F.col("_broken")).select(F.col(feed).alias("feed"), F.col(file_no).cast("long").alias("n"), "_trial", "_fields", "_broken").where("feed is not null and n is not null").persist()
-    prof = cut(profile(src, ["feed", "n"]))
+    prof = cut(profile(lines, feed, file_no, payload))
     cur, prev = prof.select("feed", "n", "path", "kinds"), prof.select("feed", (F.col("n") + 1).alias("n"), "path", "kinds")
     went = prev.join(cur, ["feed", "n", "path"], "left_anti").join(cur.select("feed", "n").distinct(), ["feed", "n"], "left_semi")
     came = cur.join(prev, ["feed", "n", "path"], "left_anti").join(prev.select("feed", "n").distinct(), ["feed", "n"], "left_semi")
-    values = src.select("feed", "n", "_trial", F.explode("_fields").alias("f")).select("feed", "n", "_trial", F.col("f.path").alias("path"), F.col("f.flag").alias("flag"), F.col("f.digests").alias("d"))
-
-    def of(side: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-        rows = side.join(keys.select("feed", "n", "path"), ["feed", "n", "path"], "left_semi")
-        return rows.select("feed", "n", "_trial", F.col("path").alias(name), "flag", F.inline("d")).distinct()
-
-    old, new = cut(of(values.withColumn("n", F.col("n") + 1), went, "old")), cut(of(values, came, "new"))
+    moved = came.select("feed", "n", F.col("path").alias("c"), F.lit(None).cast("string").alias("w")).unionByName(went.select("feed", (F.col("n") - 1).alias("n"), F.lit(None).cast("string").alias("c"), F.col("path").alias("w")))
+    wanted = moved.groupBy("feed", "n").agg(F.collect_set("c").alias("came"), F.collect_set("w").alias("went"))  # a file's fields: bounded by the schema
+    # both sides in one table, repeated lines told once
+    told = cut(_evidence(_files(lines, feed, file_no, payload), wanted).distinct())
+    old, new = (told.where(F.col("side") == side).select("feed", "n", F.col("trial").alias("_trial"), F.col("path").alias(side), "flag", "at", "digest") for side in ("old", "new"))
     one, other = old.where(f"at <> {WORD} and _trial is not null"), new.where(f"at <> {WORD} and _trial is not null")
     key, at = ["feed", "n", "old", "new"], ["feed", "n", "_trial", "at"]
     both = one.groupBy(*at, "old").agg(F.bool_and("flag").alias("flag")).join(other.select(*at, "new").distinct(), at).groupBy(key).agg(F.count("*").alias("both"), F.bool_and("flag").alias("flag"))
@@ -464,11 +525,19 @@ def changes(ingested: DataFrame, feed: str = "feed", file_no: str = "file_no") -
         .unionByName(pairs.select("feed", "n", F.lit("e").alias("side"), F.col("old").alias("p"), F.col("new").alias("q"), F.coalesce("both", F.lit(0)).cast("long").alias("x"), F.coalesce("equal", F.lit(0)).cast("long").alias("y"), F.coalesce("words", F.lit(0)).cast("long").alias("z"), F.coalesce("flag", F.lit(False)).alias("flag")))
     )
 
-    def compare(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        before = {p: int(x) for p, x in pdf.loc[pdf.side == "b", ["p", "x"]].itertuples(index=False)}
-        after = {p: int(x) for p, x in pdf.loc[pdf.side == "a", ["p", "x"]].itertuples(index=False)}
-        evidence = {(p, q): (int(x), int(y), int(z) / 100, bool(f)) for p, q, x, y, z, f in pdf.loc[pdf.side == "e", ["p", "q", "x", "y", "z", "flag"]].itertuples(index=False)}
-        found = diff(before, after, evidence) if before and after else []
-        return pd.DataFrame([(key[0], key[1], p, q, k) for p, q, k in sorted(found)], columns=["feed", "file_no", "field_path", "new_field_path", "change_kind"])
+    def compare(key: tuple[Any, ...], rows: Any) -> Any:
+        import pyarrow as pa
 
-    return rows.groupBy("feed", "n").applyInPandas(compare, "feed string, file_no int, field_path string, new_field_path string, change_kind string")
+        before: dict[str, int] = {}
+        after: dict[str, int] = {}
+        evidence: dict[tuple[str, str], tuple[int, int, float, bool]] = {}
+        for side, p, q, x, y, z, flag in zip(*(rows.column(c).to_pylist() for c in ("side", "p", "q", "x", "y", "z", "flag"))):
+            if side == "e":
+                evidence[p, q] = x, y, z / 100, flag
+            else:
+                (before if side == "b" else after)[p] = x
+        found = sorted(diff(before, after, evidence)) if before and after else []
+        file = [pa.array([k.as_py()] * len(found), t) for k, t in zip(key, (pa.string(), pa.int32()))]
+        return pa.Table.from_arrays(file + [pa.array([x[i] for x in found], pa.string()) for i in range(3)], names=["feed", "file_no", "field_path", "new_field_path", "change_kind"])
+
+    return rows.groupBy("feed", "n").applyInArrow(compare, "feed string, file_no int, field_path string, new_field_path string, change_kind string")

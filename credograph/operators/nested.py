@@ -1,8 +1,9 @@
 """Deeply nested records to related flat tables, in one tagged pass.
 
 A depth-first visitor emits one row per element: the table it belongs to, its key, its
-parent's key and its payload. The rows are written partitioned by table tag, and each
-table's schema is applied when it is read.
+parent's key and its payload, without the lists inside it, whose elements are rows of
+their own. The rows are written partitioned by table tag, and each table's schema is
+applied when it is read.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from credograph.session import shared_path
+
 #: The lists at the top of a record, and the keys that hold lists at any depth inside them.
 ROOTS = ("therapeutic_hypothesis.target_population", "results.effect_size")
 LISTS = ("subgroups", "features", "by_arm", "timepoints", "arm_incidences")
@@ -42,6 +45,24 @@ def opened(v: Any) -> Any:
     return v
 
 
+def own(v: Any, lists: tuple[str, ...] = LISTS) -> Any:
+    """What an element says itself: the lists at any depth of its objects are left out."""
+    if not isinstance(v, dict):
+        return v
+    out: dict[str, Any] = {}
+    stack = [(v, out)]
+    while stack:
+        x, to = stack.pop()
+        for k, y in x.items():
+            y = opened(y)
+            if isinstance(y, dict) and k not in lists:
+                to[k] = {}
+                stack.append((y, to[k]))
+            elif k not in lists:
+                to[k] = y
+    return out
+
+
 def visit(payload: str, roots: tuple[str, ...] = ROOTS, lists: tuple[str, ...] = LISTS) -> Iterator[tuple[str, str, str, str]]:
     """Table tag, row path, parent path and payload of each element of one record, depth first."""
     try:
@@ -66,7 +87,7 @@ def visit(payload: str, roots: tuple[str, ...] = ROOTS, lists: tuple[str, ...] =
                     continue
                 inner.append(("", x, f"{path}[{i}]", parent))
             for _, x, row, up in inner:
-                yield tag, row, up, json.dumps(x)
+                yield tag, row, up, json.dumps(own(x, lists))
             inner = [("", x, row, row) for _, x, row, _ in inner if isinstance(x, (dict, list))]
         elif isinstance(v, dict):
             inner = [(k if k in lists else "", x, f"{path}.{k.encode('utf-8', 'replace').decode()}", parent) for k, x in v.items()]
@@ -97,8 +118,15 @@ def write_tables(df: DataFrame, path: str, **at: str) -> None:
 
 
 def read_table(spark: SparkSession, path: str, tag: str) -> DataFrame:
-    """The flat table of a tag with its schema applied; scalars come in ``value``."""
-    rows = spark.read.parquet(path).where(F.col("table_tag") == tag).drop("table_tag")
+    """The flat table of a tag with its schema applied; scalars come in ``value``; a table that nothing was written to is empty."""
+    rows = spark.read.schema(TAGGED).parquet(path).where(F.col("table_tag") == tag).drop("table_tag")
     body = F.from_json("payload", SCHEMAS[tag])
     scalar = F.when(~F.col("payload").startswith("{"), F.get_json_object(F.concat(F.lit('{"v":'), "payload", F.lit("}")), "$.v"))
     return rows.withColumn("b", body).withColumn("value", scalar).select("record_id", "row_path", "parent_path", "b.*", "value", "payload")
+
+
+def tables(df: DataFrame, **at: str) -> dict[str, DataFrame]:
+    """All flat tables by tag, written once to the shared folder and read from there."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "tables")
+    write_tables(df, path, **at)
+    return {tag: read_table(spark, path, tag) for tag in SCHEMAS}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credograph.operators import drift, nested, packed
 from credograph.sources.tables import table
@@ -10,7 +13,7 @@ from credograph.sources.tables import table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "feed_lines", "feed", "file_no", "payload")
-    return drift.changes(drift.ingest(lines, ["feed", "file_no"])).distinct()
+    return drift.changes(lines).distinct()
 
 
 def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +23,25 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     keep = ["line_id", "feed", "file_no", "line_no"]
     lines = table(spark, sf_dir, "feed_lines", *keep, "payload")
-    found = drift.changes(drift.ingest(lines, ["feed", "file_no"])).distinct().collect()
+    found = drift.changes(lines).distinct().collect()
     names = drift.Names([tuple(r) for r in found], drift.REPLAYED)
-    return drift.ingest(lines, keep, drift.REPLAYED, names=names).drop("_fields", "_trial")
+    return drift.ingest(lines, keep, drift.REPLAYED, names=names)
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return nested.tables(table(spark, sf_dir, "nested_records", "record_id", "payload"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nested.flatten(table(spark, sf_dir, "nested_records", "record_id", "payload"))
-    return rows.select("record_id", "row_path", "parent_path")
+    """The keys of all flat tables."""
+    return reduce(DataFrame.unionByName, [t.select("record_id", "row_path", "parent_path") for t in _nested(spark, sf_dir).values()])
+
+
+def p5_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each arm's outcome beside the effect it is part of: child rows joined to their parents."""
+    t = _nested(spark, sf_dir)
+    up = t["effect_size"].select("record_id", F.col("row_path").alias("parent_path"), "estimate", "unit")
+    return t["by_arm"].select("record_id", "row_path", "parent_path", "arm_id", "outcome").join(up, ["record_id", "parent_path"], "left")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +49,5 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.split_packed(df, "compound", ["extraction_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p5_found": p5_found, "p6_found": p6_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p5_found": p5_found, "p5_arms": p5_arms, "p6_found": p6_found}
 SQL: dict[str, str] = {}

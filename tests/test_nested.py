@@ -51,3 +51,11 @@ def test_tables(spark, tmp_path):
     assert [(r["axis"], r["key"], r["level"], r["parent_path"]) for r in f] == [("g", "K", None, f"{TP}[0]")]
     e = nested.read_table(spark, str(tmp_path / "t"), "effect_size").orderBy("row_path").collect()
     assert [(r["estimate"], r["value"]) for r in e] == [(None, "2.5"), (1.5, None)]
+
+
+def test_tables_of_all_records(spark):
+    df = spark.createDataFrame([(1, record([{"description": "a", "note": {"x": 1, "features": [3]}, "features": [{"axis": "g"}]}], "HR 2")), (2, "{")], "record_id long, payload string")
+    t = nested.tables(df)
+    assert {tag: x.count() for tag, x in t.items()} == {"target_population": 1, "effect_size": 1, "features": 2, "subgroups": 0, "by_arm": 0, "timepoints": 0, "arm_incidences": 0}
+    assert json.loads(t["target_population"].first()["payload"]) == {"description": "a", "note": {"x": 1}}
+    assert sum(x.count() for x in nested.tables(df.limit(0)).values()) == 0
