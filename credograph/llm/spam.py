@@ -28,7 +28,7 @@ MIN_CHARS = 60
 GREATER_PART = 0.5
 #: A ratio at most this share of the usual one is extreme; up to the second it needs repeats.
 EXTREME, LOW = 0.5, 0.65
-#: Share of a block's characters in links, how many at least, and share of its items with a price or an offer.
+#: Share of a block's characters in links, how many at least, and share of its items with a price.
 LINK_SHARE, LINKS, OFFER_SHARE = 0.6, 5, 0.5
 #: Share of a list's items that repeat others, and of its words that are one and the same.
 REPEATED_ITEMS, ONE_WORD = 0.3, 0.17
@@ -40,9 +40,9 @@ PRIOR_BLOCKS = 30
 LEAST_USUAL = 0.75
 
 LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)[^\s<>\")]+", re.S | re.I)
-TAG = re.compile(r"<[^<>]{0,2000}>")
+TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 META = re.compile(r"<meta\b[^>]*\bcontent\s*=\s*\"([^\"]*)\"[^>]*>", re.I)
-OFFER = re.compile(r"[$€£]\s?\d|\d\s?[$€£]|add to cart|in stock|free shipping", re.I)
+OFFER = re.compile(r"[$€£¥₹]\s?\d|\d\s?[$€£¥₹]")
 WORD = re.compile(r"[^\W_]+(?:[-'’,][^\W_]+)*")
 SENTENCE = re.compile(r"[^.!?\n]*[.!?]+[\"'”)]*(?:\s|$)|[^.!?\n]+(?:\n|$)")
 SEPARATORS = ("\n", "»", "|", "•", "#", ";", " / ", ", ", " - ", " · ")
@@ -83,34 +83,36 @@ def length_class(n: int) -> int:
 
 
 def items(block: str) -> list[str]:
-    """The block's list items by its commonest separator; lines where it has several."""
+    """The items of a block in lower case by its commonest separator; lines where it has several."""
     if block.count("\n") >= 2:
         sep = "\n"
     else:
         sep, n = max(((s, block.count(s)) for s in SEPARATORS), key=lambda x: x[1])
         if n < 5:
             return []
-    return [x for x in (p.strip(" \t.,").lower() for p in block.split(sep)) if x]
+    return [x for x in (p.strip(" \t.,") for p in block.split(sep)) if x]
 
 
 def measures(block: str) -> tuple[float, float, float, float, float]:
-    """Share of links (0 if few), offers, repeated items and the commonest word; sentences told once per 100 words."""
-    text = TAG.sub(" ", META.sub(r" \1 ", block))
-    spans = [m.end() - m.start() for m in LINK.finditer(block)]
-    links = sum(spans) if len(spans) >= LINKS else 0
-    markup = sum(m.end() - m.start() for m in TAG.finditer(LINK.sub("", block)))
-    link_share = links / max(1, len(block) - markup)
+    """Share of links (0 if few), items with a price, repeated items and the commonest word; sentences told once per 100 words."""
+    text, link_share = block, 0.0
+    if "<" in block:
+        text = TAG.sub(" ", META.sub(r" \1 ", block))
+    if "<" in block or "://" in block or "](" in block or "www." in block.lower():
+        spans = [m.end() - m.start() for m in LINK.finditer(block)]
+        markup = sum(m.end() - m.start() for m in TAG.finditer(LINK.sub("", block)))
+        link_share = (sum(spans) if len(spans) >= LINKS else 0) / max(1, len(block) - markup)
+    text = text.lower()
     listed = items(text)
     offers = sum(bool(OFFER.search(x)) for x in listed) / len(listed) if len(listed) >= 4 else float(bool(OFFER.search(block)))
     repeated = 1 - len(set(listed)) / len(listed) if len(listed) >= 6 else 0.0
-    words = [w.lower() for w in WORD.findall(text)]
-    sentences = [s.strip().lower() for s in SENTENCE.findall(text)]
-    sentences = [s for s in sentences if s]
+    words = WORD.findall(text)
+    sentences = [x for x in map(str.strip, SENTENCE.findall(text)) if x]
+    once = set(sentences)
     if len(sentences) >= 8:
-        repeated = max(repeated, 1 - len(set(sentences)) / len(sentences))
-    told = sum(1 for s in set(sentences) if s[-1:] in ".!?\"')” " and len(s.split()) >= 5 and s.rstrip("\"')”")[-1:] in ".!?")
-    long_words = Counter(w for w in words if len(w) >= 5)
-    top = max(long_words.values(), default=0) / max(1, len(words))
+        repeated = max(repeated, 1 - len(once) / len(sentences))
+    told = sum(1 for s in once if s.rstrip("\"')”")[-1:] in (".", "!", "?") and s.count(" ") >= 4 and len(s.split()) >= 5)
+    top = max(Counter(w for w in words if len(w) >= 5).values(), default=0) / max(1, len(words))
     return link_share, offers, repeated, top, 100 * told / max(1, len(words))
 
 
