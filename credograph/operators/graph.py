@@ -22,11 +22,22 @@ def chain_probabilities(edges: DataFrame, key: str = "chain_id") -> DataFrame:
     return x.groupBy(key).agg(F.round(B.softmin(F.col("p")), 6).alias("efficacy"), F.max("weak").alias("bottleneck"), top.alias("bottleneck_edge"), F.count("*").alias("n_edges"))
 
 
-def two_hop(edges: DataFrame, first: str, second: str) -> DataFrame:
-    """Simple paths over two edge types."""
-    a = edges.where(F.col("edge_type") == first).select("src", F.col("dst").alias("via"))
-    b = edges.where(F.col("edge_type") == second).select(F.col("src").alias("via"), "dst")
-    return a.join(b, "via").where("src <> dst").select("src", "via", "dst")
+def two_hop_counts(edges: DataFrame, first: str, second: str) -> DataFrame:
+    """``via, sources, sinks, paths`` of the simple paths over two edge types, counted for each middle node and never paired.
+
+    Paths that lead back to where they began are taken off: nodes that are source and sink of the same middle node.
+    """
+    a = edges.where(F.col("edge_type") == first).select(F.col("dst").alias("via"), F.col("src").alias("node")).distinct()
+    b = edges.where(F.col("edge_type") == second).select(F.col("src").alias("via"), F.col("dst").alias("node")).distinct()
+    ins, outs = a.groupBy("via").agg(F.count("*").alias("i")), b.groupBy("via").agg(F.count("*").alias("o"))
+    back = a.intersect(b).groupBy("via").agg(F.count("*").alias("k"))
+    x = ins.join(outs, "via").join(back, "via", "left")
+    k = F.coalesce("k", F.lit(0))
+    paths = F.col("i") * F.col("o") - k
+    # a node that is both has no path if it is the only one of the other side
+    sources = F.col("i") - F.when(F.col("o") == 1, k).otherwise(0)
+    sinks = F.col("o") - F.when(F.col("i") == 1, k).otherwise(0)
+    return x.where(paths > 0).select("via", sources.alias("sources"), sinks.alias("sinks"), paths.alias("paths"))
 
 
 def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataFrame:
@@ -61,6 +72,20 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataF
     return out
 
 
+def running_total(df: DataFrame, by: str, order: str, value: str, out: str, prefix: int = 8) -> DataFrame:
+    """``out``: the sum of ``value`` up to each row in the order of a text column, ties summed together, per ``by``.
+
+    Rows fall into ranges by the order's first characters; the ranges' sums are added up
+    first, then each range on its own, so that no window holds all rows of a group.
+    """
+    x = df.withColumn("__r", F.substring(order, 1, prefix))
+    sums = x.groupBy(by, "__r").agg(F.sum(value).alias("__s"))
+    before = Window.partitionBy(by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as ranges
+    sums = sums.select(by, "__r", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__b"))
+    own = Window.partitionBy(by, "__r").orderBy(order)
+    return x.withColumn("__o", F.sum(value).over(own)).join(sums, [by, "__r"]).withColumn(out, F.col("__o") + F.col("__b")).drop("__r", "__o", "__b")
+
+
 def best_of(edges: DataFrame, by: str, pick: str) -> DataFrame:
     """For each node the neighbour with the greatest p·(1+strength); ties go to the larger name."""
     a, b = F.col("alpha"), F.col("beta")
@@ -76,13 +101,13 @@ def bridges(uses: DataFrame, node: str, side: str, value: str) -> DataFrame:
 
 
 def leave_one_out_rate(rows: DataFrame, key: str, value: str, prior: float = 0.5, weight: float = 2.0) -> DataFrame:
-    """Each row's group mean without itself, shrunk towards ``prior``."""
-    w = Window.partitionBy(key)
-    rest, n = F.sum(value).over(w) - F.col(value), F.count(value).over(w) - 1
-    return rows.withColumn("rate", F.round((rest + prior * weight) / (n + weight), 6))
+    """Each row's group mean without itself, shrunk towards ``prior``; sums are joined back, so a hot group is split."""
+    sums = rows.groupBy(key).agg(F.sum(value).alias("__sum"), F.count(value).alias("__n"))
+    rate = (F.col("__sum") - F.col(value) + prior * weight) / (F.col("__n") - 1 + weight)
+    return rows.join(sums, key).withColumn("rate", F.round(rate, 6)).drop("__sum", "__n")
 
 
 def subsets(features: str) -> Column:
-    """All non-empty subsets of a sorted array column of at most ten features, each joined by ``__``."""
-    f = f"slice({features}, 1, 10)"
-    return F.expr(f"transform(sequence(1, shiftleft(1, size({f})) - 1), m -> array_join(filter({f}, (x, i) -> (shiftright(m, i) & 1) = 1), '__'))")
+    """All non-empty subsets of a sorted array column, each joined by ``__``; twice as many with each feature."""
+    f = features
+    return F.expr(f"transform(sequence(1L, shiftleft(1L, size({f})) - 1), m -> array_join(filter({f}, (x, i) -> (shiftright(m, i) & 1) = 1), '__'))")

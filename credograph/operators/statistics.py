@@ -21,7 +21,7 @@ def score_levels(df: DataFrame, p: str, y: str) -> DataFrame:
     return df.groupBy(F.col(p).alias("s")).agg(F.sum(y).alias("pos"), F.sum(1 - F.col(y)).alias("neg"))
 
 
-def running(levels: DataFrame, descending: bool = False, parts: int = 64) -> DataFrame:
+def running(levels: DataFrame, descending: bool = False, parts: int = 1024) -> DataFrame:
     """Positives and negatives on smaller scores (or larger ones), without a window over all rows.
 
     Scores fall into ``parts`` ranges; ranges are summed up first, then each on its own.
@@ -37,6 +37,11 @@ def running(levels: DataFrame, descending: bool = False, parts: int = 64) -> Dat
     return x.join(F.broadcast(totals), "part").select("s", "pos", "neg", (F.col("rp") + F.col("bp")).alias("pos_before"), (F.col("rn") + F.col("bn")).alias("neg_before"))
 
 
+def with_totals(df: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every row with the columns of a one-row aggregate, computed in the same plan."""
+    return df.join(F.broadcast(totals), F.lit(True))
+
+
 def auroc(df: DataFrame, p: str, y: str) -> DataFrame:
     """Probability that a positive scores above a negative, ties as half; null without both kinds."""
     x = running(score_levels(df, p, y))
@@ -54,8 +59,7 @@ def delong(df: DataFrame, p1: str, p2: str, y: str) -> DataFrame:
     """AUROC of two scores on the same rows and the z of their difference, from structural components."""
     def placements(p: str, name: str) -> DataFrame:
         r = running(score_levels(df, p, y))
-        tot = df.agg(F.sum(y).alias("P"), F.sum(1 - F.col(y)).alias("N")).first()
-        r = r.withColumns({"P": F.lit(tot["P"]), "N": F.lit(tot["N"])})
+        r = with_totals(r, df.agg(F.sum(y).alias("P"), F.sum(1 - F.col(y)).alias("N")))
         return r.select(F.col("s").alias(f"s_{name}"), ((F.col("neg_before") + F.col("neg") / 2) / F.col("N")).alias(f"v_{name}"), ((F.col("P") - F.col("pos_before") - F.col("pos") / 2) / F.col("P")).alias(f"w_{name}"))
 
     x = df.join(placements(p1, "a"), F.col(p1) == F.col("s_a")).join(placements(p2, "b"), F.col(p2) == F.col("s_b"))

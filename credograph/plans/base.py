@@ -18,9 +18,14 @@ SOURCES = {"genetic": "genetic_gwas", "in_vitro": "preclinical_in_vitro", "datab
 BACKBONE = [("affects", "compound", "target"), ("modulates_via", "target", "mechanism"), ("mechanism_affects", "mechanism", "biology"), ("biology_drives", "biology", "indication"), ("endpoint_captures", "endpoint", "indication"), ("responds_differently", "population", "biology")]
 
 
+# Evidence tier of each phase; any other phase counts as literature.
+PHASE_TIERS = {"EARLY_PHASE1": "clinical_phase1", "PHASE1": "clinical_phase1", "PHASE2": "clinical_phase2", "PHASE2/PHASE3": "clinical_phase3", "PHASE3": "clinical_phase3", "PHASE4": "clinical_phase3"}
+
+
 def phase_tier(phase: Column) -> Column:
     p = F.upper(F.replace(phase, F.lit(" "), F.lit("")))
-    return F.when(p == "PHASE3", "clinical_phase3").when(p == "PHASE2", "clinical_phase2").when(p == "PHASE1", "clinical_phase1").otherwise("literature")
+    tiers = F.create_map(*[F.lit(x) for kv in PHASE_TIERS.items() for x in kv])
+    return F.coalesce(F.element_at(tiers, p), F.lit("literature"))
 
 
 def role(c: Column) -> Column:
@@ -64,7 +69,10 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One chain for each extraction of a known trial, with its outcome and weight."""
+    """One chain for each extraction of a known trial, with its outcome and weight.
+
+    ``indications`` are all conditions of the trial, ``indication`` the first named one.
+    """
     x = table(spark, sf_dir, "extractions").where(F.col("nct_id").rlike(r"\d{8}"))
     h = "therapeutic_hypothesis."
     x = x.select(
@@ -76,13 +84,22 @@ def chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.join(t, "trial_id").join(verdicts(spark, sf_dir), "trial_id", "left")
     outcome = F.when(F.col("met"), "success").when(~F.col("met"), "failure").otherwise(F.coalesce("trial_outcome", F.lit("unknown")))
     weight = B.lookup(B.N_EFF, phase_tier(F.col("phase"))) * F.coalesce("confidence", F.lit(0.5)) * B.precision(F.col("sample_size")) * F.when(F.col("operational"), 0.2).otherwise(1.0)
-    return x.withColumns({"indication": role(F.get("conditions", F.lit(0))), "outcome": outcome, "w": F.round(weight, 6)})
+    named = F.array_distinct(F.array_compact(F.transform("conditions", role)))
+    return x.withColumns({"indications": F.coalesce(named, F.array().cast("array<string>")), "outcome": outcome, "w": F.round(weight, 6)}).withColumn("indication", F.get("indications", F.lit(0)))
+
+
+def by_indication(chain: DataFrame) -> DataFrame:
+    """Chains once for each condition of their trial; those of trials without one are left out."""
+    return chain.withColumn("indication", F.explode("indications"))
 
 
 def unpivot(chain: DataFrame, *keep: str) -> DataFrame:
-    """The backbone edges of each chain; an edge without both ends is skipped."""
-    structs = [F.struct(F.lit(t).alias("edge_type"), F.col(a).alias("src"), F.col(b).alias("dst")) for t, a, b in BACKBONE]
-    return chain.select(*keep, F.inline(F.array(*structs))).where("src is not null and dst is not null")
+    """The backbone edges of each chain, those into the indication once for each condition; an edge without both ends is skipped."""
+    edge = lambda t, a, b: F.struct(F.lit(t).alias("edge_type"), a.alias("src"), b.alias("dst"))
+    single = F.array(*[edge(t, F.col(a), F.col(b)) for t, a, b in BACKBONE if b != "indication"])
+    fan = lambda t, a: F.transform("indications", lambda i: edge(t, F.col(a), i))
+    into = [fan(t, a) for t, a, b in BACKBONE if b == "indication"]
+    return chain.select(*keep, F.inline(F.concat(single, *into))).where("src is not null and dst is not null")
 
 
 _ROLE = "nullif(trim(regexp_replace(lower({}), '\\s+', ' ', 'g')), '')"
@@ -94,7 +111,7 @@ def sql_role(expr: str) -> str:
     return f"CASE WHEN {v} NOT IN {_NOTHING} THEN {v} END"
 
 
-_PHASE = "CASE upper(replace(t.phase, ' ', '')) WHEN 'PHASE3' THEN 15.0 WHEN 'PHASE2' THEN 6.0 WHEN 'PHASE1' THEN 2.0 ELSE 0.2 END"
+_PHASE = "CASE upper(replace(t.phase, ' ', '')) WHEN 'PHASE4' THEN 15.0 WHEN 'PHASE3' THEN 15.0 WHEN 'PHASE2/PHASE3' THEN 15.0 WHEN 'PHASE2' THEN 6.0 WHEN 'PHASE1' THEN 2.0 WHEN 'EARLY_PHASE1' THEN 2.0 ELSE 0.2 END"
 _F_N = "CASE WHEN {0} > 0 THEN greatest(least(sqrt({0} / 350.0::DOUBLE), 2.5::DOUBLE), 0.5::DOUBLE) ELSE 1.0::DOUBLE END"
 EV_SQL = f"""ev0 AS (
   SELECT e.evidence_id AS seq, e.src_entity_id AS src, e.dst_entity_id AS dst, e.edge_type, e.source_id, e.source_type, e.p_value, e.observed_at AS ts, t.conditions,
@@ -104,17 +121,20 @@ EV_SQL = f"""ev0 AS (
   FROM evidence e LEFT JOIN trials t ON t.nct_id = e.source_id WHERE e.src_entity_id IS NOT NULL AND e.dst_entity_id IS NOT NULL
 ), ev AS (SELECT *, round(n_eff * p_obs, 6)::DECIMAL(18,6) AS up, round(n_eff * (1 - p_obs), 6)::DECIMAL(18,6) AS down FROM ev0
 ), bel AS (SELECT src, dst, edge_type, 1 + sum(up)::DOUBLE AS alpha, 1 + sum(down)::DOUBLE AS beta, count(*) AS n_records FROM ev GROUP BY ALL)"""
+_INDS = f"list_filter(list_transform(t.conditions, lambda c: {sql_role('c')}), lambda c: c IS NOT NULL)"
 CH_SQL = f"""verd AS (
   SELECT 'NCT' || regexp_extract(nct_id, '(\\d{{8}})', 1) AS trial_id, arg_max({{'o': trial_outcome, 'm': failure_modes, 'c': confidence_overall, 'f': operational_failure}}, (classified_at, classification_id)) AS v
   FROM classifications WHERE regexp_matches(nct_id, '\\d{{8}}') GROUP BY 1
 ), ch AS (
   SELECT x.extraction_id AS chain_id, t.nct_id AS trial_id, t.phase, t.overall_status, t.why_stopped, t.conditions, t.sponsor,
     {", ".join(f"{sql_role('x.therapeutic_hypothesis.' + c)} AS {n}" for n, c in (("compound", "compound"), ("target", "claimed_target"), ("mechanism", "proposed_mechanism"), ("biology", "intended_biology"), ("endpoint", "primary_endpoint"), ("population", "target_population")))},
-    {sql_role("t.conditions[1]")} AS indication, x.results.primary_endpoint_met AS met, x.results.safety_signals AS signals, x.context.sample_size AS sample_size, x.annotated_at,
+    {_INDS} AS inds, ({_INDS})[1] AS indication, x.results.primary_endpoint_met AS met, x.results.safety_signals AS signals, x.context.sample_size AS sample_size, x.annotated_at,
     v.v.m[1].mode AS mode, v.v.f AS operational, v.v.c AS confidence, coalesce({sql_role("v.v.o")}, 'unknown') AS trial_outcome,
     CASE WHEN x.results.primary_endpoint_met THEN 'success' WHEN NOT x.results.primary_endpoint_met THEN 'failure' ELSE coalesce({sql_role("v.v.o")}, 'unknown') END AS outcome,
     round({_PHASE}::DOUBLE * coalesce(v.v.c, 0.5) * {_F_N.format("x.context.sample_size")} * CASE WHEN v.v.f THEN 0.2 ELSE 1.0 END::DOUBLE, 6) AS w
   FROM extractions x JOIN trials t ON t.nct_id = 'NCT' || regexp_extract(x.nct_id, '(\\d{{8}})', 1) LEFT JOIN verd v ON v.trial_id = t.nct_id WHERE regexp_matches(x.nct_id, '\\d{{8}}')
 ), ce AS (
-  SELECT * FROM ({" UNION ALL ".join(f"SELECT *, '{t}' AS edge_type, {a} AS src, {b} AS dst FROM ch" for t, a, b in BACKBONE)}) WHERE src IS NOT NULL AND dst IS NOT NULL
+  SELECT * FROM ({" UNION ALL ".join(f"SELECT *, '{t}' AS edge_type, {a} AS src, {'unnest(list_distinct(inds))' if b == 'indication' else b} AS dst FROM ch" for t, a, b in BACKBONE)}) WHERE src IS NOT NULL AND dst IS NOT NULL
+), ci AS (SELECT * EXCLUDE (indication), unnest(list_distinct(inds)) AS indication FROM ch
+), cei AS (SELECT * EXCLUDE (indication), unnest(list_distinct(inds)) AS indication FROM ce
 )"""

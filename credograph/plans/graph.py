@@ -9,7 +9,7 @@ from credograph.functions import belief as B
 from credograph.operators import graph as G
 from credograph.operators.attribution import success_updates
 from credograph.plans.attribution import RT_SQL, _beliefs, _edges, attributed_beliefs
-from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, unpivot
+from credograph.plans.base import CH_SQL, EV_SQL, beliefs, by_indication, chains, evidence_log, unpivot
 from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
@@ -21,7 +21,7 @@ def _succeeded() -> Column:
 
 def _chain_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = attributed_beliefs(spark, sf_dir)
-    return unpivot(chains(spark, sf_dir), "chain_id", "compound", "indication").join(b, KEY)
+    return unpivot(chains(spark, sf_dir), "chain_id").join(b, KEY)
 
 
 def chain_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def chain_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def compare_hypotheses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compounds ranked within each indication by their best chain."""
-    p = chain_prediction(spark, sf_dir).join(chains(spark, sf_dir).select("chain_id", "compound", "indication"), "chain_id").where("compound is not null and indication is not null")
+    p = chain_prediction(spark, sf_dir).join(by_indication(chains(spark, sf_dir)).select("chain_id", "compound", "indication"), "chain_id").where("compound is not null")
     best = p.groupBy("indication", "compound").agg(F.max("efficacy").alias("efficacy"))
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("indication").orderBy(F.desc("efficacy"), "compound")))
 
@@ -51,22 +51,21 @@ def best_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compound to mechanism over each target: paths of two hops, counted; ``all_simple_paths`` has the rest."""
-    e = unpivot(chains(spark, sf_dir), "trial_id").distinct().persist()
-    steps = e.select("src", "dst", "edge_type").distinct()
-    return G.two_hop(steps, "affects", "modulates_via").groupBy("via").agg(F.countDistinct("src").alias("compounds"), F.countDistinct("dst").alias("mechanisms"), F.count("*").alias("paths"))
+    steps = unpivot(chains(spark, sf_dir), "trial_id").select("src", "dst", "edge_type").distinct()
+    return G.two_hop_counts(steps, "affects", "modulates_via").select("via", F.col("sources").alias("compounds"), F.col("sinks").alias("mechanisms"), "paths")
 
 
 def all_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All simple paths of up to six hops over every edge type, from compound to indication of the chains whose id divides by 50."""
     c = chains(spark, sf_dir).persist()
-    asked = c.where("chain_id % 50 = 0 and compound is not null and indication is not null").select(F.col("compound").alias("src"), F.col("indication").alias("tgt"))
+    asked = by_indication(c).where("chain_id % 50 = 0 and compound is not null").select(F.col("compound").alias("src"), F.col("indication").alias("tgt"))
     return G.simple_paths(unpivot(c, "chain_id"), asked)
 
 
 def stated_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct chains by signature, the first one kept."""
     roles = ["compound", "target", "mechanism", "biology", "indication", "endpoint"]
-    return chains(spark, sf_dir).groupBy(*roles).agg(F.min("chain_id").alias("chain_id"), F.count("*").alias("n")).where("compound is not null and indication is not null").select("chain_id", "n")
+    return by_indication(chains(spark, sf_dir)).where("compound is not null").groupBy(*roles).agg(F.min("chain_id").alias("chain_id"), F.count("*").alias("n")).select("chain_id", "indication", "n")
 
 
 def trial_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,19 +104,19 @@ def population_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def biology_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = chains(spark, sf_dir).where("biology is not null and indication is not null and outcome <> 'unknown'").withColumn("y", _succeeded())
+    u = by_indication(chains(spark, sf_dir)).where("biology is not null and outcome <> 'unknown'").withColumn("y", _succeeded())
     return G.bridges(u, "biology", "indication", "y")
 
 
 def mechanism_bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mechanism edges with evidence from at least two indications."""
-    e = unpivot(chains(spark, sf_dir), "trial_id", "indication").where("edge_type = 'mechanism_affects' and indication is not null")
+    e = unpivot(by_indication(chains(spark, sf_dir)), "trial_id", "indication").where("edge_type = 'mechanism_affects'")
     return e.groupBy("src", "dst").agg(F.countDistinct("indication").alias("indications"), F.countDistinct("trial_id").alias("trials")).where("indications >= 2")
 
 
 def census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges of each type by the number of indications that use them."""
-    e = unpivot(chains(spark, sf_dir), "indication").where("indication is not null").groupBy(*KEY).agg(F.countDistinct("indication").alias("k"))
+    e = unpivot(by_indication(chains(spark, sf_dir)), "indication").groupBy(*KEY).agg(F.countDistinct("indication").alias("k"))
     return e.groupBy("edge_type").agg(F.count("*").alias("edges"), F.sum(F.when(F.col("k") >= 2, 1).otherwise(0)).alias("shared"), F.max("k").alias("most"))
 
 
@@ -155,16 +154,15 @@ def provenance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def group_rate_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chains(spark, sf_dir).where("indication is not null and outcome in ('success', 'failure')").select("chain_id", "indication", _succeeded().alias("y"))
+    c = by_indication(chains(spark, sf_dir)).where("outcome in ('success', 'failure')").select("chain_id", "indication", _succeeded().alias("y"))
     return G.leave_one_out_rate(c, "indication", "y")
 
 
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many edges a growing number of trials, in order of their ids, would cover."""
     e = unpivot(chains(spark, sf_dir), "trial_id").groupBy(*KEY).agg(F.min("trial_id").alias("first"))
-    per = e.groupBy("first", "edge_type").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("edge_type").orderBy("first").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(F.col("first").alias("trial_id"), "edge_type", F.sum("n").over(w).alias("edges"))
+    per = e.groupBy(F.col("first").alias("trial_id"), "edge_type").agg(F.count("*").alias("n"))
+    return G.running_total(per, "edge_type", "trial_id", "n", "edges").select("trial_id", "edge_type", "edges")
 
 
 def degree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,24 +182,24 @@ _AXES = "['metastatic', 'relapsed', 'refractory', 'elderly', 'advanced', 'severe
 _T = "WITH "
 SQL = {
     "chain_prediction": f"{_T}{AT_SQL} SELECT * FROM cp",
-    "compare_hypotheses": f"{_T}{AT_SQL}, b AS (SELECT indication, compound, max(efficacy) AS efficacy FROM cp JOIN ch USING (chain_id) WHERE compound IS NOT NULL AND indication IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY indication ORDER BY efficacy DESC, compound) AS rank FROM b",
+    "compare_hypotheses": f"{_T}{AT_SQL}, b AS (SELECT indication, compound, max(efficacy) AS efficacy FROM cp JOIN ci USING (chain_id) WHERE compound IS NOT NULL GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY indication ORDER BY efficacy DESC, compound) AS rank FROM b",
     "suggestions": f"{_T}{AT_SQL}, x AS (SELECT src, dst, edge_type, alpha, beta, round((1 - alpha / (alpha + beta)) * least(1.0, ln(greatest(alpha + beta - 2, 0) + 1) / ln(50)), 6) AS bottleneck FROM ab), y AS (SELECT src, dst, edge_type, bottleneck, CASE WHEN alpha + beta - 2 < 2 THEN 'DATA GAP' WHEN bottleneck > 0.5 THEN 'WEAK LINK' WHEN bottleneck >= 0.2 THEN 'MODERATE' END AS kind FROM x) SELECT * FROM y WHERE kind IS NOT NULL",
     "best_target": f"{_T}{EV_SQL}, s AS (SELECT src, dst, round(alpha / (alpha + beta) * (alpha + beta - 1), 6) AS score FROM bel WHERE edge_type = 'affects'), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst DESC) AS k FROM s) SELECT src, dst, score FROM r WHERE k = 1",
     "simple_paths": f"{_T}{CH_SQL}, s AS (SELECT DISTINCT src, dst, edge_type FROM ce) SELECT a.dst AS via, count(DISTINCT a.src) AS compounds, count(DISTINCT b.dst) AS mechanisms, count(*) AS paths FROM s a JOIN s b ON a.dst = b.src WHERE a.edge_type = 'affects' AND b.edge_type = 'modulates_via' AND a.src <> b.dst GROUP BY 1",
-    "stated_chains": f"{_T}{CH_SQL} SELECT min(chain_id) AS chain_id, count(*) AS n FROM ch WHERE compound IS NOT NULL AND indication IS NOT NULL GROUP BY compound, target, mechanism, biology, indication, endpoint",
+    "stated_chains": f"{_T}{CH_SQL} SELECT min(chain_id) AS chain_id, indication, count(*) AS n FROM ci WHERE compound IS NOT NULL GROUP BY compound, target, mechanism, biology, indication, endpoint",
     "trial_subgraph": f"{_T}{CH_SQL}, e AS (SELECT DISTINCT trial_id, src, dst, edge_type FROM ce), n AS (SELECT trial_id, src AS node FROM e UNION SELECT trial_id, dst FROM e), k AS (SELECT trial_id, count(*) AS nodes FROM n GROUP BY 1) SELECT trial_id, count(*) AS edges, any_value(nodes) AS nodes FROM e JOIN k USING (trial_id) GROUP BY 1",
     "target_siblings": f"{_T}{EV_SQL}, b AS (SELECT DISTINCT src, dst FROM ev WHERE edge_type = 'affects'), n AS (SELECT dst, count(*) - 1 AS others FROM b GROUP BY 1) SELECT src, count(*) AS targets, sum(others)::BIGINT AS siblings FROM b JOIN n USING (dst) GROUP BY 1",
     "ae_risk_retrieval": f"{_T}{EV_SQL}, p AS (SELECT src, dst, round(alpha / (alpha + beta), 6) AS p, alpha + beta - 2 AS s FROM bel WHERE edge_type = 'target_associated_ae' AND alpha + beta - 2 >= 1), r AS (SELECT src, dst, p, row_number() OVER (PARTITION BY src ORDER BY round(p * s, 6) DESC, dst) AS rank FROM p WHERE p >= 0.4) SELECT * FROM r WHERE rank <= 10",
     "name_lookup": f"{_T}{CH_SQL}, q AS (SELECT DISTINCT compound FROM ch WHERE length(compound) >= 4), p AS (SELECT compound, unnest(list_distinct(string_split_regex(compound, '[^\\p{{L}}\\p{{Nd}}]+'))) AS name FROM q) SELECT compound, min(entity_id) AS entity_id FROM p JOIN ref_entities ON name = lower(canonical_name) GROUP BY 1",
     "population_subsets": f"{_T}{CH_SQL}, f AS (SELECT chain_id, list_sort(list_filter({_AXES}, lambda a: list_contains(string_split(population, ' '), a))) AS f FROM ch WHERE population IS NOT NULL), m AS (SELECT chain_id, f, unnest(range(1, (1 << len(f)))) AS m FROM f WHERE len(f) > 0), s AS (SELECT chain_id, array_to_string(list_filter(f, lambda x, i: ((m >> (i - 1)::BIGINT) & 1) = 1), '__') AS population_id FROM m) SELECT population_id, count(*) AS chains FROM s GROUP BY 1",
-    "biology_bridges": f"{_T}{CH_SQL}, p AS (SELECT biology, indication, avg(CASE outcome WHEN 'success' THEN 1.0 ELSE 0.0 END) AS m, count(*) AS n FROM ch WHERE biology IS NOT NULL AND indication IS NOT NULL AND outcome <> 'unknown' GROUP BY 1, 2) SELECT biology, count(*) AS sides, sum(n)::BIGINT AS uses, round(max(m) - min(m), 6) AS spread, arg_max(indication, (round(m, 9), indication)) AS high, arg_min(indication, (round(m, 9), indication)) AS low FROM p GROUP BY 1 HAVING count(*) >= 2",
-    "mechanism_bridges": f"{_T}{CH_SQL} SELECT src, dst, count(DISTINCT indication) AS indications, count(DISTINCT trial_id) AS trials FROM ce WHERE edge_type = 'mechanism_affects' AND indication IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT indication) >= 2",
-    "census": f"{_T}{CH_SQL}, k AS (SELECT src, dst, edge_type, count(DISTINCT indication) AS k FROM ce WHERE indication IS NOT NULL GROUP BY ALL) SELECT edge_type, count(*) AS edges, sum(CASE WHEN k >= 2 THEN 1 ELSE 0 END)::BIGINT AS shared, max(k) AS most FROM k GROUP BY 1",
+    "biology_bridges": f"{_T}{CH_SQL}, p AS (SELECT biology, indication, avg(CASE outcome WHEN 'success' THEN 1.0 ELSE 0.0 END) AS m, count(*) AS n FROM ci WHERE biology IS NOT NULL AND outcome <> 'unknown' GROUP BY 1, 2) SELECT biology, count(*) AS sides, sum(n)::BIGINT AS uses, round(max(m) - min(m), 6) AS spread, arg_max(indication, (round(m, 9), indication)) AS high, arg_min(indication, (round(m, 9), indication)) AS low FROM p GROUP BY 1 HAVING count(*) >= 2",
+    "mechanism_bridges": f"{_T}{CH_SQL} SELECT src, dst, count(DISTINCT indication) AS indications, count(DISTINCT trial_id) AS trials FROM cei WHERE edge_type = 'mechanism_affects' GROUP BY 1, 2 HAVING count(DISTINCT indication) >= 2",
+    "census": f"{_T}{CH_SQL}, k AS (SELECT src, dst, edge_type, count(DISTINCT indication) AS k FROM cei GROUP BY ALL) SELECT edge_type, count(*) AS edges, sum(CASE WHEN k >= 2 THEN 1 ELSE 0 END)::BIGINT AS shared, max(k) AS most FROM k GROUP BY 1",
     "chain_coverage": f"{_T}{RT_SQL}, p AS (SELECT trial_id, count(*) AS n, count(sb.n_records) AS k FROM re LEFT JOIN sb USING (src, dst, edge_type) GROUP BY 1) SELECT CASE WHEN k = 0 THEN 'zero' WHEN k < n THEN 'partial' ELSE 'full' END AS coverage, count(*) AS trials FROM p GROUP BY 1",
     "completeness_audit": f"{_T}{CH_SQL} SELECT DISTINCT dst AS node, 'modulates_via' AS lacks FROM ce WHERE edge_type = 'affects' AND dst NOT IN (SELECT src FROM ce WHERE edge_type = 'modulates_via') UNION ALL SELECT DISTINCT dst, 'mechanism_affects' FROM ce WHERE edge_type = 'modulates_via' AND dst NOT IN (SELECT src FROM ce WHERE edge_type = 'mechanism_affects')",
     "integrity_audit": f"{_T}{CH_SQL}, r AS (SELECT chain_id, unnest([CASE WHEN compound IS NULL THEN 'no compound' END, CASE WHEN target IS NULL THEN 'no target' END, CASE WHEN mechanism IS NULL THEN 'no mechanism' END, CASE WHEN biology IS NULL THEN 'no biology' END, CASE WHEN indication IS NULL THEN 'no indication' END, CASE WHEN target = mechanism THEN 'same target and mechanism' END]) AS reason FROM ch) SELECT * FROM r WHERE reason IS NOT NULL",
     "provenance_split": f"{_T}{EV_SQL}, x AS (SELECT src, dst, edge_type, count(*) FILTER (WHERE source_type = 'clinical_trial') AS clinical, count(*) FILTER (WHERE source_type = 'database') AS database, count(DISTINCT conditions[1]) AS conditions FROM ev GROUP BY ALL) SELECT *, CASE WHEN clinical = 0 THEN 'no trial' WHEN conditions > 1 THEN 'cross' ELSE 'same' END AS kind FROM x",
-    "group_rate_baseline": f"{_T}{CH_SQL}, y AS (SELECT chain_id, indication, CASE outcome WHEN 'success' THEN 1.0::DOUBLE ELSE 0 END AS y FROM ch WHERE indication IS NOT NULL AND outcome IN ('success', 'failure')) SELECT *, round((sum(y) OVER w - y + 1.0) / (count(*) OVER w - 1 + 2.0), 6) AS rate FROM y WINDOW w AS (PARTITION BY indication)",
+    "group_rate_baseline": f"{_T}{CH_SQL}, y AS (SELECT chain_id, indication, CASE outcome WHEN 'success' THEN 1.0::DOUBLE ELSE 0 END AS y FROM ci WHERE outcome IN ('success', 'failure')) SELECT *, round((sum(y) OVER w - y + 1.0) / (count(*) OVER w - 1 + 2.0), 6) AS rate FROM y WINDOW w AS (PARTITION BY indication)",
     "learning_curve": f"{_T}{CH_SQL}, f AS (SELECT src, dst, edge_type, min(trial_id) AS trial_id FROM ce GROUP BY ALL), p AS (SELECT trial_id, edge_type, count(*) AS n FROM f GROUP BY 1, 2) SELECT trial_id, edge_type, sum(n) OVER (PARTITION BY edge_type ORDER BY trial_id)::BIGINT AS edges FROM p",
     "degree_view": f"{_T}{CH_SQL}, e AS (SELECT DISTINCT src, dst, edge_type FROM ce), d AS (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM d GROUP BY 1",
 }

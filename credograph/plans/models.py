@@ -12,7 +12,6 @@ from credograph.operators.statistics import fold
 from credograph.plans.attribution import attributed_beliefs, labels
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, unpivot
 from credograph.plans.statistics import FOLDS
-from credograph.operators.statistics import fold
 from credograph.session import cut
 from credograph.sources.tables import table
 
@@ -60,12 +59,19 @@ def combo_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def combination_parts(compounds: DataFrame, listed: DataFrame) -> DataFrame:
-    """``chain_id, item_value, entity_id``: each part of a compound field, 0 for a part that the list doesn't have."""
-    from credograph.llm import canonical
-
-    items = packed.split_packed(compounds, "compound", ["chain_id"]).select("chain_id", F.lit("compound").alias("kind"), F.col("item_value").alias("value"))
-    found = canonical.match(items.select("kind", "value"), listed)
-    return items.join(found, ["kind", "value"], "left").select("chain_id", F.col("value").alias("item_value"), F.coalesce("entity_id", F.lit(0)).cast("long").alias("entity_id")).distinct()
+    """``chain_id, item_value, entity_id``: each part of a compound field, 0 for a part that the list doesn't have.
+
+    A part is a listed compound if its letters and digits are those of the canonical name or of a
+    synonym, with or without its dose and what stands in brackets; of several the smallest id.
+    """
+    letters = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{Nd}]", "")
+    names = listed.where("entity_type = 'compound'").select("entity_id", F.explode(F.array_append(F.coalesce("synonyms", F.array().cast("array<string>")), F.col("canonical_name"))).alias("name"))
+    names = names.select(letters(F.col("name")).alias("k"), "entity_id").where("k <> ''").groupBy("k").agg(F.min("entity_id").alias("entity_id"))
+    items = packed.split_packed(compounds, "compound", ["chain_id"]).distinct()
+    bare = X.strip_dose(F.regexp_replace(F.lower("item_value"), r"\s*[(\[][^)\]]*[)\]]", " "))
+    keys = items.select("item_value", F.explode(F.array_distinct(F.array(letters(F.col("item_value")), letters(bare)))).alias("k")).distinct()
+    found = keys.join(names, "k").groupBy("item_value").agg(F.min("entity_id").alias("entity_id"))
+    return items.join(found, "item_value", "left").select("chain_id", "item_value", F.coalesce("entity_id", F.lit(0)).cast("long").alias("entity_id")).distinct()
 
 
 def combo_prediction_parts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from credograph.operators import statistics as S
 from credograph.plans.attribution import labels
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log
 from credograph.plans.graph import AT_SQL, chain_prediction, group_rate_baseline
+from credograph.session import cut
 
 FOLDS = 5
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = labels(spark, sf_dir).where("label in ('success', 'failure')").select("chain_id", F.when(F.col("label") == "success", 1.0).otherwise(0.0).alias("y"))
-    return chain_prediction(spark, sf_dir).select("chain_id", F.round("efficacy", 3).alias("p")).join(y, "chain_id")
+    return chain_prediction(spark, sf_dir).select("chain_id", F.col("efficacy").alias("p")).join(y, "chain_id")
 
 
 def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,8 @@ def confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir).join(group_rate_baseline(spark, sf_dir).select("chain_id", F.round("rate", 3).alias("q")), "chain_id").persist()
+    base = group_rate_baseline(spark, sf_dir).groupBy("chain_id").agg(F.round(F.avg("rate"), 6).alias("q"))
+    return cut(_scored(spark, sf_dir).join(base, "chain_id"))
 
 
 def delong(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +75,7 @@ def kfold_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def calibration_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = chain_prediction(spark, sf_dir).join(labels(spark, sf_dir), "chain_id").where("label is not null")
-    return x.groupBy("label").agg(F.round(F.avg(F.round("efficacy", 3)), 6).alias("mean_p"), F.count("*").alias("n"))
+    return x.groupBy("label").agg(F.round(F.avg("efficacy"), 6).alias("mean_p"), F.count("*").alias("n"))
 
 
 def credible_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,10 +97,10 @@ QUERIES = {f.__name__: f for f in (brier, reliability, calibration_error, auroc,
 
 _LB = """, lb0 AS (SELECT *, CASE WHEN mode IN ('insufficient_information', 'dose_limiting_toxicity', 'commercial_not_scientific', 'underpowered') THEN 'ambiguous' ELSE 'failure' END AS bad FROM ch
 ), lb AS (SELECT chain_id, CASE WHEN met THEN 'success' WHEN NOT met THEN bad WHEN trial_outcome = 'success' THEN 'success' WHEN trial_outcome = 'failure' THEN bad WHEN trial_outcome = 'partial' THEN 'ambiguous' END AS label FROM lb0)"""
-_SC = f"WITH {AT_SQL}{_LB}, sc AS (SELECT chain_id, round(efficacy, 3) AS p, CASE label WHEN 'success' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM cp JOIN lb USING (chain_id) WHERE label IN ('success', 'failure'))"
+_SC = f"WITH {AT_SQL}{_LB}, sc AS (SELECT chain_id, efficacy AS p, CASE label WHEN 'success' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS y FROM cp JOIN lb USING (chain_id) WHERE label IN ('success', 'failure'))"
 _REL = ", rl AS (SELECT least(floor(p * 10), 9)::INTEGER AS bin, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(y), 6) AS rate FROM sc GROUP BY 1)"
 _MD5 = "list_reduce(list_transform(string_split(md5({}), ''), lambda d: (instr('0123456789abcdef', d) - 1)::BIGINT), lambda acc, d: (acc * 16 + d) % {})"
-_GR = ", gy AS (SELECT chain_id, indication, CASE outcome WHEN 'success' THEN 1.0::DOUBLE ELSE 0 END AS gy FROM ch WHERE indication IS NOT NULL AND outcome IN ('success', 'failure')), gr AS (SELECT chain_id, round(round((sum(gy) OVER w - gy + 1.0) / (count(*) OVER w - 1 + 2.0), 6), 3) AS q FROM gy WINDOW w AS (PARTITION BY indication)), tw AS (SELECT sc.*, q FROM sc JOIN gr USING (chain_id))"
+_GR = ", gy AS (SELECT chain_id, indication, CASE outcome WHEN 'success' THEN 1.0::DOUBLE ELSE 0 END AS gy FROM ci WHERE outcome IN ('success', 'failure')), gr0 AS (SELECT chain_id, round((sum(gy) OVER w - gy + 1.0) / (count(*) OVER w - 1 + 2.0), 6) AS r FROM gy WINDOW w AS (PARTITION BY indication)), gr AS (SELECT chain_id, round(avg(r), 6) AS q FROM gr0 GROUP BY 1), tw AS (SELECT sc.*, q FROM sc JOIN gr USING (chain_id))"
 _AUC = "(SELECT sum(CASE WHEN a.{0} > b.{0} THEN 1.0 WHEN a.{0} = b.{0} THEN 0.5 ELSE 0 END) / count(*) FROM tw a, tw b WHERE a.y = 1 AND b.y = 0)"
 SQL = {
     "brier": f"{_SC} SELECT round(avg(pow(p - y, 2)), 6) AS brier, count(*) AS n FROM sc",
@@ -110,5 +112,5 @@ SQL = {
     "delong": f"{_SC}{_GR}, va AS (SELECT a.chain_id, avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) AS v1, avg(CASE WHEN a.q > b.q THEN 1.0::DOUBLE WHEN a.q = b.q THEN 0.5::DOUBLE ELSE 0 END) AS v2 FROM tw a, tw b WHERE a.y = 1 AND b.y = 0 GROUP BY 1), wa AS (SELECT b.chain_id, avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) AS w1, avg(CASE WHEN a.q > b.q THEN 1.0::DOUBLE WHEN a.q = b.q THEN 0.5::DOUBLE ELSE 0 END) AS w2 FROM tw a, tw b WHERE a.y = 1 AND b.y = 0 GROUP BY 1), st AS (SELECT (SELECT avg(v1) FROM va) AS a1, (SELECT avg(v2) FROM va) AS a2, (SELECT var_samp(v1 - v2) / count(*) FROM va) + (SELECT var_samp(w1 - w2) / count(*) FROM wa) AS var) SELECT round(a1, 6) AS auc_a, round(a2, 6) AS auc_b, CASE WHEN var > 0 THEN round((a1 - a2) / sqrt(var), 4) END AS z FROM st",
     "kfold_assign": f"WITH {CH_SQL} SELECT DISTINCT trial_id, {_MD5.format('trial_id', FOLDS)} AS fold FROM ch",
     "kfold_holdout": f"WITH {EV_SQL}, f AS (SELECT *, {_MD5.format(chr(99) + 'oalesce(source_id, ' + chr(39) * 2 + ')', FOLDS)} AS own FROM ev), k AS (SELECT unnest(range({FOLDS})) AS fold) SELECT src, dst, edge_type, fold, 1 + coalesce(sum(up) FILTER (WHERE own <> fold), 0)::DOUBLE AS alpha, 1 + coalesce(sum(down) FILTER (WHERE own <> fold), 0)::DOUBLE AS beta FROM f, k GROUP BY 1, 2, 3, 4",
-    "calibration_bands": f"WITH {AT_SQL}{_LB} SELECT label, round(avg(round(efficacy, 3)), 6) AS mean_p, count(*) AS n FROM cp JOIN lb USING (chain_id) WHERE label IS NOT NULL GROUP BY 1",
+    "calibration_bands": f"WITH {AT_SQL}{_LB} SELECT label, round(avg(efficacy), 6) AS mean_p, count(*) AS n FROM cp JOIN lb USING (chain_id) WHERE label IS NOT NULL GROUP BY 1",
 }
