@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Routing branch of each failure mode.
+# Routing branch of each failure mode; multiple_factors and any other mode are unknown.
 BRANCHES = {
-    "efficacy": ["no_target_engagement", "target_engaged_biology_not_moved", "wrong_target", "inadequate_exposure"],
-    "measurement": ["biology_moved_endpoint_flat", "wrong_timeframe", "high_placebo_response", "wrong_population", "efficacy_in_subgroup_only", "endpoint_mismatch"],
+    "efficacy": ["no_target_engagement", "target_engaged_biology_not_moved"],
+    "measurement": ["biology_moved_endpoint_flat", "wrong_timeframe", "high_placebo_response", "wrong_population", "efficacy_in_subgroup_only"],
     "safety": ["dose_limiting_toxicity"],
     "operational": ["underpowered", "manufacturing_or_delivery", "commercial_not_scientific", "insufficient_information"],
 }
@@ -27,11 +27,10 @@ STOPPED = ["TERMINATED", "WITHDRAWN", "SUSPENDED"]
 P_OUTCOME = {"success": 0.80, "partial": 0.35, "failure": 0.20}
 
 
-def branch_of(mode: Column) -> Column:
-    c = F.when(mode.isin(BRANCHES["efficacy"]), "efficacy")
-    for branch in ("measurement", "safety", "operational"):
-        c = c.when(mode.isin(BRANCHES[branch]), branch)
-    return c.otherwise("unknown")
+def branch_of(mode: Column, own: dict[str, str] | None = None) -> Column:
+    """The branch of a failure mode; ``own``: branches of modes that a collection has besides the fixed ones."""
+    every = {m: b for b, modes in BRANCHES.items() for m in modes} | (own or {})
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in every.items() for x in kv]), mode), F.lit("unknown"))
 
 
 def stop_override(status: Column, reason: Column) -> Column:
@@ -53,18 +52,18 @@ def success_updates(edges: DataFrame) -> DataFrame:
     return edges.where("outcome = 'success'").select("src", "dst", "edge_type", F.col("w").alias("n"), F.lit(P_OUTCOME["success"]).alias("p"))
 
 
-def explain_away(edges: DataFrame) -> DataFrame:
-    """Blame of chains that failed for unknown reasons, split by what each edge lacks; ``r`` is its belief."""
-    w = Window.partitionBy("chain_id")
+def explain_away(edges: DataFrame, keys: tuple[str, ...] = ("chain_id",)) -> DataFrame:
+    """Blame of chains (named by ``keys``) that failed for unknown reasons, split by what each edge lacks; ``r`` is its belief."""
+    w = Window.partitionBy(*keys)
     lack = F.sum(1 - F.col("r")).over(w)
     share = F.when(lack > 0, (1 - F.col("r")) / lack).otherwise(1 / F.count("*").over(w))
     x = edges.where("branch = 'unknown' and outcome in ('failure', 'partial')")
     return x.withColumns({"share": share, "p": F.when(F.col("outcome") == "failure", P_OUTCOME["failure"]).otherwise(P_OUTCOME["partial"])})
 
 
-def responsibility(edges: DataFrame) -> DataFrame:
+def responsibility(edges: DataFrame, keys: tuple[str, ...] = ("chain_id",)) -> DataFrame:
     """Chains that failed on efficacy or measurement: p = (r - M) / (1 - M), M the chain's product; each takes the whole weight."""
-    w = Window.partitionBy("chain_id")
+    w = Window.partitionBy(*keys)
     m = F.exp(F.sum(F.log(F.greatest(F.col("r"), F.lit(1e-12)))).over(w))
     x = edges.where("branch in ('efficacy', 'measurement') and outcome <> 'success'").withColumn("m", m).where("1 - m >= 1e-6")
     return x.withColumn("p", F.least(F.greatest((F.col("r") - F.col("m")) / (1 - F.col("m")), F.lit(0.0)), F.lit(1.0)))

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 from credograph.functions import belief as B
 from credograph.operators import attribution as A
+from credograph.operators import graph as G
+from credograph.operators.statistics import with_totals
 from credograph.plans.base import CH_SQL, chains, unpivot
+from credograph.session import cut
 from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
+#: Branches of the modes that these tables have besides the fixed ones.
+OWN_MODES = {"wrong_target": "efficacy", "inadequate_exposure": "efficacy", "endpoint_mismatch": "measurement"}
 #: Severity class of each adverse event term; the number is the grade it counts as.
 GRADES = {"second malignancies": 5, "QT prolongation": 4, "pneumonitis": 4, "neutropenia": 4, "thrombocytopenia": 4, "infections": 3, "elevated transaminases": 3, "infusion reaction": 3, "hypertension": 3, "diarrhea": 2, "rash": 2, "fatigue": 2, "nausea": 1, "headache": 1}
 # Organ class of each term.
@@ -26,7 +31,7 @@ def _map(values: dict, key):
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chains(spark, sf_dir)
-    return c.withColumn("branch", F.coalesce(A.stop_override(F.col("overall_status"), F.col("why_stopped")), A.branch_of(F.col("mode"))))
+    return c.withColumn("branch", F.coalesce(A.stop_override(F.col("overall_status"), F.col("why_stopped")), A.branch_of(F.col("mode"), OWN_MODES)))
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,19 +89,32 @@ def censored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attributed_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successes and routed failures of one epoch as one belief aggregate."""
-    e = _with_belief(spark, sf_dir).persist()
+    e = cut(_with_belief(spark, sf_dir))
     blame = A.explain_away(e).select(*KEY, (F.col("w") * F.col("share")).alias("n"), "p")
     own = A.responsibility(e).select(*KEY, F.col("w").alias("n"), "p")
     x = _beliefs(A.success_updates(e).unionByName(blame).unionByName(own))
     return x.select(*KEY, "alpha", "beta", "n_records")
 
 
+def _arm_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arms of each trial, one for each set of compounds, with their outcome and where it is told.
+
+    The first result told for the arm counts, those of the whole population before those of a
+    subgroup; an arm without any has the trial's outcome.
+    """
+    c = chains(spark, sf_dir).where("compound is not null").withColumn("compounds", F.array_sort(F.array_distinct(F.split("compound", r" \+ | and | plus | with "))))
+    told = F.when(F.col("met").isNotNull(), F.struct(F.col("population").isNotNull().alias("s"), F.col("chain_id").alias("c"), F.when(F.col("met"), "success").otherwise("failure").alias("o")))
+    x = c.groupBy("trial_id", "compounds").agg(F.min("chain_id").alias("arm_id"), F.min(told)["o"].alias("own"), F.min("trial_outcome").alias("of_trial"))
+    fallback = F.when(F.col("of_trial").isin("success", "partial", "failure"), F.col("of_trial"))
+    return x.select("trial_id", "arm_id", "compounds", F.coalesce("own", fallback, F.lit("unknown")).alias("outcome"), F.when(F.col("own").isNotNull(), "arm").when(fallback.isNotNull(), "trial").otherwise("none").alias("told_by"))
+
+
+def arm_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _arm_table(spark, sf_dir).withColumn("compounds", F.array_join("compounds", "+"))
+
+
 def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arms by condition: one for each set of compounds, with its best outcome."""
-    c = chains(spark, sf_dir).where("compound is not null and indication is not null and outcome in ('success', 'partial', 'failure')")
-    c = c.withColumns({"compounds": F.array_sort(F.array_distinct(F.split("compound", r" \+ | and | plus | with "))), "grade": _map({"failure": 0, "partial": 1, "success": 2}, F.col("outcome"))})
-    x = c.groupBy(F.col("indication").alias("trial_id"), "compounds").agg(F.min("chain_id").alias("arm_id"), F.max("grade").alias("grade"))
-    return x.withColumn("outcome", F.element_at(F.array(F.lit("failure"), F.lit("partial"), F.lit("success")), F.col("grade") + 1))
+    return _arm_table(spark, sf_dir).where("outcome <> 'unknown'").withColumn("grade", _map({"failure": 0, "partial": 1, "success": 2}, F.col("outcome")))
 
 
 def arm_differential(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,13 +138,12 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each compound's reports the share with an event, against all other compounds' reports."""
     c = chains(spark, sf_dir).where("compound is not null")
-    n = c.groupBy("compound").agg(F.count("*").alias("n"))
-    every = c.count()
+    n = with_totals(c.groupBy("compound").agg(F.count("*").alias("n")), c.agg(F.count("*").alias("every")))
     s = c.select("chain_id", "compound", F.explode(F.array_distinct("signals")).alias("ae")).where("ae is not null")
     k = s.groupBy("compound", "ae").agg(F.count("*").alias("k"))
     all_k = s.groupBy("ae").agg(F.count("*").alias("all_k"))
     x = k.join(n, "compound").join(all_k, "ae")
-    control = F.when(F.lit(every) > F.col("n"), 100.0 * (F.col("all_k") - F.col("k")) / (F.lit(every) - F.col("n")))
+    control = F.when(F.col("every") > F.col("n"), 100.0 * (F.col("all_k") - F.col("k")) / (F.col("every") - F.col("n")))
     return x.withColumns({"treated": 100.0 * F.col("k") / F.col("n"), "control": control})
 
 
@@ -166,13 +183,18 @@ def safety_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def survival_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mass against each known event of a compound from later trials that succeeded or failed on efficacy."""
+    """Mass against each known event of a compound from later trials that succeeded or failed on efficacy.
+
+    What comes later is all of a compound less its running total, so no event meets the chains one by one.
+    """
     c = _routed(spark, sf_dir).where("compound is not null")
-    s = c.select("compound", "chain_id", F.explode("signals").alias("ae")).where("ae is not null")
-    first = s.groupBy("compound", "ae").agg(F.min("chain_id").alias("first_chain"))
-    later = c.where("outcome = 'success' or branch in ('efficacy', 'measurement')").select("compound", "chain_id", "w")
-    x = first.join(later, "compound").where("chain_id > first_chain")
-    return x.groupBy("compound", "ae").agg(F.sum(B.exact(F.col("w"))).cast("double").alias("credit"), F.count("*").alias("chains"))
+    counts = F.coalesce(F.expr("outcome = 'success' or branch in ('efficacy', 'measurement')"), F.lit(False))
+    c = c.select("compound", "chain_id", "signals", F.lpad(F.col("chain_id").cast("string"), 12, "0").alias("o"), F.when(counts, B.exact(F.col("w"))).otherwise(F.lit(0).cast("decimal(18,6)")).alias("v"), F.when(counts, 1).otherwise(0).alias("k"))
+    first = c.select("compound", "o", F.explode("signals").alias("ae")).where("ae is not null").groupBy("compound", "ae").agg(F.min("o").alias("o"))
+    run = G.running_total(G.running_total(c.select("compound", "o", "v", "k"), "compound", "o", "v", "rv", 9), "compound", "o", "k", "rk", 9)
+    whole = c.groupBy("compound").agg(F.sum("v").alias("av"), F.sum("k").alias("ak"))
+    x = first.join(run.select("compound", "o", "rv", "rk"), ["compound", "o"]).join(whole, "compound")
+    return x.where("ak > rk").select("compound", "ae", (F.col("av") - F.col("rv")).cast("double").alias("credit"), (F.col("ak") - F.col("rk")).alias("chains"))
 
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,11 +205,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains(spark, sf_dir).select("chain_id", F.when(F.col("met"), "success").when(~F.col("met"), failed).when(o == "success", "success").when(o == "failure", failed).when(o == "partial", "ambiguous").alias("label"))
 
 
-QUERIES = {f.__name__: f for f in (annotation_pairs, chain_edges, failure_branches, stop_overrides, attribute_success, explain_away_epoch, responsibility_epoch, censored, attributed_beliefs, arm_differential, single_arm_combo, ae_incidence_bucket, ae_target_class, ae_soc_rollup, safety_penalty, survival_credit, labels)}
-
-
-def _any(column: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+QUERIES = {f.__name__: f for f in (arm_outcomes, annotation_pairs, chain_edges, failure_branches, stop_overrides, attribute_success, explain_away_epoch, responsibility_epoch, censored, attributed_beliefs, arm_differential, single_arm_combo, ae_incidence_bucket, ae_target_class, ae_soc_rollup, safety_penalty, survival_credit, labels)}
 
 
 def _case(values: dict, column: str) -> str:
@@ -195,8 +213,13 @@ def _case(values: dict, column: str) -> str:
 
 
 _R = "lower(why_stopped)"
-STOP_SQL = f"CASE WHEN upper(overall_status) IN ('TERMINATED', 'WITHDRAWN', 'SUSPENDED') AND NOT {_any(_R, A.STOP_WORDS['veto'])} THEN CASE WHEN {_any(_R, A.STOP_WORDS['operational'])} THEN 'operational' WHEN {_any(_R, A.STOP_WORDS['safety'])} THEN 'safety' END END"
-_BRANCH = "CASE " + " ".join(f"WHEN mode IN ({', '.join(repr(m) for m in ms)}) THEN '{b}'" for b, ms in A.BRANCHES.items()) + " ELSE 'unknown' END"
+STOP_SQL = """CASE WHEN upper(overall_status) IN ('TERMINATED', 'WITHDRAWN', 'SUSPENDED')
+  AND NOT regexp_matches(lower(why_stopped), 'futility|futile|efficac|did not meet|lack of response|no benefit|ineffective|primary endpoint|interim analysis|insufficient response|negative result') THEN
+  CASE WHEN regexp_matches(lower(why_stopped), 'accrual|enroll|enrol|recruit|fund|financ|budget|sponsor|business|commercial|strateg|portfolio|prioriti|supply|manufactur|administrativ|merger|reorganiz|company|discontinu|logistic|feasib|covid|pandemic') THEN 'operational'
+  WHEN regexp_matches(lower(why_stopped), 'toxic|adverse event|tolerab|unacceptable risk|safety signal|serious adverse') THEN 'safety' END END"""
+_BRANCH = """CASE WHEN mode IN ('no_target_engagement', 'target_engaged_biology_not_moved', 'wrong_target', 'inadequate_exposure') THEN 'efficacy'
+  WHEN mode IN ('biology_moved_endpoint_flat', 'wrong_timeframe', 'high_placebo_response', 'wrong_population', 'efficacy_in_subgroup_only', 'endpoint_mismatch') THEN 'measurement'
+  WHEN mode = 'dose_limiting_toxicity' THEN 'safety' WHEN mode IN ('underpowered', 'manufacturing_or_delivery', 'commercial_not_scientific', 'insufficient_information') THEN 'operational' ELSE 'unknown' END"""
 RT_SQL = f"""{CH_SQL}, rt AS (SELECT *, coalesce({STOP_SQL}, {_BRANCH}) AS branch FROM ch
 ), re AS (SELECT *, coalesce({STOP_SQL}, {_BRANCH}) AS branch FROM ce
 ), su AS (SELECT src, dst, edge_type, w AS n, 0.8::DOUBLE AS p FROM re WHERE outcome = 'success'
@@ -205,8 +228,12 @@ RT_SQL = f"""{CH_SQL}, rt AS (SELECT *, coalesce({STOP_SQL}, {_BRANCH}) AS branc
 ), xa AS (SELECT *, CASE WHEN sum(1 - r) OVER c > 0 THEN (1 - r) / sum(1 - r) OVER c ELSE 1.0 / count(*) OVER c END AS share, CASE outcome WHEN 'failure' THEN 0.2 ELSE 0.35 END::DOUBLE AS p FROM rb WHERE branch = 'unknown' AND outcome IN ('failure', 'partial') WINDOW c AS (PARTITION BY chain_id)
 ), rs0 AS (SELECT *, exp(sum(ln(greatest(r, 1e-12))) OVER (PARTITION BY chain_id)) AS m FROM rb WHERE branch IN ('efficacy', 'measurement') AND outcome <> 'success'
 ), rs AS (SELECT *, least(greatest((r - m) / (1 - m), 0.0), 1.0) AS p FROM rs0 WHERE 1 - m >= 1e-6)"""
-_ARMS = CH_SQL + r""", arm0 AS (SELECT indication AS trial_id, list_sort(list_distinct(string_split_regex(compound, ' \+ | and | plus | with '))) AS compounds, min(chain_id) AS arm_id, max(CASE outcome WHEN 'failure' THEN 0 WHEN 'partial' THEN 1 ELSE 2 END) AS grade FROM ch WHERE compound IS NOT NULL AND indication IS NOT NULL AND outcome IN ('success', 'partial', 'failure') GROUP BY 1, 2
-), arms AS (SELECT *, CASE grade WHEN 0 THEN 'failure' WHEN 1 THEN 'partial' ELSE 'success' END AS outcome FROM arm0
+_ARMS = CH_SQL + r""", arm0 AS (
+  SELECT trial_id, list_sort(list_distinct(string_split_regex(compound, ' \+ | and | plus | with '))) AS compounds, min(chain_id) AS arm_id,
+    arg_min(CASE WHEN met THEN 'success' ELSE 'failure' END, (CASE WHEN population IS NULL THEN 0 ELSE 1 END, chain_id)) FILTER (WHERE met IS NOT NULL) AS own, min(trial_outcome) AS of_trial
+  FROM ch WHERE compound IS NOT NULL GROUP BY 1, 2
+), arm1 AS (SELECT *, CASE WHEN of_trial IN ('success', 'partial', 'failure') THEN of_trial END AS fb FROM arm0
+), arms AS (SELECT *, coalesce(own, fb) AS outcome, CASE coalesce(own, fb) WHEN 'failure' THEN 0 WHEN 'partial' THEN 1 WHEN 'success' THEN 2 END AS grade FROM arm1 WHERE coalesce(own, fb) IS NOT NULL
 ), sp AS (SELECT a.trial_id, a.arm_id AS base_arm, b.arm_id AS combo_arm, array_to_string(list_filter(b.compounds, lambda x: NOT list_contains(a.compounds, x)), '+') AS added, CASE b.grade - a.grade WHEN 2 THEN 'strong_support' WHEN 1 THEN 'moderate_support' WHEN 0 THEN 'ambiguous' WHEN -1 THEN 'moderate_contradict' ELSE 'strong_contradict' END AS bucket
   FROM arms a JOIN arms b ON a.trial_id = b.trial_id WHERE len(a.compounds) < len(b.compounds) AND list_has_all(b.compounds, a.compounds))"""
 _AE = CH_SQL + """, cc AS (SELECT * FROM ch WHERE compound IS NOT NULL), nn AS (SELECT compound, count(*) AS n FROM cc GROUP BY 1
@@ -226,6 +253,7 @@ SQL = {
     "responsibility_epoch": f"{_T}{RT_SQL} SELECT chain_id, src, dst, edge_type, w AS n, round(p, 6) AS p FROM rs",
     "censored": f"{_T}{RT_SQL} SELECT chain_id, trial_id, branch FROM rt WHERE outcome <> 'success' AND branch IN ('safety', 'operational')",
     "attributed_beliefs": f"{_T}{RT_SQL}, u AS (SELECT * FROM su UNION ALL SELECT src, dst, edge_type, w * share, p FROM xa UNION ALL SELECT src, dst, edge_type, w, p FROM rs) SELECT src, dst, edge_type, 1 + sum(round(n * p, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + sum(round(n * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS beta, count(*) AS n_records FROM u GROUP BY 1, 2, 3",
+    "arm_outcomes": f"{_T}{_ARMS} SELECT trial_id, arm_id, array_to_string(compounds, '+') AS compounds, coalesce(own, fb, 'unknown') AS outcome, CASE WHEN own IS NOT NULL THEN 'arm' WHEN fb IS NOT NULL THEN 'trial' ELSE 'none' END AS told_by FROM arm1",
     "arm_differential": f"{_T}{_ARMS} SELECT * FROM sp",
     "single_arm_combo": f"{_T}{_ARMS}, al AS (SELECT * FROM arms WHERE len(compounds) > 1 AND arm_id NOT IN (SELECT combo_arm FROM sp)), x AS (SELECT arm_id, outcome, unnest(compounds) AS a, compounds FROM al), y AS (SELECT arm_id, outcome, a, unnest(compounds) AS b FROM x) SELECT arm_id, a, b, CASE outcome WHEN 'success' THEN 'weak_support' WHEN 'partial' THEN 'ambiguous' ELSE 'weak_contradict' END AS bucket FROM y WHERE a < b",
     "ae_incidence_bucket": f"{_T}{_AE} SELECT * FROM bk",
