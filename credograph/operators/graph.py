@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,24 @@ def simple_paths(edges: DataFrame, pairs: DataFrame, max_hops: int = 6) -> DataF
     return out
 
 
+def ancestors(nodes: DataFrame, parents: DataFrame, max_depth: int = 5) -> DataFrame:
+    """``node, level, ancestor`` of each node: itself at level 0, then its parent's parents, nearest first.
+
+    ``parents`` has ``node, parent``; of several the smallest counts. A walk ends at the root, at
+    ``max_depth``, or where it would come to a node again.
+    """
+    first = cut(parents.where("node is not null and parent is not null and node <> parent").groupBy(F.col("node").alias("at")).agg(F.min("parent").alias("parent")))
+    walk = nodes.select("node", F.lit(0).alias("level"), F.col("node").alias("ancestor"), F.array("node").alias("seen")).distinct()
+    out = [walk]
+    for level in range(1, max_depth + 1):
+        walk = walk.join(first, walk["ancestor"] == first["at"]).where(~F.array_contains("seen", F.col("parent")))
+        walk = cut(walk.select("node", F.lit(level).alias("level"), F.col("parent").alias("ancestor"), F.array_append("seen", F.col("parent")).alias("seen")))
+        if walk.isEmpty():
+            break
+        out.append(walk)
+    return reduce(DataFrame.unionByName, out).drop("seen")
+
+
 def running_total(df: DataFrame, by: str, order: str, value: str, out: str, prefix: int = 8) -> DataFrame:
     """``out``: the sum of ``value`` up to each row in the order of a text column, ties summed together, per ``by``.
 

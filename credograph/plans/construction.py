@@ -8,45 +8,21 @@ from pyspark.sql import functions as F
 from credograph.functions import belief as B
 from credograph.functions import text as X
 from credograph.operators import attribution as A
+from credograph.plans.vocabulary import endpoint_sql
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, unpivot
 from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
 # Prior bucket of each endpoint class.
 ENDPOINT_PRIORS = {"OS": "strong_support", "DFS": "moderate_support", "RFS": "moderate_support", "PFS": "moderate_support", "TTP": "moderate_support", "CR": "moderate_support", "DMFS": "weak_support", "DOR": "weak_support", "ORR": "weak_support", "safety": "weak_contradict"}
-PLURALS = [("ies$", "y"), ("omas$", "oma"), ("cers$", "cer"), ("tumors$", "tumor"), ("diseases$", "disease"), ("disorders$", "disorder")]
 CONTROLS = ["placebo", "saline", "sham", "vehicle", "standard of care", "best supportive care"]
 MERGED_TAU = 0.55
 
 
-def disease_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions as slugs: possessives off, plurals to singular."""
-    c = table(spark, sf_dir, "trials", "conditions").select(F.explode("conditions").alias("condition")).where("condition is not null").groupBy("condition").agg(F.count("*").alias("n"))
-    v = F.regexp_replace(F.lower("condition"), "['’]s?\\b", "")
-    for pattern, single in PLURALS:
-        v = F.regexp_replace(v, pattern, single)
-    return c.select("condition", X.slug(v).alias("slug"), "n")
-
-
-def compound_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Controls, codes, combinations and specific molecules among the compounds."""
-    c = chains(spark, sf_dir).where("compound is not null").select("chain_id", "compound")
-    control, combo = F.col("compound").isin(CONTROLS), F.col("compound").rlike(r" \+ | and | plus | with |;")
-    kind = F.when(control, "control").when(combo, "combination").when(F.col("compound").rlike("^[a-z]{2,3}[ -]?[0-9]+$"), "code").otherwise("molecule")
-    return c.groupBy(kind.alias("kind")).agg(F.count("*").alias("chains"), F.countDistinct("compound").alias("names"))
-
-
-def modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modality guessed from the ending of the name; the first pattern that fits."""
-    patterns = [("mab$|domus$", "antibody"), ("cept$", "fusion protein"), ("vec$|gene", "gene therapy"), ("vir$|tide$", "peptide"), ("stat$|lam$|pril$|vir$|ine$|one$|ol$|ane$", "small molecule")]
-    c = table(spark, sf_dir, "ref_entities", "canonical_name", "entity_type").where("entity_type = 'compound'")
-    return c.groupBy(X.first_class(F.col("canonical_name"), patterns, "other").alias("modality")).agg(F.count("*").alias("n"))
-
-
 def endpoint_capture_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A prior belief for each endpoint and condition stated together; classes without one give none."""
     e = chains(spark, sf_dir).where("endpoint is not null and indication is not null").select("endpoint", "indication").distinct()
-    p = B.lookup(B.P_OBS, F.element_at(F.create_map(*[F.lit(x) for kv in ENDPOINT_PRIORS.items() for x in kv]), X.first_class(F.col("endpoint"), X.ENDPOINT_CLASSES, "other")))
+    p = B.lookup(B.P_OBS, F.element_at(F.create_map(*[F.lit(x) for kv in ENDPOINT_PRIORS.items() for x in kv]), X.endpoint_class(F.col("endpoint"))))
     n = B.N_EFF["database_endpoint_prior"]
     return e.withColumn("p", p).where("p is not null").select(F.col("endpoint").alias("src"), F.col("indication").alias("dst"), F.round(1 + n * F.col("p"), 6).alias("alpha"), F.round(1 + n * (1 - F.col("p")), 6).alias("beta"))
 
@@ -143,26 +119,13 @@ def edge_maturity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy(band.alias("band")).agg(F.count("*").alias("targets"), F.round(F.avg("spread"), 6).alias("spread"))
 
 
-QUERIES = {f.__name__: f for f in (disease_slugs, compound_predicates, modalities, endpoint_capture_priors, cocondition_fan, first_target_mechanisms, relevance_floor, incremental_append, description_index, applied_ledger, hazard_buckets, overlap_gate, best_worst_trials, seeded_sample, database_priors, edge_maturity)}
-
-
-def _first(column: str, patterns: list[tuple[str, str]], other: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{p}') THEN '{n}'" for p, n in patterns) + f" ELSE '{other}' END"
-
-
-def _plural(expr: str) -> str:
-    for pattern, single in PLURALS:
-        expr = f"regexp_replace({expr}, '{pattern}', '{single}')"
-    return expr
+QUERIES = {f.__name__: f for f in (endpoint_capture_priors, cocondition_fan, first_target_mechanisms, relevance_floor, incremental_append, description_index, applied_ledger, hazard_buckets, overlap_gate, best_worst_trials, seeded_sample, database_priors, edge_maturity)}
 
 
 _P = "CASE {} WHEN 'strong_support' THEN 0.95 WHEN 'moderate_support' THEN 0.8 WHEN 'weak_support' THEN 0.65 WHEN 'ambiguous' THEN 0.5 WHEN 'weak_contradict' THEN 0.35 END::DOUBLE"
 _HR = r"'([0-9.]+) \([0-9]+% CI: ?([0-9.]+)(?: to |-|–)([0-9.]+)\)'"
-_CLASS = "CASE " + _first("endpoint", X.ENDPOINT_CLASSES, "other") + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDPOINT_PRIORS.items()) + " END"
+_CLASS = "CASE " + endpoint_sql("endpoint") + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDPOINT_PRIORS.items()) + " END"
 SQL = {
-    "disease_slugs": "WITH c AS (SELECT unnest(conditions) AS condition FROM trials) SELECT condition, regexp_replace(regexp_replace(lower(trim(" + _plural("regexp_replace(lower(condition), '[''’]s?\\b', '', 'g')") + ")), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g') AS slug, count(*) AS n FROM c WHERE condition IS NOT NULL GROUP BY 1, 2",
-    "compound_predicates": f"WITH {CH_SQL} SELECT CASE WHEN compound IN ({', '.join(repr(c) for c in CONTROLS)}) THEN 'control' WHEN regexp_matches(compound, ' \\+ | and | plus | with |;') THEN 'combination' WHEN regexp_matches(compound, '^[a-z]{{2,3}}[ -]?[0-9]+$') THEN 'code' ELSE 'molecule' END AS kind, count(*) AS chains, count(DISTINCT compound) AS names FROM ch WHERE compound IS NOT NULL GROUP BY 1",
-    "modalities": f"SELECT {_first('canonical_name', [('mab$|domus$', 'antibody'), ('cept$', 'fusion protein'), ('vec$|gene', 'gene therapy'), ('vir$|tide$', 'peptide'), ('stat$|lam$|pril$|vir$|ine$|one$|ol$|ane$', 'small molecule')], 'other')} AS modality, count(*) AS n FROM ref_entities WHERE entity_type = 'compound' GROUP BY 1",
     "endpoint_capture_priors": f"WITH {CH_SQL}, e AS (SELECT DISTINCT endpoint, indication FROM ch WHERE endpoint IS NOT NULL AND indication IS NOT NULL), p AS (SELECT *, {_P.format(_CLASS)} AS p FROM e) SELECT endpoint AS src, indication AS dst, round(1 + 2 * p, 6) AS alpha, round(1 + 2 * (1 - p), 6) AS beta FROM p WHERE p IS NOT NULL",
     "cocondition_fan": f"WITH {CH_SQL}, c AS (SELECT biology, indication, lower(trim(other)) AS other FROM (SELECT biology, indication, unnest(conditions) AS other FROM ch WHERE biology IS NOT NULL)), s AS (SELECT DISTINCT biology, indication AS other FROM c WHERE indication IS NOT NULL) SELECT biology, other, count(*) AS chains FROM c ANTI JOIN s USING (biology, other) WHERE other <> indication GROUP BY 1, 2",
     "first_target_mechanisms": f"WITH {CH_SQL}, c AS (SELECT * FROM ch WHERE compound IS NOT NULL AND target IS NOT NULL AND mechanism IS NOT NULL), f AS (SELECT compound, arg_min(target, chain_id) AS target FROM c GROUP BY 1), m AS (SELECT compound, target, mechanism, count(*) AS n FROM c JOIN f USING (compound, target) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY compound ORDER BY n DESC, mechanism) AS rank FROM m) SELECT * FROM r WHERE rank <= 8",

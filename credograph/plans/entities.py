@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from credograph.functions import text as X
 from credograph.operators import merge, vectors
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, role, sql_role, unpivot
 from credograph.sources.tables import table
@@ -97,38 +96,6 @@ def pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.prune(e, {"affects": "modulates_via", "modulates_via": "mechanism_affects", "mechanism_affects": "biology_drives"}).groupBy("edge_type").agg(F.count("*").alias("edges"))
 
 
-def text_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "extractions", "extraction_id", "therapeutic_hypothesis.primary_endpoint", "therapeutic_hypothesis.intended_biology")
-    return x.select("extraction_id", X.slug(F.col("intended_biology")).alias("slug"), X.measure_slug(F.col("primary_endpoint"), 20).alias("measure"), X.content_id("bio:", F.col("intended_biology")).alias("content_id"))
-
-
-def endpoint_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "extractions", "therapeutic_hypothesis.primary_endpoint").where("primary_endpoint is not null")
-    return x.groupBy(X.first_class(F.col("primary_endpoint"), X.ENDPOINT_CLASSES, "other").alias("endpoint_class")).agg(F.count("*").alias("n"))
-
-
-def therapeutic_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "trials", "nct_id", "conditions").select("nct_id", F.explode("conditions").alias("condition"))
-    return c.groupBy(X.first_class(F.col("condition"), X.AREAS, "other").alias("area")).agg(F.countDistinct("nct_id").alias("trials"))
-
-
-def population_qualifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "extractions", "extraction_id", "therapeutic_hypothesis.target_population")
-    return x.select("extraction_id", F.array_join(X.qualifiers(F.col("target_population")), "__").alias("population_id")).where("population_id <> ''")
-
-
-def mechanism_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Majority direction of each target's mechanisms; a tie is unknown."""
-    c = chains(spark, sf_dir).where("target is not null and mechanism is not null").withColumn("d", X.direction(F.col("mechanism")))
-    x = c.groupBy("target").agg(F.count_if(F.col("d") == "agonist").alias("up"), F.count_if(F.col("d") == "antagonist").alias("down"))
-    return x.withColumn("direction", F.when(F.col("up") > F.col("down"), "agonist").when(F.col("down") > F.col("up"), "antagonist").otherwise("unknown"))
-
-
-def stripped_doses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "extractions", "extraction_id", "results.dose_information").where("dose_information is not null")
-    return x.select("extraction_id", X.strip_dose(F.lower("dose_information")).alias("schedule"), X.max_grade(F.col("dose_information")).alias("max_digit"))
-
-
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly events by type and what each hour adds to the last six."""
     e = table(spark, sf_dir, "events", "ts", "event_type", "value").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
@@ -153,21 +120,11 @@ def order_pricing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").cast("double").alias("quantity"), F.sum(net).cast("double").alias("net"), F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (nearest_search, nearest_term, kernel_query, label_boxes, box_relations, merge_classes, merged_beliefs, union_into, namespaced, set_compare, pruned, text_slugs, endpoint_classes, therapeutic_areas, population_qualifiers, mechanism_directions, stripped_doses, event_windows, event_sessions, order_pricing)}
-
-
-def _first(column: str, patterns: list[tuple[str, str]], other: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{p}') THEN '{n}'" for p, n in patterns) + f" ELSE '{other}' END"
-
-
-def _axis(axis: str) -> str:
-    hits = ", ".join(f"nullif(regexp_extract(lower(therapeutic_hypothesis.target_population), '({p})', 1), '')" for a, p in X.QUALIFIERS if a == axis)
-    return f"'{axis}:' || coalesce({hits})"
+QUERIES = {f.__name__: f for f in (nearest_search, nearest_term, kernel_query, label_boxes, box_relations, merge_classes, merged_beliefs, union_into, namespaced, set_compare, pruned, event_windows, event_sessions, order_pricing)}
 
 
 _V = "emb AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), un AS (SELECT *, sqrt(list_dot_product(v, v)) AS n FROM emb)"
 _COS = "list_dot_product(a.v, b.v) / (a.n * b.n)"
-_SLUG = "regexp_replace(regexp_replace(lower(trim({})), '[^a-z0-9]+', '_', 'g'), '^_|_$', '', 'g')"
 _BOX = "bx AS (SELECT label, i - 1 AS axis, min(x) AS lo, max(x) AS hi FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL)"
 SQL = {
     "nearest_search": f"WITH {_V}, s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS c FROM un a JOIN un b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(c, 4) AS cosine, rank FROM r WHERE rank <= 5",
@@ -181,12 +138,6 @@ SQL = {
     "namespaced": f"WITH {CH_SQL}, n AS (SELECT trial_id, src AS node FROM ce UNION SELECT trial_id, dst FROM ce) SELECT node || '#' || trial_id AS scoped_id, count(*) OVER (PARTITION BY node) > 1 AS shared FROM n",
     "set_compare": f"WITH {CH_SQL}, s AS (SELECT src, dst, edge_type, max(CASE outcome WHEN 'success' THEN 1 ELSE 0 END) AS s, max(CASE outcome WHEN 'failure' THEN 1 ELSE 0 END) AS f FROM ce GROUP BY ALL) SELECT CASE WHEN s + f = 2 THEN 'both' WHEN s = 1 THEN 'success' ELSE 'failure' END AS side, edge_type, count(*) AS edges FROM s WHERE s + f > 0 GROUP BY 1, 2",
     "pruned": f"WITH {CH_SQL}, e AS (SELECT DISTINCT src, dst, edge_type FROM ce), m AS (SELECT * FROM e WHERE edge_type = 'modulates_via' AND src IN (SELECT dst FROM e WHERE edge_type = 'affects')), a AS (SELECT * FROM e WHERE edge_type = 'mechanism_affects' AND src IN (SELECT dst FROM m)), d AS (SELECT * FROM e WHERE edge_type = 'biology_drives' AND src IN (SELECT dst FROM a)) SELECT edge_type, count(*) AS edges FROM (SELECT * FROM m UNION ALL SELECT * FROM a UNION ALL SELECT * FROM d UNION ALL SELECT * FROM e WHERE edge_type NOT IN ('modulates_via', 'mechanism_affects', 'biology_drives')) GROUP BY 1",
-    "text_slugs": f"SELECT extraction_id, {_SLUG.format('therapeutic_hypothesis.intended_biology')} AS slug, list_reduce(list_prepend('', list_filter(string_split({_SLUG.format('therapeutic_hypothesis.primary_endpoint')}, '_'), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in X.STOP_TOKENS)}))), lambda s, w: CASE WHEN length(s) + length(w) + 1 > 20 THEN s WHEN s = '' THEN w ELSE s || '_' || w END) AS measure, 'bio:' || substr(sha1(trim(regexp_replace(lower(therapeutic_hypothesis.intended_biology), '\\s+', ' ', 'g'))), 1, 12) AS content_id FROM extractions",
-    "endpoint_classes": f"SELECT {_first('therapeutic_hypothesis.primary_endpoint', X.ENDPOINT_CLASSES, 'other')} AS endpoint_class, count(*) AS n FROM extractions WHERE therapeutic_hypothesis.primary_endpoint IS NOT NULL GROUP BY 1",
-    "therapeutic_areas": f"SELECT {_first('c', X.AREAS, 'other')} AS area, count(DISTINCT nct_id) AS trials FROM (SELECT nct_id, unnest(conditions) AS c FROM trials) GROUP BY 1",
-    "population_qualifiers": "SELECT extraction_id, concat_ws('__', " + ", ".join(_axis(a) for a in dict.fromkeys(a for a, _ in X.QUALIFIERS)) + ") AS population_id FROM extractions WHERE concat_ws('__', " + ", ".join(_axis(a) for a in dict.fromkeys(a for a, _ in X.QUALIFIERS)) + ") <> ''",
-    "mechanism_directions": f"WITH {CH_SQL}, d AS (SELECT target, CASE WHEN regexp_matches(mechanism, '{X.ANTAGONIST}') THEN -1 WHEN regexp_matches(mechanism, '{X.AGONIST}') THEN 1 ELSE 0 END AS d FROM ch WHERE target IS NOT NULL AND mechanism IS NOT NULL), x AS (SELECT target, count(*) FILTER (WHERE d = 1) AS up, count(*) FILTER (WHERE d = -1) AS down FROM d GROUP BY 1) SELECT *, CASE WHEN up > down THEN 'agonist' WHEN down > up THEN 'antagonist' ELSE 'unknown' END AS direction FROM x",
-    "stripped_doses": "SELECT extraction_id, trim(regexp_replace(lower(results.dose_information), '\\s*\\d[\\d.,/]*\\s*(mg|ml|mcg|g)(/[a-z0-9]+)?( (bid|qd))?', '', 'g')) AS schedule, list_max(list_transform(regexp_extract_all(results.dose_information, '\\d'), lambda x: x::INTEGER)) AS max_digit FROM extractions WHERE results.dose_information IS NOT NULL",
     "event_windows": "WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*) AS n, sum(value::DECIMAL(18,2)) AS v FROM events GROUP BY ALL) SELECT event_type, strftime(hour, '%Y-%m-%d %H') AS hour, n, v::DOUBLE AS value, sum(n) OVER (PARTITION BY event_type ORDER BY hour RANGE BETWEEN INTERVAL 5 HOURS PRECEDING AND CURRENT ROW)::BIGINT AS last_six FROM h",
     "event_sessions": "WITH e AS (SELECT event_id, user_id, ts, floor(epoch(ts))::BIGINT AS s FROM events), n AS (SELECT *, CASE WHEN s - lag(s) OVER w <= 21600 THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), g AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM n) SELECT user_id, session, count(*) AS n, max(s) - min(s) AS seconds FROM g GROUP BY 1, 2",
     "order_pricing": "SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS quantity, sum(l_extendedprice::DECIMAL(18,4) * (1 - l_discount::DECIMAL(4,2)))::DOUBLE AS net, count(*) AS n FROM lineitem GROUP BY 1, 2",

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from credograph.functions import belief as B
 from credograph.functions import text as X
+from credograph.operators import graph as G
 from credograph.operators import packed, simulation
 from credograph.operators.statistics import fold
 from credograph.plans.attribution import attributed_beliefs, labels
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, unpivot
 from credograph.plans.statistics import FOLDS
+from credograph.plans.vocabulary import area_sql, disease_sql, parent_sql
 from credograph.session import cut
 from credograph.sources.tables import table
 
@@ -86,10 +88,15 @@ def combo_prediction_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def indication_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditions under their areas and the root, with the trials of each level."""
-    c = table(spark, sf_dir, "trials", "nct_id", "conditions").select("nct_id", F.explode("conditions").alias("condition")).withColumn("area", X.first_class(F.col("condition"), X.AREAS, "other"))
-    levels = F.array(F.struct(F.lit(0).alias("level"), F.col("condition").alias("node")), F.struct(F.lit(1).alias("level"), F.col("area").alias("node")), F.struct(F.lit(2).alias("level"), F.lit("disease").alias("node")))
-    return c.select("nct_id", F.inline(levels)).groupBy("level", "node").agg(F.countDistinct("nct_id").alias("trials"))
+    """Conditions with all that they are kinds of, nearest first: a listed disease or the area, then the root; with the trials of each."""
+    c = table(spark, sf_dir, "trials", "nct_id", "conditions").select("nct_id", F.explode("conditions").alias("condition")).where("condition is not null").withColumn("node", X.disease_slug(F.col("condition")))
+    nodes = c.select("node").distinct()
+    area = F.concat(F.lit("area:"), X.therapeutic_area(F.col("node")))
+    up = nodes.select("node", F.coalesce(X.parent_disease(F.col("node")), area).alias("parent"))
+    listed = up.select(F.col("parent").alias("node")).where("node not like 'area:%'").distinct()
+    parents = up.unionByName(listed.select("node", area.alias("parent"))).unionByName(up.unionByName(listed.select("node", area.alias("parent"))).where("parent like 'area:%'").select(F.col("parent").alias("node"), F.lit("disease").alias("parent"))).distinct()
+    found = G.ancestors(nodes, parents)
+    return c.join(found, "node").groupBy("level", F.col("ancestor").alias("node")).agg(F.countDistinct("nct_id").alias("trials"))
 
 
 def resolve_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,22 +131,18 @@ def penalty_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hypothesis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes by phase, area and endpoint class with all subtotals."""
-    c = chains(spark, sf_dir).where("outcome <> 'unknown'").select(F.coalesce("phase", F.lit("none")).alias("phase"), X.first_class(F.coalesce("indication", F.lit("")), X.AREAS, "other").alias("area"), F.when(F.col("outcome") == "success", 1).otherwise(0).alias("y"))
+    c = chains(spark, sf_dir).where("outcome <> 'unknown'").select(F.coalesce("phase", F.lit("none")).alias("phase"), X.therapeutic_area(X.disease_slug(F.coalesce("indication", F.lit("")))).alias("area"), F.when(F.col("outcome") == "success", 1).otherwise(0).alias("y"))
     return c.cube("phase", "area").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("rate")).select(F.coalesce("phase", F.lit("all")).alias("phase"), F.coalesce("area", F.lit("all")).alias("area"), "n", "rate")
 
 
 QUERIES = {f.__name__: f for f in (sampled_prediction, planted_recovery, learned_baseline, combo_prediction, combo_prediction_parts, indication_ancestors, resolve_ladder, holdout_provenance, penalty_forms, hypothesis_table)}
 
 
-def _area(column: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{p}') THEN '{n}'" for p, n in X.AREAS) + " ELSE 'other' END"
-
-
 SQL = {
     "combo_prediction": f"WITH {EV_SQL}, {CH_SQL}, b AS (SELECT src, dst, alpha / (alpha + beta) AS p FROM bel WHERE edge_type = 'affects'), c AS (SELECT chain_id, unnest(list_distinct(string_split_regex(compound, ' \\+ | and | plus | with |; '))) AS name FROM ch WHERE compound IS NOT NULL), p AS (SELECT DISTINCT chain_id, entity_id AS src FROM c JOIN ref_entities ON name = lower(canonical_name)), k AS (SELECT chain_id, count(*) AS parts FROM p GROUP BY 1 HAVING count(*) >= 2), e AS (SELECT DISTINCT chain_id, parts, src, dst, p FROM p JOIN k USING (chain_id) JOIN b USING (src)) SELECT chain_id, parts, round(-0.1 * ln(avg(exp(-greatest(p, 1e-12) / 0.1))), 6) AS efficacy, count(*) AS edges FROM e GROUP BY 1, 2",
-    "indication_ancestors": f"WITH c AS (SELECT nct_id, unnest(conditions) AS c FROM trials), l AS (SELECT nct_id, 0 AS level, c AS node FROM c UNION ALL SELECT nct_id, 1, {_area('c')} FROM c UNION ALL SELECT nct_id, 2, 'disease' FROM c) SELECT level, node, count(DISTINCT nct_id) AS trials FROM l GROUP BY 1, 2",
+    "indication_ancestors": f"WITH RECURSIVE c AS (SELECT nct_id, {disease_sql('c')} AS node FROM (SELECT nct_id, unnest(conditions) AS c FROM trials) WHERE c IS NOT NULL), n AS (SELECT DISTINCT node FROM c UNION SELECT 'melanoma' FROM c), p AS (SELECT node, coalesce({parent_sql('node')}, 'area:' || {area_sql('node')}) AS parent FROM n UNION SELECT 'area:' || {area_sql('node')}, 'disease' FROM n), r AS (SELECT DISTINCT node, 0 AS level, node AS ancestor FROM c UNION ALL SELECT r.node, level + 1, p.parent FROM r JOIN p ON p.node = r.ancestor WHERE level < 5) SELECT level, ancestor AS node, count(DISTINCT nct_id) AS trials FROM c JOIN r USING (node) GROUP BY 1, 2",
     "resolve_ladder": f"WITH {CH_SQL}, n AS (SELECT entity_id, lower(canonical_name) AS n, 1 AS step FROM ref_entities WHERE entity_type = 'target' UNION ALL SELECT entity_id, lower(unnest(synonyms)), 2 FROM ref_entities WHERE entity_type = 'target' UNION ALL SELECT entity_id, regexp_replace(lower(canonical_name), '[\\s_-]', '', 'g'), 3 FROM ref_entities WHERE entity_type = 'target'), t AS (SELECT DISTINCT target FROM ch WHERE target IS NOT NULL), h AS (SELECT target, n.step, entity_id, row_number() OVER (PARTITION BY target ORDER BY n.step, entity_id) AS k FROM t JOIN n ON n.n = CASE n.step WHEN 3 THEN regexp_replace(target, '[\\s_-]', '', 'g') ELSE target END) SELECT target, coalesce(step, 0) AS step, coalesce(entity_id, 0) AS entity_id FROM t LEFT JOIN (SELECT * FROM h WHERE k = 1) USING (target)",
     "holdout_provenance": f"WITH {EV_SQL}, p AS (SELECT src, dst, edge_type, source_id, sum(up)::DOUBLE AS u, sum(down)::DOUBLE AS d FROM ev GROUP BY ALL), s AS (SELECT *, 1 + sum(u) OVER w AS a, 1 + sum(d) OVER w AS b FROM p WINDOW w AS (PARTITION BY src, dst, edge_type)) SELECT src, dst, edge_type, max(round(abs(a / (a + b) - (a - u) / (a - u + b - d)), 4)) AS shift, count(*) AS sources FROM s GROUP BY ALL",
     "penalty_forms": f"WITH {EV_SQL}, r AS (SELECT src, round(0.3::DOUBLE * greatest((alpha / (alpha + beta) - 0.5) / 0.5, 0) * least(1.0, ln(greatest(alpha + beta - 2, 0) + 1) / ln(50)), 6) AS risk FROM bel WHERE edge_type = 'target_associated_ae'), m AS (SELECT src, max(risk) AS largest, sum(risk::DECIMAL(18,6))::DOUBLE AS total, round(1 - exp(sum(ln(1 - risk))), 5) AS noisy_or FROM r GROUP BY 1) SELECT src, form, least(0.6::DOUBLE, penalty) AS penalty FROM (UNPIVOT m ON largest, total, noisy_or INTO NAME form VALUE penalty)",
-    "hypothesis_table": f"WITH {CH_SQL}, y AS (SELECT coalesce(phase, 'none') AS phase, {_area(chr(99) + 'oalesce(indication, ' + chr(39) * 2 + ')')} AS area, CASE outcome WHEN 'success' THEN 1 ELSE 0 END AS y FROM ch WHERE outcome <> 'unknown') SELECT coalesce(phase, 'all') AS phase, coalesce(area, 'all') AS area, count(*) AS n, round(avg(y), 6) AS rate FROM y GROUP BY CUBE (phase, area)",
+    "hypothesis_table": f"WITH {CH_SQL}, y AS (SELECT coalesce(phase, 'none') AS phase, {area_sql(disease_sql('coalesce(indication, ' + chr(39) * 2 + ')'))} AS area, CASE outcome WHEN 'success' THEN 1 ELSE 0 END AS y FROM ch WHERE outcome <> 'unknown') SELECT coalesce(phase, 'all') AS phase, coalesce(area, 'all') AS area, count(*) AS n, round(avg(y), 6) AS rate FROM y GROUP BY CUBE (phase, area)",
 }
