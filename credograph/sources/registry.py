@@ -11,9 +11,12 @@ STUDY = """protocolSection struct<
   designModule: struct<phases: array<string>, studyType: string, enrollmentInfo: struct<count: bigint>>,
   conditionsModule: struct<conditions: array<string>>,
   armsInterventionsModule: struct<interventions: array<struct<type: string, name: string, otherNames: array<string>>>, armGroups: array<struct<label: string, type: string, interventionNames: array<string>>>>,
+    outcomesModule: struct<primaryOutcomes: array<struct<measure: string, timeFrame: string, description: string>>, secondaryOutcomes: array<struct<measure: string, timeFrame: string, description: string>>>,
+  eligibilityModule: struct<eligibilityCriteria: string, sex: string, minimumAge: string, maximumAge: string>,
+  referencesModule: struct<references: array<struct<pmid: string, type: string, citation: string>>>,
   sponsorCollaboratorsModule: struct<leadSponsor: struct<name: string>>>,
 hasResults boolean,
-resultsSection struct<adverseEventsModule: struct<
+resultsSection struct<outcomeMeasuresModule: struct<outcomeMeasures: array<struct<title: string, groups: array<struct<id: string, title: string, description: string>>, classes: array<struct<title: string>>>>>, adverseEventsModule: struct<
   eventGroups: array<struct<id: string, title: string, seriousNumAtRisk: bigint>>,
   seriousEvents: array<struct<term: string, stats: array<struct<groupId: string, numAffected: bigint, numAtRisk: bigint>>>>>>"""
 PLACEBO = "placebo|sham|vehicle|saline"
@@ -80,11 +83,18 @@ def serious_events(df: DataFrame) -> DataFrame:
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a corpus file, one a line: comments after ``#`` and blanks left out, the first of repeats kept with its place."""
-    x = spark.read.text(path).select("_metadata.file_path", "value", F.monotonically_increasing_id().alias("pos"))
-    x = x.select("pos", F.trim(F.split("value", "#")[0]).alias("trial_id")).where("trial_id <> ''")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    x = spark.read.text(path).select(place.alias("pos"), F.trim(F.split("value", "#")[0]).alias("trial_id")).where("trial_id <> ''")
     return x.groupBy("trial_id").agg(F.min("pos").alias("pos"))
 
 
+def write_corpus(ids: DataFrame, path: str, header: str) -> None:
+    """Ids one a line under a comment, in order of their place; a corpus is one small file."""
+    lines = ids.orderBy("pos").select(F.col("trial_id").alias("value"))
+    head = ids.sparkSession.createDataFrame([(f"# {header}",)], "value string")
+    head.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+
+
 def alias_table(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated symbols with aliases packed by ``|``: one row for each name, approved symbols first."""
     x = spark.read.csv(path, sep="\t", header=True, schema="symbol string, alias_symbol string, prev_symbol string, uniprot_ids string")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Names and endings of private fields.
-PRIVATE_NAMES = {"belief_field", "box", "embedding", "anchors", "vectors"}
-PRIVATE_ENDINGS = ("_vec", "_embedding", "_box", "_private")
+# Names and endings of private fields; no name is excepted.
+PRIVATE_NAMES = {"embedding", "embeddings", "region_anchors", "anchors", "box", "box_min", "box_max", "box_params", "ellipsoid_mean", "ellipsoid_cov", "manifold", "manifold_params"}
+PRIVATE_ENDINGS = ("_embedding", "_embeddings", "_field", "_box", "_boxes", "_anchors", "_weights")
+PUBLIC_NAMES: frozenset[str] = frozenset()
 
 
-def is_private(name: str, public: frozenset[str] = frozenset()) -> bool:
+def is_private(name: str, public: frozenset[str] = PUBLIC_NAMES) -> bool:
     return name not in public and (name in PRIVATE_NAMES or name.endswith(PRIVATE_ENDINGS))
 
 
@@ -48,6 +50,39 @@ def strip_private(df: DataFrame) -> DataFrame:
     return df.select(*[_stripped(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if not is_private(f.name)])
 
 
+def _held(c: Column, kind: T.DataType, path: str, private: bool) -> Column:
+    """Paths of the private fields of a value that hold something: not null, blank or empty."""
+    none = F.array().cast("array<string>")
+    if private:
+        filled = c.isNotNull()
+        if isinstance(kind, (T.ArrayType, T.MapType)):
+            filled = filled & (F.size(c) > 0)
+        elif isinstance(kind, T.StringType):
+            filled = filled & (c != "")
+        return F.when(filled, F.array(F.lit(path))).otherwise(none)
+    if not private_paths(kind):
+        return none
+    if isinstance(kind, T.StructType):
+        parts = [_held(c[f.name], f.dataType, f"{path}.{f.name}", is_private(f.name)) for f in kind.fields]
+        return F.when(c.isNotNull(), F.concat(*parts)).otherwise(none)
+    values = F.map_values(c) if isinstance(kind, T.MapType) else c
+    inner = kind.valueType if isinstance(kind, T.MapType) else kind.elementType
+    mark = "{}" if isinstance(kind, T.MapType) else "[]"
+    return F.coalesce(F.flatten(F.transform(values, lambda x: _held(x, inner, path + mark, False))), none)
+
+
+def held_private(df: DataFrame) -> DataFrame:
+    """``path, rows``: the private fields, at any depth, that hold a value in some row; a declared but empty one is no leak."""
+    parts = [_held(F.col(f"`{f.name}`"), f.dataType, f.name, is_private(f.name)) for f in df.schema.fields]
+    return df.select(F.explode(F.array_distinct(F.concat(*parts))).alias("path")).groupBy("path").agg(F.count("*").alias("rows"))
+
+
+def assert_public(df: DataFrame) -> None:
+    """Raise if a private field holds a value anywhere."""
+    if left := sorted(r["path"] for r in held_private(df).limit(20).collect()):
+        raise ValueError(f"private values: {', '.join(left)}")
+
+
 def write_public(df: DataFrame, path: str) -> None:
     out = strip_private(df)
     if left := private_paths(out.schema):
@@ -55,11 +90,13 @@ def write_public(df: DataFrame, path: str) -> None:
     out.write.mode("overwrite").parquet(path)
 
 
-def write_private(df: DataFrame, root: str, name: str, vector: str | None = None) -> None:
+def write_private(df: DataFrame, root: str, name: str, vector: str | None = None, public_tree: str | None = None) -> None:
     """Under the private root only; vectors are stored once each at six decimals, by their id."""
     target = PurePosixPath(root, name)
-    if ".." in target.parts:
+    if ".." in target.parts or PurePosixPath(name).is_absolute():
         raise ValueError("outside of the private root")
+    if public_tree and PurePosixPath(os.path.realpath(root)).is_relative_to(os.path.realpath(public_tree)):
+        raise ValueError("the private root lies inside the public tree")
     if vector:
         v = F.transform(vector, lambda x: F.round(x.cast("double"), 6))
         df = df.withColumn(vector, v).withColumn("vec_key", F.xxhash64(vector))

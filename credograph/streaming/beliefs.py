@@ -34,17 +34,24 @@ def sessions(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
 
-def append_batches(stream: DataFrame, path: str, checkpoint: str, ledger: str = "source_id") -> object:
-    """Append micro-batches of evidence to a table; what the ledger has already is left out, so a replay adds nothing."""
+def append_batches(stream: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("source_id", "seq"), parts: int = 256) -> object:
+    """Append micro-batches of records to a table; a record told before, in the batch or the table, adds nothing.
+
+    ``keys`` name a record, so later records of a source are kept. The table is partitioned
+    by a hash of them (``_part``), and a batch is compared with the partitions it falls into only.
+    """
 
     def add(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            done = spark.read.parquet(path).select(ledger).distinct()
-            batch = batch.join(done, ledger, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        batch.write.mode("append").parquet(path)
+        new = batch.dropDuplicates(list(keys)).withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+            new = new.persist()
+            touched = [r["_part"] for r in new.select("_part").distinct().collect()]  # at most ``parts``
+            done = spark.read.parquet(path).where(F.col("_part").isin(touched)).select(*keys, "_part")
+            new.join(done, [*keys, "_part"], "left_anti").write.mode("append").partitionBy("_part").parquet(path)
+            new.unpersist()
+        else:
+            new.write.mode("append").partitionBy("_part").parquet(path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
