@@ -15,7 +15,7 @@ from credograph.sources.tables import table
 PLACEHOLDERS = ["unclear", "unknown", "n/a", "not specified", "-", "none", "tbd", "not reported"]
 BUCKETS = {"strong": "strong_support", "moderate": "moderate_support", "weak": "weak_support", "ambiguous": "ambiguous", "contradicts": "moderate_contradict"}
 SOURCES = {"genetic": "genetic_gwas", "in_vitro": "preclinical_in_vitro", "database": "database_ot_association"}
-BACKBONE = [("affects", "compound", "target"), ("modulates_via", "target", "mechanism"), ("mechanism_affects", "mechanism", "biology"), ("biology_drives", "biology", "indication"), ("endpoint_captures", "endpoint", "indication"), ("responds_differently", "population", "biology")]
+BACKBONE = [("affects", "compound", "target"), ("modulates_via", "target", "mechanism"), ("mechanism_affects", "mechanism", "biology"), ("biology_drives", "biology", "indication"), ("endpoint_captures", "endpoint", "indication"), ("reflects_biology", "biology", "endpoint")]
 
 
 # Evidence tier of each phase; any other phase counts as literature.
