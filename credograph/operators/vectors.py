@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credograph.session import cut
+
 #: So many query vectors are compared at a time.
 QUERY_BLOCK = 1024
 
@@ -84,7 +86,7 @@ def similar_pairs(rows: DataFrame, least: float, pivots: int = 64, seed: int = 7
     """
     import math
 
-    u = copies(rows).where("vec_id = first").select("vec_id", "u")
+    u = cut(copies(rows).where("vec_id = first").select("vec_id", "u"))
     held = [r["u"] for r in u.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(pivots).collect()]
     if not held:
         return rows.sparkSession.createDataFrame([], "a long, b long, cosine double")
@@ -92,7 +94,7 @@ def similar_pairs(rows: DataFrame, least: float, pivots: int = 64, seed: int = 7
     apart = lambda p: F.sqrt(F.greatest(2 - 2 * dot(F.col("u"), p), F.lit(0.0)))
     centres = F.array(*[F.array(*map(F.lit, p)) for p in held])
     x = u.withColumn("d", F.transform(centres, apart))
-    x = x.withColumn("near", F.array_min("d"))
+    x = cut(x.withColumn("near", F.array_min("d")))
     home = x.select(F.col("vec_id").alias("b"), F.col("u").alias("ub"), (F.array_position("d", F.col("near")) - 1).cast("int").alias("cell"))
     guests = x.select(F.col("vec_id").alias("a"), F.col("u").alias("ua"), F.explode(F.filter(F.sequence(F.lit(0), F.lit(len(held) - 1)), lambda c: F.get("d", c) <= F.col("near") + 2 * radius)).alias("cell"))
     pairs = home.join(guests, "cell").where("a < b").select("a", "b", dot(F.col("ua"), F.col("ub")).alias("cosine")).where(F.col("cosine") >= least)
