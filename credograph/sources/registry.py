@@ -20,24 +20,46 @@ resultsSection struct<outcomeMeasuresModule: struct<outcomeMeasures: array<struc
   eventGroups: array<struct<id: string, title: string, seriousNumAtRisk: bigint>>,
   seriousEvents: array<struct<term: string, stats: array<struct<groupId: string, numAffected: bigint, numAtRisk: bigint>>>>>>"""
 PLACEBO = "placebo|sham|vehicle|saline"
+# Titles of result classes that name no subgroup.
+TOTALS = ["total", "overall", "all participants", "all patients"]
 #: A serious event is kept where at least so many are affected in some group.
 LEAST_AFFECTED = 3
 
 
 def studies(spark: SparkSession, path: str) -> DataFrame:
-    """Registry study JSON, one object a line, flattened to one row a trial; broken lines give null ids and are dropped."""
+    """Registry study JSON, one object a line, flattened to one row a trial; broken lines give null ids and are dropped.
+
+    Arms are the planned ones, with their drugs; where none are planned, the groups that
+    results are reported for, each once. Subgroups are the titles of result classes, once
+    each whatever their case, totals left out. ``broken_lines`` gives what was dropped.
+    """
     x = spark.read.schema(STUDY).json(path)
-    p = "protocolSection."
-    arms = F.transform(F.col(p + "armsInterventionsModule.armGroups"), lambda a: F.struct(a["label"].alias("label"), F.filter(F.transform(a["interventionNames"], lambda n: F.regexp_replace(n, "^[A-Za-z ]+: ", "")), lambda n: ~F.lower(n).rlike(PLACEBO)).alias("compounds")))
+    p, none = "protocolSection.", F.array().cast("array<string>")
+    drugs = lambda a: F.filter(F.transform(F.coalesce(a["interventionNames"], none), lambda n: F.trim(F.regexp_replace(n, "^[A-Za-z ]+: ", ""))), lambda n: (n != "") & ~F.lower(n).rlike(PLACEBO))
+    planned = F.filter(F.transform(F.coalesce(F.col(p + "armsInterventionsModule.armGroups"), F.array()), lambda a: F.struct(F.trim(a["label"]).alias("label"), drugs(a).alias("compounds"))), lambda a: a["label"] != "")
+    measures = F.col("resultsSection.outcomeMeasuresModule.outcomeMeasures")
+    groups = F.filter(F.flatten(F.transform(measures, lambda m: F.coalesce(m["groups"], F.array()))), lambda g: F.coalesce(g["id"], F.lit("")) != "")
+    once = F.filter(groups, lambda g, i: ~F.exists(F.slice(groups, 1, i), lambda h: h["id"] == g["id"]))
+    reported = F.transform(once, lambda g: F.struct(F.coalesce(g["title"], F.lit("")).alias("label"), none.alias("compounds")))
+    arms = F.when(F.size(planned) > 0, planned).otherwise(F.coalesce(reported, F.array()))
+    titles = F.filter(F.transform(F.flatten(F.transform(measures, lambda m: F.coalesce(m["classes"], F.array()))), lambda c: F.trim(c["title"])), lambda x: (x != "") & ~F.lower(x).isin(TOTALS))
+    subgroups = F.filter(titles, lambda x, i: ~F.exists(F.slice(titles, 1, i), lambda y: F.lower(y) == F.lower(x)))
     return x.select(
         F.col(p + "identificationModule.nctId").alias("trial_id"), F.col(p + "identificationModule.briefTitle").alias("title"),
         F.col(p + "statusModule.overallStatus").alias("status"), F.col(p + "statusModule.whyStopped").alias("why_stopped"),
         F.col(p + "designModule.phases").alias("phases"), F.col(p + "designModule.studyType").alias("study_type"), F.col(p + "designModule.enrollmentInfo.count").alias("enrollment"),
         F.col(p + "conditionsModule.conditions").alias("conditions"), F.col(p + "armsInterventionsModule.interventions").alias("interventions"), arms.alias("arms"),
         F.col(p + "sponsorCollaboratorsModule.leadSponsor.name").alias("sponsor"), F.coalesce("hasResults", F.lit(False)).alias("has_results"), F.col("resultsSection.adverseEventsModule").alias("adverse_events"),
+        F.col(p + "outcomesModule.primaryOutcomes").alias("primary_outcomes"), F.col(p + "outcomesModule.secondaryOutcomes").alias("secondary_outcomes"), F.col(p + "eligibilityModule").alias("eligibility"), F.col(p + "referencesModule.references").alias("references"), F.coalesce(subgroups, none).alias("subgroups"),
     ).where("trial_id is not null")
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line`` of what ``studies`` drops: not JSON, or without an id."""
+    x = spark.read.text(path).where("trim(value) <> ''")
+    return x.where(F.get_json_object("value", "$.protocolSection.identificationModule.nctId").isNull()).select(F.col("value").alias("line"))
+
+
 def search(df: DataFrame, condition: str | None = None, intervention: str | None = None, phases: list[str] | None = None, statuses: list[str] | None = None, study_type: str | None = None, has_results: bool | None = None) -> DataFrame:
     """Registry search as a filter: lists are alternatives, criteria go together, text matches any part."""
     c: Column = F.lit(True)
@@ -61,9 +83,10 @@ def with_results(df: DataFrame) -> DataFrame:
     return search(df, phases=["PHASE2", "PHASE3"], statuses=["COMPLETED", "TERMINATED"], has_results=True)
 
 
-def stopped_drug_trials(df: DataFrame) -> DataFrame:
-    """Preset: terminated or withdrawn with a reason, and a drug among the interventions."""
-    return search(df, statuses=["TERMINATED", "WITHDRAWN"]).where("trim(why_stopped) <> ''").where(F.exists("interventions", lambda x: x["type"].isin("DRUG", "BIOLOGICAL")))
+def stopped_drug_trials(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Preset: terminated or withdrawn with a reason, and a drug among the interventions; at most ``most``, by id."""
+    found = search(df, statuses=["TERMINATED", "WITHDRAWN"]).where("trim(why_stopped) <> ''").where(F.exists("interventions", lambda x: x["type"].isin("DRUG", "BIOLOGICAL")))
+    return found if most is None else found.orderBy("trial_id").limit(most)
 
 
 def by_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
