@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from credograph.session import cut
+
 
 def reliability(df: DataFrame, p: str, y: str, bins: int = 10) -> DataFrame:
     """Equal-width bins, the last one closed: count, mean score, observed rate."""
@@ -73,6 +75,20 @@ def delong(df: DataFrame, p1: str, p2: str, y: str) -> DataFrame:
     return m.select(F.round("auc_a", 6).alias("auc_a"), F.round("auc_b", 6).alias("auc_b"), F.when(var > 0, F.round((F.col("auc_a") - F.col("auc_b")) / F.sqrt(var), 4)).alias("z"))
 
 
+@F.pandas_udf(T.DoubleType())
+def two_sided_p(z: pd.Series) -> pd.Series:
+    """Two-sided p of a standard normal deviate; null for null."""
+    return z.map(lambda v: None if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
+
+
+def delong_test(df: DataFrame, p1: str, p2: str, y: str) -> DataFrame:
+    """``delong`` with the difference's p and its 95 % interval; null where the variance is nothing."""
+    d = F.col("auc_a") - F.col("auc_b")
+    half = F.abs(d / F.col("z")) * 1.959964
+    x = delong(df, p1, p2, y).withColumn("p_value", F.round(two_sided_p("z"), 6))
+    return x.withColumns({"low": F.when(F.col("z") != 0, F.round(d - half, 6)), "high": F.when(F.col("z") != 0, F.round(d + half, 6))})
+
+
 @F.pandas_udf(T.DoubleType())
 def mcnemar_p(b: pd.Series, c: pd.Series) -> pd.Series:
     """Exact two-sided p of b against c discordant pairs."""
@@ -146,7 +162,7 @@ def platt(df: DataFrame, p: str, y: str, fold_column: str, k: int) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    x = VectorAssembler(inputCols=[p], outputCol="__f", handleInvalid="skip").transform(df).persist()
+    x = cut(VectorAssembler(inputCols=[p], outputCol="__f", handleInvalid="skip").transform(df))
     parts = []
     for i in range(k):
         model = LogisticRegression(featuresCol="__f", labelCol=y, probabilityCol="__p", predictionCol="__c", rawPredictionCol="__r").fit(x.where(F.col(fold_column) != i))

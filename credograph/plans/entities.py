@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from credograph.operators import merge, vectors
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, role, sql_role, unpivot
+from credograph.session import cut
 from credograph.sources.tables import table
 
-GATE, BANDWIDTH = 0.60, 0.25
+GATE, BANDWIDTH, MOST_TERMS = 0.60, 0.25, 2000
 
 
 def nearest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,9 +25,11 @@ def _centroids(e: DataFrame) -> DataFrame:
 
 
 def nearest_term(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The closest label centroid of each vector, gated; the vocabulary of labels is small."""
+    """The closest label centroid of each vector, gated; a vocabulary goes into the plan, so it may hold ``MOST_TERMS`` at most."""
     e = table(spark, sf_dir, "embeddings")
-    held = [(r["label"], r["c"]) for r in _centroids(e).orderBy("label").collect()]
+    held = [(r["label"], r["c"]) for r in _centroids(e).orderBy("label").limit(MOST_TERMS + 1).collect()]
+    if len(held) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms; use vectors.search with the terms as rows")
     terms = F.array(*[F.struct(F.lit(t).alias("t"), F.array(*map(F.lit, c)).alias("c")) for t, c in held])
     u = e.withColumn("u", vectors.unit(F.col("embedding")))
     best = F.array_max(F.transform(terms, lambda x: F.struct(F.round(vectors.dot(F.col("u"), vectors.unit(x["c"])), 6).alias("s"), (-x["t"]).alias("t"))))
@@ -49,7 +52,7 @@ def label_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def box_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = vectors.containment(vectors.boxes(table(spark, sf_dir, "embeddings"), "label"), "label").persist()
+    c = cut(vectors.containment(vectors.boxes(table(spark, sf_dir, "embeddings"), "label"), "label"))
     x = c.alias("a").join(c.alias("b"), (F.col("a.inner") == F.col("b.outer")) & (F.col("a.outer") == F.col("b.inner")) & (F.col("a.inner") < F.col("a.outer")))
     return x.select(F.col("a.inner").alias("a"), F.col("a.outer").alias("b"), vectors.relation(F.col("a.share"), F.col("b.share")).alias("relation"))
 

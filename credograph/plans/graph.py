@@ -10,6 +10,7 @@ from credograph.operators import graph as G
 from credograph.operators.attribution import success_updates
 from credograph.plans.attribution import RT_SQL, _beliefs, _edges, attributed_beliefs
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, by_indication, chains, evidence_log, unpivot
+from credograph.session import cut
 from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
@@ -57,7 +58,7 @@ def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All simple paths of up to six hops over every edge type, from compound to indication of the chains whose id divides by 50."""
-    c = chains(spark, sf_dir).persist()
+    c = cut(chains(spark, sf_dir))
     asked = by_indication(c).where("chain_id % 50 = 0 and compound is not null").select(F.col("compound").alias("src"), F.col("indication").alias("tgt"))
     return G.simple_paths(unpivot(c, "chain_id"), asked)
 
@@ -130,7 +131,7 @@ def chain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def completeness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that lack an edge their role calls for."""
-    e = unpivot(chains(spark, sf_dir), "chain_id").persist()
+    e = cut(unpivot(chains(spark, sf_dir), "chain_id"))
     out, into = e.select(F.col("src").alias("node"), "edge_type").distinct(), e.select(F.col("dst").alias("node"), "edge_type").distinct()
     targets = into.where("edge_type = 'affects'").select("node")
     mechanisms = into.where("edge_type = 'modulates_via'").select("node")

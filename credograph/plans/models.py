@@ -41,7 +41,7 @@ def learned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     x = chains(spark, sf_dir).join(labels(spark, sf_dir), "chain_id").where("label in ('success', 'failure')")
     x = x.select("chain_id", F.when(F.col("label") == "success", 1.0).otherwise(0.0).alias("y"), *[F.coalesce(c, F.lit("none")).alias(c) for c in ("phase", "indication", "endpoint", "sponsor")], F.log1p(F.coalesce("sample_size", F.lit(0)).cast("double")).alias("size"), fold(F.col("trial_id"), FOLDS).alias("fold"))
-    x = FeatureHasher(inputCols=["phase", "indication", "endpoint", "sponsor", "size"], outputCol="f", numFeatures=1024).transform(x).select("chain_id", "y", "fold", "f").persist()
+    x = cut(FeatureHasher(inputCols=["phase", "indication", "endpoint", "sponsor", "size"], outputCol="f", numFeatures=1024).transform(x).select("chain_id", "y", "fold", "f"))
     parts = []
     for i in range(FOLDS):
         fit = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.1).fit(x.where(F.col("fold") != i))

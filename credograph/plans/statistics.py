@@ -54,6 +54,10 @@ def delong(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.delong(_two(spark, sf_dir), "p", "q", "y")
 
 
+def delong_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.delong_test(_two(spark, sf_dir), "p", "q", "y")
+
+
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = lambda c: (F.col(c) >= 0.5) == (F.col("y") == 1)
     x = _two(spark, sf_dir).agg(F.count_if(right("p") & ~right("q")).alias("b"), F.count_if(~right("p") & right("q")).alias("c"))
@@ -93,7 +97,7 @@ def platt_recalibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.platt(x, "p", "y", "fold", FOLDS).select("chain_id", "p", "y", "calibrated")
 
 
-QUERIES = {f.__name__: f for f in (brier, reliability, calibration_error, auroc, pr_auc, confusion, delong, mcnemar, kfold_assign, kfold_holdout, calibration_bands, credible_intervals, isotonic_recalibration, platt_recalibration)}
+QUERIES = {f.__name__: f for f in (brier, reliability, calibration_error, auroc, pr_auc, confusion, delong, delong_test, mcnemar, kfold_assign, kfold_holdout, calibration_bands, credible_intervals, isotonic_recalibration, platt_recalibration)}
 
 _LB = """, lb0 AS (SELECT *, CASE WHEN mode IN ('insufficient_information', 'dose_limiting_toxicity', 'commercial_not_scientific', 'underpowered') THEN 'ambiguous' ELSE 'failure' END AS bad FROM ch
 ), lb AS (SELECT chain_id, CASE WHEN met THEN 'success' WHEN NOT met THEN bad WHEN trial_outcome = 'success' THEN 'success' WHEN trial_outcome = 'failure' THEN bad WHEN trial_outcome = 'partial' THEN 'ambiguous' END AS label FROM lb0)"""
