@@ -78,6 +78,6 @@ def term_counts(df: DataFrame, fields: dict[str, Column], flush_terms: int = FLU
     return parts.groupBy("field_name", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
 
-def marked(counts: DataFrame, n_rows: int, rare: int = RARE_RECORDS, common: float = COMMON_SHARE) -> DataFrame:
+def marked(counts: DataFrame, n_rows: int | Column, rare: int = RARE_RECORDS, common: float = COMMON_SHARE) -> DataFrame:
     """``mark``: rare if in at most ``rare`` records, else common if in more than ``common`` of ``n_rows``, else null."""
     return counts.withColumn("mark", F.when(F.col("records") <= rare, "rare").when(F.col("records") > common * n_rows, "common"))

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 
 from credograph.llm import canonical, components, containers, frequency, leaks, spam, splits
 from credograph.operators import packed
+from credograph.operators.statistics import with_totals
+from credograph.session import cut
 from credograph.sources.tables import table
 
 
-def _term_counts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "extractions", "therapeutic_hypothesis.claimed_target", "therapeutic_hypothesis.proposed_mechanism")
     counts = frequency.term_counts(df, {"claimed_target": frequency.whole_value(F.col("claimed_target")), "proposed_mechanism": frequency.terms(F.col("proposed_mechanism"))})
-    return counts, df.count()
+    return frequency.marked(with_totals(counts, df.agg(F.count("*").alias("n_rows"))), F.col("n_rows")).drop("n_rows")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, n = _term_counts(spark, sf_dir)
-    return frequency.marked(counts, n).where("mark is not null").select("field_name", "term", "mark")
+    return _marked(spark, sf_dir).where("mark is not null").select("field_name", "term", "mark")
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts, n = _term_counts(spark, sf_dir)
-    return frequency.marked(counts, n)
+    return _marked(spark, sf_dir)
 
 
 def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "extractions", "extraction_id", "therapeutic_hypothesis.compound", "therapeutic_hypothesis.claimed_target")
     items = packed.split_packed(df, "compound", ["extraction_id"]).select("extraction_id", F.lit("compound").alias("kind"), F.col("item_value").alias("value"))
-    typed = items.unionByName(df.select("extraction_id", F.lit("target").alias("kind"), F.col("claimed_target").alias("value"))).persist()
+    typed = cut(items.unionByName(df.select("extraction_id", F.lit("target").alias("kind"), F.col("claimed_target").alias("value"))))
     found = canonical.match(typed.select("kind", "value"), table(spark, sf_dir, "ref_entities"))
     rows = typed.join(found, ["kind", "value"]).select("extraction_id", "kind", "entity_id").distinct()
     return rows.select("extraction_id", F.when(F.col("kind") == "target", "claimed_target").otherwise("compound").alias("field_name"), "entity_id")
