@@ -10,7 +10,7 @@ from credograph.functions import text as X
 from credograph.operators.statistics import with_totals
 from credograph.plans.attribution import RT_SQL, _routed
 from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log, verdicts
-from credograph.plans.vocabulary import _DIR, PARENT_AXES, disease_sql, parent_sql
+from credograph.plans.vocabulary import _DIR, _QUALIFIED, PARENT_AXES, disease_sql, parent_sql
 from credograph.session import cut
 from credograph.sources.tables import table
 
@@ -156,6 +156,7 @@ SQL = {
     "trial_cells": f"WITH {CH_SQL}, c AS (SELECT trial_id, compound, coalesce(population, 'all comers') AS p, endpoint, met FROM ch WHERE compound IS NOT NULL AND endpoint IS NOT NULL), a AS (SELECT DISTINCT trial_id, compound FROM c), b AS (SELECT DISTINCT trial_id, p FROM c), e AS (SELECT DISTINCT trial_id, endpoint FROM c), x AS (SELECT trial_id, compound, p, endpoint FROM a JOIN b USING (trial_id) JOIN e USING (trial_id)), o AS (SELECT x.trial_id, max(CASE WHEN met THEN 2 WHEN NOT met THEN 1 ELSE 0 END) AS o FROM x LEFT JOIN c ON c.trial_id = x.trial_id AND c.compound = x.compound AND c.p = x.p AND c.endpoint = x.endpoint GROUP BY x.trial_id, x.compound, x.p, x.endpoint) SELECT trial_id, count(*) AS cells, count(*) FILTER (WHERE o = 2) AS success, count(*) FILTER (WHERE o = 1) AS failure, count(*) FILTER (WHERE o = 0) AS unknown FROM o GROUP BY 1",
     "target_ladder": f"WITH {CH_SQL}, nm AS (SELECT lower(canonical_name) AS k, entity_id FROM ref_entities WHERE entity_type = 'compound'), sy AS (SELECT lower(k) AS k, entity_id FROM (SELECT unnest(synonyms) AS k, entity_id FROM ref_entities WHERE entity_type = 'compound')), al AS (SELECT * FROM nm UNION SELECT * FROM sy), c AS (SELECT DISTINCT compound, trim(regexp_replace(compound, '\\s*\\([^)]*\\)\\s*', ' ', 'g')) AS bare FROM ch WHERE compound IS NOT NULL), d AS (SELECT *, trim(regexp_replace({_STRIP.format('bare')}, '\\s+', ' ', 'g')) AS dose FROM c), l AS (SELECT compound, (SELECT min(entity_id) FROM nm WHERE k = compound) AS a, (SELECT min(entity_id) FROM sy WHERE k = compound) AS b, (SELECT min(entity_id) FROM al WHERE k = bare) AS c, (SELECT min(entity_id) FROM al WHERE k = CASE WHEN dose = '' THEN bare ELSE dose END) AS e FROM d) SELECT compound, CASE WHEN a IS NOT NULL THEN 1 WHEN b IS NOT NULL THEN 2 WHEN c IS NOT NULL THEN 3 WHEN e IS NOT NULL THEN 4 ELSE 0 END AS step, coalesce(a, b, c, e, 0) AS entity_id FROM l",
     "inherited_edges": f"WITH {CH_SQL}, {EV_SQL}, p AS (SELECT DISTINCT compound, entity_id FROM (SELECT compound, unnest(list_distinct(string_split_regex(compound, ' \\+ | and | plus | with '))) AS name FROM (SELECT DISTINCT compound FROM ch WHERE compound IS NOT NULL)) JOIN ref_entities ON lower(canonical_name) = name), k AS (SELECT DISTINCT list_sort(list(entity_id)) AS parts FROM p GROUP BY compound HAVING count(*) >= 2), u AS (SELECT array_to_string(parts, '+') AS combo_id, unnest(parts) AS e FROM k) SELECT combo_id, dst, round(1 + sum(alpha - 1), 6) AS alpha, round(1 + sum(beta - 1), 6) AS beta, count(*) AS parts FROM u JOIN bel ON bel.src = e AND edge_type = 'affects' GROUP BY 1, 2",
+    "subgroup_forks": f"WITH {CH_SQL}, {_QUALIFIED}, u AS (SELECT unnest(list_filter([stage, severity, extent, setting, line, age, 'histology_' || hist], lambda v: v IS NOT NULL)) AS p FROM x JOIN ch ON ch.chain_id = x.extraction_id WHERE population IS NOT NULL) SELECT p AS population_id, count(*) FILTER (WHERE regexp_matches(p, '^(line|stage|extent|severity)_')) AS forked, count(*) FILTER (WHERE NOT regexp_matches(p, '^(line|stage|extent|severity)_')) AS not_forked FROM u GROUP BY 1",
     "disease_hierarchy": f"WITH s AS (SELECT DISTINCT {disease_sql('c')} AS child FROM (SELECT unnest(conditions) AS c FROM trials) WHERE c IS NOT NULL) SELECT child, {parent_sql('child')} AS parent FROM s WHERE {parent_sql('child')} IS NOT NULL",
     "stamped_directions": f"WITH {CH_SQL}, d AS (SELECT chain_id, compound, sign({_DIR.format('mechanism')}) AS d FROM ch), n AS (SELECT compound, count(*) FILTER (WHERE d = 1) AS up, count(*) FILTER (WHERE d = -1) AS down FROM d WHERE compound IS NOT NULL GROUP BY 1) SELECT chain_id, CASE WHEN up > down THEN 'agonist' WHEN down > up THEN 'antagonist' ELSE 'unknown' END AS direction FROM d LEFT JOIN n USING (compound)",
     "build_gates": f"WITH {_DROP}, {EV_SQL}, g AS (SELECT (SELECT round(avg(CASE reason WHEN 'kept' THEN 1.0 ELSE 0.0 END), 6) FROM dr) AS k, round(avg(CASE WHEN target IS NULL THEN 0.0 ELSE 1.0 END), 6) AS t, round(avg(CASE WHEN mechanism IS NULL THEN 0.0 ELSE 1.0 END), 6) AS m, round(avg(CASE WHEN biology IS NULL THEN 0.0 ELSE 1.0 END), 6) AS b, round(avg(CASE WHEN endpoint IS NULL THEN 0.0 ELSE 1.0 END), 6) AS e, (SELECT count(*)::DOUBLE FROM (SELECT DISTINCT src, dst FROM ev) WHERE src NOT IN (SELECT entity_id FROM ref_entities)) AS f FROM ch) SELECT 'kept' AS gate, k AS value, k >= 0.5 AS passed FROM g UNION ALL SELECT 'target', t, t >= 0.6 FROM g UNION ALL SELECT 'mechanism', m, m >= 0.6 FROM g UNION ALL SELECT 'biology', b, b >= 0.6 FROM g UNION ALL SELECT 'endpoint', e, e >= 0.6 FROM g UNION ALL SELECT 'phantom_edges', f, f = 0 FROM g",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from credograph.operators import merge, vectors
 from credograph.plans.base import CH_SQL, EV_SQL, chains, evidence_log, unpivot
+from credograph.plans.vocabulary import _QUALIFIED
 from credograph.session import cut
 from credograph.sources.tables import table
 
@@ -121,5 +122,6 @@ SQL = {
     "replayed_beliefs": f"WITH {EV_SQL}, g AS (SELECT * REPLACE (CASE WHEN dst IN (SELECT entity_id FROM ref_entities WHERE entity_type = 'target') THEN ((dst - 5001) // 4) * 4 + 5001 ELSE dst END AS dst), CASE source_type WHEN 'clinical_trial' THEN (SELECT upper(replace(phase, ' ', '')) FROM trials WHERE nct_id = source_id) ELSE source_type END AS ph FROM ev), h AS (SELECT *, CASE WHEN source_type <> 'clinical_trial' THEN source_type WHEN ph IN ('PHASE3', 'PHASE4', 'PHASE2/PHASE3') THEN 'p3' WHEN ph = 'PHASE2' THEN 'p2' WHEN ph IN ('PHASE1', 'EARLY_PHASE1') THEN 'p1' ELSE 'literature' END AS arm FROM g), f AS (SELECT *, row_number() OVER (PARTITION BY src, dst, edge_type, source_id, bucket, arm ORDER BY ts NULLS FIRST, seq) AS k FROM h) SELECT src, dst, edge_type, 1 + sum(up)::DOUBLE AS alpha, 1 + sum(down)::DOUBLE AS beta, count(*) AS n_records FROM f WHERE k = 1 GROUP BY ALL",
     "cosine_pairs": f"WITH {_V} SELECT a, b, round(c, 4) AS cosine FROM pr",
     "cosine_classes": f"WITH RECURSIVE {_V}, l AS (SELECT a, b FROM pr UNION SELECT b, a FROM pr), r AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.b FROM r JOIN l ON r.y = l.a) SELECT x AS vec_id, min(y) AS class_id, (SELECT count(*) FROM l WHERE l.a = r.x) AS links FROM r GROUP BY 1",
+    "parent_pairs": f"WITH {_QUALIFIED}, y AS (SELECT list_sort(list_filter([stage, severity, extent, setting, line, age, 'histology_' || hist], lambda v: v IS NOT NULL)) AS a FROM x), n AS (SELECT a, count(*) AS n FROM y WHERE len(a) > 0 GROUP BY 1) SELECT array_to_string(c.a, '__') AS child, array_to_string(p.a, '__') AS parent, p.n AS chains FROM n c JOIN n p ON len(p.a) = len(c.a) - 1 AND list_has_all(c.a, p.a)",
     "box_expansion": "WITH RECURSIVE bx AS (SELECT label, i AS axis, min(x) AS lo, max(x) AS hi FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL), up AS (SELECT DISTINCT label AS node, label AS anc, 0 AS lv FROM embeddings UNION ALL SELECT node, anc // 2, lv + 1 FROM up WHERE anc // 2 <> anc AND lv < 5), e AS (SELECT anc AS label, axis, min(lo) AS lo, max(hi) AS hi FROM bx JOIN up ON up.node = bx.label GROUP BY ALL) SELECT label, round(sum(hi::DOUBLE - lo::DOUBLE), 3) AS width FROM e GROUP BY 1",
 }

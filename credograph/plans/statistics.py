@@ -61,7 +61,7 @@ def delong_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = lambda c: (F.col(c) >= 0.5) == (F.col("y") == 1)
     x = _two(spark, sf_dir).agg(F.count_if(right("p") & ~right("q")).alias("b"), F.count_if(~right("p") & right("q")).alias("c"))
-    return x.withColumn("p_value", S.mcnemar_p("b", "c"))
+    return x.withColumn("p_value", F.round(S.mcnemar_p("b", "c"), 6))
 
 
 def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +114,7 @@ SQL = {
     "pr_auc": f"{_SC}, l AS (SELECT p, sum(y) AS pos, count(*) AS n FROM sc GROUP BY 1), r AS (SELECT pos, sum(pos) OVER w AS tp, sum(n) OVER w AS n FROM l WINDOW w AS (ORDER BY p DESC)) SELECT round(sum(pos * tp / n) / sum(pos), 6) AS pr_auc FROM r",
     "confusion": f"{_SC} SELECT p >= 0.5 AS hit, y::INTEGER AS y, count(*) AS n FROM sc GROUP BY 1, 2",
     "delong": f"{_SC}{_GR}, va AS (SELECT a.chain_id, avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) AS v1, avg(CASE WHEN a.q > b.q THEN 1.0::DOUBLE WHEN a.q = b.q THEN 0.5::DOUBLE ELSE 0 END) AS v2 FROM tw a, tw b WHERE a.y = 1 AND b.y = 0 GROUP BY 1), wa AS (SELECT b.chain_id, avg(CASE WHEN a.p > b.p THEN 1.0::DOUBLE WHEN a.p = b.p THEN 0.5::DOUBLE ELSE 0 END) AS w1, avg(CASE WHEN a.q > b.q THEN 1.0::DOUBLE WHEN a.q = b.q THEN 0.5::DOUBLE ELSE 0 END) AS w2 FROM tw a, tw b WHERE a.y = 1 AND b.y = 0 GROUP BY 1), st AS (SELECT (SELECT avg(v1) FROM va) AS a1, (SELECT avg(v2) FROM va) AS a2, (SELECT var_samp(v1 - v2) / count(*) FROM va) + (SELECT var_samp(w1 - w2) / count(*) FROM wa) AS var) SELECT round(a1, 6) AS auc_a, round(a2, 6) AS auc_b, CASE WHEN var > 0 THEN round((a1 - a2) / sqrt(var), 4) END AS z FROM st",
+    "mcnemar": f"{_SC}{_GR}, m AS (SELECT count(*) FILTER (WHERE (p >= 0.5) = (y = 1) AND (q >= 0.5) <> (y = 1)) AS b, count(*) FILTER (WHERE (p >= 0.5) <> (y = 1) AND (q >= 0.5) = (y = 1)) AS c FROM tw) SELECT b, c, CASE WHEN b + c = 0 THEN 1.0 ELSE (SELECT round(least(1.0, 2 * sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2)))), 6) FROM (SELECT unnest(range(least(b, c) + 1)) AS i)) END AS p_value FROM m",
     "kfold_assign": f"WITH {CH_SQL} SELECT DISTINCT trial_id, {_MD5.format('trial_id', FOLDS)} AS fold FROM ch",
     "kfold_holdout": f"WITH {EV_SQL}, f AS (SELECT *, {_MD5.format(chr(99) + 'oalesce(source_id, ' + chr(39) * 2 + ')', FOLDS)} AS own FROM ev), k AS (SELECT unnest(range({FOLDS})) AS fold) SELECT src, dst, edge_type, fold, 1 + coalesce(sum(up) FILTER (WHERE own <> fold), 0)::DOUBLE AS alpha, 1 + coalesce(sum(down) FILTER (WHERE own <> fold), 0)::DOUBLE AS beta FROM f, k GROUP BY 1, 2, 3, 4",
     "calibration_bands": f"WITH {AT_SQL}{_LB} SELECT label, round(avg(efficacy), 6) AS mean_p, count(*) AS n FROM cp JOIN lb USING (chain_id) WHERE label IS NOT NULL GROUP BY 1",
