@@ -48,6 +48,13 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("extraction_id", F.when(F.col("kind") == "target", "claimed_target").otherwise("compound").alias("field_name"), "entity_id")
 
 
+def p4_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The claimed targets of p4 with the entity each means, 0 for none."""
+    df = table(spark, sf_dir, "extractions", "extraction_id", "therapeutic_hypothesis.claimed_target").select("extraction_id", F.lit("target").alias("kind"), F.col("claimed_target").alias("value"))
+    found = canonical.match(df.select("kind", "value"), table(spark, sf_dir, "ref_entities"))
+    return df.join(found, ["kind", "value"]).select("extraction_id", "entity_id").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "match_pairs", "pair_id", "left_id", "right_id", "field_name", "label", "decided_at", "loaded_at")
     return components.groups(components.accepted(pairs)).select(F.col("vertex").alias("extraction_id"), F.col("group").alias("group_id"))
@@ -77,7 +84,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find(docs, items).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p10_found": p10_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p7_found": p7_found, "p7_groups": p7_groups}
+QUERIES = {"p8_containers": p8_containers, "p8_buckets": p8_buckets, "p9_found": p9_found, "p10_found": p10_found, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_splits": p3_splits, "p4_found": p4_found, "p4_targets": p4_targets, "p7_found": p7_found, "p7_groups": p7_groups}
 
 _COUNTS = r"""
 WITH toks AS (
@@ -114,7 +121,32 @@ WITH RECURSIVE k0 AS (
 ), rows AS (SELECT extraction_id, coalesce(lab.label, 'alone:' || extraction_id) AS label FROM keyed LEFT JOIN lab ON lab.node = coalesce(a, b)
 ), sized AS (SELECT extraction_id, min(extraction_id) OVER w AS group_id, count(*) OVER w AS n FROM rows WINDOW w AS (PARTITION BY label))
 """
+
+
+def _key(v: str) -> str:
+    return f"regexp_replace({v}, '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
+
+
+def _lean(v: str) -> str:
+    out = f"lower({v})"
+    for sign, name in canonical.GREEK.items():
+        out = f"replace({out}, '{sign}', '{name}')"
+    return f"regexp_replace({out}, '\\s*[(\\[][^)\\]]*[)\\]]', ' ', 'g')"
+
+
+_SUFFIX = "(alpha|beta|gamma|delta|epsilon|zeta|theta|iota|kappa|lambda|omicron|sigma|upsilon|omega)$"
+_EDITS = "CASE WHEN length(regexp_replace(regexp_replace({0}, '[0-9]', '', 'g'), '" + _SUFFIX + "', '')) >= 7 THEN 2 WHEN length(regexp_replace(regexp_replace({0}, '[0-9]', '', 'g'), '" + _SUFFIX + "', '')) >= 6 THEN 1 ELSE 0 END"
+_TARGETS = f"""
+WITH nm AS (SELECT {_key(_lean('n'))} AS k, min(entity_id) AS id FROM (SELECT entity_id, unnest(list_append(coalesce(synonyms, []), canonical_name)) AS n FROM ref_entities WHERE entity_type = 'target') GROUP BY 1 HAVING k <> ''
+), v AS (SELECT DISTINCT therapeutic_hypothesis.claimed_target AS v FROM extractions), w AS (SELECT v FROM v WHERE trim(regexp_replace(v, '\\s+', ' ', 'g')) <> '' AND lower(trim(regexp_replace(v, '\\s+', ' ', 'g'))) NOT IN ('unclear', 'unknown', 'n/a', 'not specified', '-', 'none', 'tbd', 'not reported')
+), k AS (SELECT v, {_key(_lean('v'))} AS k FROM w UNION SELECT v, {_key(f"regexp_replace({_lean('v')}, '[[:space:]](protein|pathway|receptor complex|signaling|signalling|gene|gene product)[[:space:]]*$', '')")} FROM w
+), ex AS (SELECT v, min(id) AS id FROM k JOIN nm USING (k) GROUP BY 1
+), fz AS (SELECT v, nm.id, levenshtein(k.k, nm.k) AS far FROM k JOIN nm ON levenshtein(k.k, nm.k) <= least({_EDITS.format('k.k')}, {_EDITS.format('nm.k')}) AND regexp_replace(k.k, '[^0-9]', '', 'g') = regexp_replace(nm.k, '[^0-9]', '', 'g')
+    AND (regexp_extract(k.k, '{_SUFFIX}') = '' OR regexp_extract(k.k, '{_SUFFIX}') = regexp_extract(nm.k, '{_SUFFIX}')) WHERE v NOT IN (SELECT v FROM ex)
+), bz AS (SELECT v, id, row_number() OVER (PARTITION BY v ORDER BY far, id) AS r FROM fz), al AS (SELECT w.v, coalesce(ex.id, bz.id, 0) AS id FROM w LEFT JOIN ex ON ex.v = w.v LEFT JOIN bz ON bz.v = w.v AND r = 1)
+"""
 SQL = {
+    "p4_targets": _TARGETS + "SELECT extraction_id, id AS entity_id FROM extractions JOIN al ON al.v = therapeutic_hypothesis.claimed_target",
     "p3_found": _COMPONENTS + "SELECT extraction_id, group_id FROM sized WHERE n > 1",
     "p2_found": _COUNTS + "SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
     "p2_counts": _COUNTS + "SELECT * FROM marked",
