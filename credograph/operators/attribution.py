@@ -1,7 +1,7 @@
 """Outcome attribution: failure routing, credit and blame along chains, arms and adverse events.
 
 Within an epoch every trial reads the beliefs as they stood at its start, which makes the
-order-dependent updates one aggregation; epochs are applied one after the other.
+order-dependent updates one aggregation; ``attribute_epochs`` applies epochs one after the other.
 """
 
 from __future__ import annotations
@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from credograph.functions.belief import exact
+from credograph.session import cut, release
+
 # Routing branch of each failure mode; multiple_factors and any other mode are unknown.
 BRANCHES = {
     "efficacy": ["no_target_engagement", "target_engaged_biology_not_moved"],
@@ -65,10 +68,36 @@ def responsibility(edges: DataFrame, keys: tuple[str, ...] = ("chain_id",)) -> D
     """Chains that failed on efficacy or measurement: p = (r - M) / (1 - M), M the chain's product; each takes the whole weight."""
     w = Window.partitionBy(*keys)
     m = F.exp(F.sum(F.log(F.greatest(F.col("r"), F.lit(1e-12)))).over(w))
-    x = edges.where("branch in ('efficacy', 'measurement') and outcome <> 'success'").withColumn("m", m).where("1 - m >= 1e-6")
+    x = edges.where("branch in ('efficacy', 'measurement') and outcome in ('failure', 'partial')").withColumn("m", m).where("1 - m >= 1e-6")
     return x.withColumn("p", F.least(F.greatest((F.col("r") - F.col("m")) / (1 - F.col("m")), F.lit(0.0)), F.lit(1.0)))
 
 
+def attribute_epochs(edges: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """``src, dst, edge_type, alpha, beta, n_records``: successes and routed failures attributed epoch by epoch.
+
+    ``edges`` has the edge, ``chain_id, outcome, branch, w`` and the epoch. An epoch's failures
+    read what all epochs before have left and the epoch's own successes; epochs are few (years),
+    each is one aggregation, and what they leave is written, so a lost executor costs one epoch.
+    """
+    key = ["src", "dst", "edge_type"]
+    held = cut(edges)
+    state = None
+    sums = lambda x: x.groupBy(*key).agg(F.sum(exact(F.col("n") * F.col("p"))).alias("up"), F.sum(exact(F.col("n") * (1 - F.col("p")))).alias("down"), F.count("*").alias("n"))
+    add = lambda a, b: b if a is None else a.unionByName(b).groupBy(*key).agg(F.sum("up").alias("up"), F.sum("down").alias("down"), F.sum("n").alias("n"))
+    for row in held.select(epoch).distinct().orderBy(epoch).collect():
+        now = held.where(F.col(epoch).eqNullSafe(F.lit(row[epoch])))
+        good = add(state, sums(success_updates(now)))
+        r = good.select(*key, ((1 + F.col("up").cast("double")) / (2 + (F.col("up") + F.col("down")).cast("double"))).alias("b"))
+        e = cut(now.join(r, key, "left").withColumn("r", F.coalesce("b", F.lit(0.5))).drop("b"))
+        blame = explain_away(e).select(*key, (F.col("w") * F.col("share")).alias("n"), "p")
+        own = responsibility(e).select(*key, F.col("w").alias("n"), "p")
+        before, state = state, cut(add(good, sums(blame.unionByName(own))))
+        release(*([e] if before is None else [e, before]))
+    if state is None:
+        return held.select(*key, F.lit(1.0).alias("alpha"), F.lit(1.0).alias("beta"), F.lit(0).cast("long").alias("n_records"))
+    return state.select(*key, (1 + F.col("up").cast("double")).alias("alpha"), (1 + F.col("down").cast("double")).alias("beta"), F.col("n").alias("n_records"))
+
+
 def subset_pairs(arms: DataFrame) -> DataFrame:
     """Arms of one trial whose compounds are a strict subset of another's; ``gain`` is the outcome's change of grade."""
     # joined on the smaller arm's first compound, so arms without a common compound never meet

@@ -84,7 +84,7 @@ def responsibility_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def censored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains whose failure says nothing about their edges."""
-    return _routed(spark, sf_dir).where("outcome <> 'success' and branch in ('safety', 'operational')").select("chain_id", "trial_id", "branch")
+    return _routed(spark, sf_dir).where("outcome in ('failure', 'partial') and branch in ('safety', 'operational')").select("chain_id", "trial_id", "branch")
 
 
 def attributed_beliefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,7 +226,7 @@ RT_SQL = f"""{CH_SQL}, rt AS (SELECT *, coalesce({STOP_SQL}, {_BRANCH}) AS branc
 ), sb AS (SELECT src, dst, edge_type, 1 + sum(round(n * p, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + sum(round(n * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS beta, count(*) AS n_records FROM su GROUP BY ALL
 ), rb AS (SELECT re.*, coalesce(alpha / (alpha + beta), 0.5) AS r FROM re LEFT JOIN sb USING (src, dst, edge_type)
 ), xa AS (SELECT *, CASE WHEN sum(1 - r) OVER c > 0 THEN (1 - r) / sum(1 - r) OVER c ELSE 1.0 / count(*) OVER c END AS share, CASE outcome WHEN 'failure' THEN 0.2 ELSE 0.35 END::DOUBLE AS p FROM rb WHERE branch = 'unknown' AND outcome IN ('failure', 'partial') WINDOW c AS (PARTITION BY chain_id)
-), rs0 AS (SELECT *, exp(sum(ln(greatest(r, 1e-12))) OVER (PARTITION BY chain_id)) AS m FROM rb WHERE branch IN ('efficacy', 'measurement') AND outcome <> 'success'
+), rs0 AS (SELECT *, exp(sum(ln(greatest(r, 1e-12))) OVER (PARTITION BY chain_id)) AS m FROM rb WHERE branch IN ('efficacy', 'measurement') AND outcome IN ('failure', 'partial')
 ), rs AS (SELECT *, least(greatest((r - m) / (1 - m), 0.0), 1.0) AS p FROM rs0 WHERE 1 - m >= 1e-6)"""
 _ARMS = CH_SQL + r""", arm0 AS (
   SELECT trial_id, list_sort(list_distinct(string_split_regex(compound, ' \+ | and | plus | with '))) AS compounds, min(chain_id) AS arm_id,
@@ -251,7 +251,7 @@ SQL = {
     "attribute_success": f"{_T}{RT_SQL} SELECT * FROM sb",
     "explain_away_epoch": f"{_T}{RT_SQL} SELECT chain_id, src, dst, edge_type, round(share, 6) AS share, round(w * share, 6) AS n, p FROM xa",
     "responsibility_epoch": f"{_T}{RT_SQL} SELECT chain_id, src, dst, edge_type, w AS n, round(p, 6) AS p FROM rs",
-    "censored": f"{_T}{RT_SQL} SELECT chain_id, trial_id, branch FROM rt WHERE outcome <> 'success' AND branch IN ('safety', 'operational')",
+    "censored": f"{_T}{RT_SQL} SELECT chain_id, trial_id, branch FROM rt WHERE outcome IN ('failure', 'partial') AND branch IN ('safety', 'operational')",
     "attributed_beliefs": f"{_T}{RT_SQL}, u AS (SELECT * FROM su UNION ALL SELECT src, dst, edge_type, w * share, p FROM xa UNION ALL SELECT src, dst, edge_type, w, p FROM rs) SELECT src, dst, edge_type, 1 + sum(round(n * p, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + sum(round(n * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS beta, count(*) AS n_records FROM u GROUP BY 1, 2, 3",
     "arm_outcomes": f"{_T}{_ARMS} SELECT trial_id, arm_id, array_to_string(compounds, '+') AS compounds, coalesce(own, fb, 'unknown') AS outcome, CASE WHEN own IS NOT NULL THEN 'arm' WHEN fb IS NOT NULL THEN 'trial' ELSE 'none' END AS told_by FROM arm1",
     "arm_differential": f"{_T}{_ARMS} SELECT * FROM sp",

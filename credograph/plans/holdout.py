@@ -85,7 +85,7 @@ _K = f"""WITH {RT_SQL}, ow AS (SELECT *, {_FOLD} AS own FROM re), tf AS (SELECT
 ), s2 AS (SELECT src, dst, edge_type, fold, 1 + sum(round(n * p, 6)::DECIMAL(18,6))::DOUBLE AS a, 1 + sum(round(n * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS b FROM s1 GROUP BY ALL
 ), t1 AS (SELECT tf.*, coalesce(a / (a + b), 0.5) AS r FROM tf LEFT JOIN s2 USING (src, dst, edge_type, fold) WHERE outcome <> 'success'
 ), x1 AS (SELECT *, CASE WHEN sum(1 - r) OVER c > 0 THEN (1 - r) / sum(1 - r) OVER c ELSE 1.0 / count(*) OVER c END AS share, CASE outcome WHEN 'failure' THEN 0.2 ELSE 0.35 END::DOUBLE AS p FROM t1 WHERE branch = 'unknown' AND outcome IN ('failure', 'partial') WINDOW c AS (PARTITION BY chain_id, fold)
-), r0 AS (SELECT *, exp(sum(ln(greatest(r, 1e-12))) OVER (PARTITION BY chain_id, fold)) AS m FROM t1 WHERE branch IN ('efficacy', 'measurement')
+), r0 AS (SELECT *, exp(sum(ln(greatest(r, 1e-12))) OVER (PARTITION BY chain_id, fold)) AS m FROM t1 WHERE branch IN ('efficacy', 'measurement') AND outcome IN ('failure', 'partial')
 ), r1 AS (SELECT *, least(greatest((r - m) / (1 - m), 0.0), 1.0) AS p FROM r0 WHERE 1 - m >= 1e-6
 ), al AS (SELECT * FROM s1 UNION ALL SELECT src, dst, edge_type, fold, w * share, p FROM x1 UNION ALL SELECT src, dst, edge_type, fold, w, p FROM r1
 ), fb AS (SELECT src, dst, edge_type, fold, 1 + sum(round(n * p, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + sum(round(n * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS beta FROM al GROUP BY ALL
