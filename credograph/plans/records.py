@@ -28,6 +28,14 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.ingest(lines, keep, drift.REPLAYED, names=names)
 
 
+def p1_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records have a typed value of each field that drifts most, whatever it was called or typed as in their file."""
+    r = p1_records(spark, sf_dir)
+    fields = {"trial_outcome": "trial_outcome", "primary_endpoint_met": "results__primary_endpoint_met", "failure_mode": "failure_modes__mode"}
+    one = r.agg(*[F.count(c).alias(f) for f, c in fields.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("typed")) for f in fields])))
+
+
 def _nested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return nested.tables(table(spark, sf_dir, "nested_records", "record_id", "payload"))
 
@@ -49,5 +57,16 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.split_packed(df, "compound", ["extraction_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p5_found": p5_found, "p5_arms": p5_arms, "p6_found": p6_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p1_typed": p1_typed, "p5_found": p5_found, "p5_arms": p5_arms, "p6_found": p6_found}
+
+def _stated(path: str, names: list[str]) -> str:
+    return "(" + " OR ".join(f"len(list_filter(json_extract(j, '{path}{n}'), lambda x: json_type(x) <> 'NULL')) > 0" if "*" in path else f"coalesce(json_type(j, '{path}{n}'), 'NULL') <> 'NULL'" for n in names) + ")"
+
+
+#: Names of the three fields in any file, as a reader of the files finds them.
+_OUTCOMES = ["trial_outcome", "outcome", "overall_outcome", "trialOutcome", "trial_result", "verdict"]
+_ENDPOINTS = ["primary_endpoint_met", "endpoint_met", "met_primary", "pe_met", "primaryEndpointMet", "endpoint_reached"]
+_MODES = ["failure_modes", "failureModes", "failures"]
+SQL = {
+    "p1_typed": f"WITH l AS (SELECT ltrim(payload, chr(65279)) AS p FROM feed_lines), r AS (SELECT p::JSON AS j FROM l WHERE json_valid(p) AND json_type(p) = 'OBJECT') SELECT 'trial_outcome' AS field, count(*) AS typed FROM r WHERE {_stated('$.', _OUTCOMES)} UNION ALL SELECT 'primary_endpoint_met', count(*) FROM r WHERE {_stated('$.*.', _ENDPOINTS)} UNION ALL SELECT 'failure_mode', count(*) FROM r WHERE {_stated('$.', _MODES)}",
+}
