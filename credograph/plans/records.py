@@ -63,10 +63,31 @@ def _stated(path: str, names: list[str]) -> str:
     return "(" + " OR ".join(f"len(list_filter(json_extract(j, '{path}{n}'), lambda x: json_type(x) <> 'NULL')) > 0" if "*" in path else f"coalesce(json_type(j, '{path}{n}'), 'NULL') <> 'NULL'" for n in names) + ")"
 
 
+def _opened(j: str) -> str:
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' AND ltrim({j} ->> '$') LIKE '{{%' AND json_valid({j} ->> '$') THEN ({j} ->> '$')::JSON ELSE {j} END"
+
+
+# kinds: l a list field, e an element of one, v anything else; a step opens a node and gives what lies in it
+_WALK = f"""WITH RECURSIVE src AS (SELECT record_id, payload::JSON AS j FROM nested_records WHERE json_valid(payload)
+), two AS (SELECT record_id, {_opened("json_extract(j, '$.therapeutic_hypothesis')")} AS a, {_opened("json_extract(j, '$.results')")} AS b FROM src
+), w AS (
+  SELECT record_id, 'therapeutic_hypothesis.target_population' AS path, '' AS parent, 'l' AS kind, json_extract(a, '$.target_population') AS j FROM two
+  UNION ALL SELECT record_id, 'results.effect_size', '', 'l', json_extract(b, '$.effect_size') FROM two
+  UNION ALL
+  SELECT record_id, n.path, n.parent, n.kind, {_opened("n.j")} FROM (
+    SELECT record_id, unnest(CASE
+      WHEN kind = 'l' AND json_type(o) = 'ARRAY' THEN list_transform(range(json_array_length(o)::BIGINT), lambda i: {{'path': path || '[' || i || ']', 'parent': parent, 'kind': 'e', 'j': json_extract(o, '$[' || i || ']')}})
+      WHEN kind = 'l' THEN [{{'path': path || '[0]', 'parent': parent, 'kind': 'e', 'j': o}}]
+      WHEN json_type(o) = 'OBJECT' THEN list_transform(json_keys(o), lambda k: {{'path': path || '.' || k, 'parent': CASE kind WHEN 'e' THEN path ELSE parent END, 'kind': CASE WHEN k IN ('subgroups', 'features', 'by_arm', 'timepoints', 'arm_incidences') THEN 'l' ELSE 'v' END, 'j': json_extract(o, '$."' || k || '"')}})
+      WHEN json_type(o) = 'ARRAY' THEN list_transform(range(json_array_length(o)::BIGINT), lambda i: {{'path': path || '[' || i || ']', 'parent': CASE kind WHEN 'e' THEN path ELSE parent END, 'kind': 'v', 'j': json_extract(o, '$[' || i || ']')}})
+      ELSE [] END) AS n
+    FROM (SELECT *, {_opened("j")} AS o FROM w WHERE j IS NOT NULL AND json_type(j) <> 'NULL'))
+)"""
 #: Names of the three fields in any file, as a reader of the files finds them.
 _OUTCOMES = ["trial_outcome", "outcome", "overall_outcome", "trialOutcome", "trial_result", "verdict"]
 _ENDPOINTS = ["primary_endpoint_met", "endpoint_met", "met_primary", "pe_met", "primaryEndpointMet", "endpoint_reached"]
 _MODES = ["failure_modes", "failureModes", "failures"]
 SQL = {
+    "p5_found": f"{_WALK} SELECT record_id, path AS row_path, parent AS parent_path FROM w WHERE kind = 'e' AND json_type(j) <> 'NULL' AND NOT (json_type(j) = 'VARCHAR' AND trim(j ->> '$') = '')",
     "p1_typed": f"WITH l AS (SELECT ltrim(payload, chr(65279)) AS p FROM feed_lines), r AS (SELECT p::JSON AS j FROM l WHERE json_valid(p) AND json_type(p) = 'OBJECT') SELECT 'trial_outcome' AS field, count(*) AS typed FROM r WHERE {_stated('$.', _OUTCOMES)} UNION ALL SELECT 'primary_endpoint_met', count(*) FROM r WHERE {_stated('$.*.', _ENDPOINTS)} UNION ALL SELECT 'failure_mode', count(*) FROM r WHERE {_stated('$.', _MODES)}",
 }
