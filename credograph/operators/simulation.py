@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,19 +22,38 @@ def sampled_chains(edges: DataFrame, samples: int = 2000, seed: int = 0) -> Data
     task computes them. Beliefs are re-centred on the informed prior and floored.
     """
     key = F.xxhash64(F.lit(seed), F.col("src").cast("string"), F.col("dst").cast("string"), "edge_type")
-    x = edges.select("chain_id", key.alias("k"), "alpha", "beta")
+    x = edges.select("chain_id", key.alias("k"), "alpha", "beta").repartition("chain_id").sortWithinPartitions("chain_id", "k")
 
-    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
 
-        total = np.zeros(samples)
-        for k, a, b in pdf.sort_values("k")[["k", "alpha", "beta"]].itertuples(index=False):
-            a, b = max(a - 1 + PRIOR_MEAN * PRIOR_STRENGTH, 1e-6), max(b - 1 + (1 - PRIOR_MEAN) * PRIOR_STRENGTH, 1e-6)
-            total += np.exp(-np.clip(np.random.default_rng(int(k) & (2**63 - 1)).beta(a, b, samples), 1e-12, 1) / SOFTMIN_T)
-        p = -SOFTMIN_T * np.log(total / len(pdf))
-        return pd.DataFrame({"chain_id": [pdf["chain_id"].iloc[0]], "efficacy": [p.mean()], "low": [np.quantile(p, 0.025)], "high": [np.quantile(p, 0.975)]})
+        chain, total, n = None, np.zeros(samples), 0
+        out: list[tuple[int, float, float, float]] = []
+
+        def close() -> None:
+            if chain is not None:
+                p = -SOFTMIN_T * np.log(total / n)
+                out.append((chain, p.mean(), np.quantile(p, 0.025), np.quantile(p, 0.975)))
 
-    return x.groupBy("chain_id").applyInPandas(draw, "chain_id long, efficacy double, low double, high double")
+        @lru_cache(maxsize=4096)  # an edge of many chains of a task is drawn once
+        def drawn(k: int, a: float, b: float) -> np.ndarray:
+            a, b = max(a - 1 + PRIOR_MEAN * PRIOR_STRENGTH, 1e-6), max(b - 1 + (1 - PRIOR_MEAN) * PRIOR_STRENGTH, 1e-6)
+            return np.exp(-np.clip(np.random.default_rng(k & (2**63 - 1)).beta(a, b, samples), 1e-12, 1) / SOFTMIN_T)
+
+        columns = ["chain_id", "efficacy", "low", "high"]
+        for pdf in batches:
+            for c, k, a, b in pdf[["chain_id", "k", "alpha", "beta"]].itertuples(index=False):
+                if c != chain:
+                    close()
+                    chain, total, n = c, np.zeros(samples), 0
+                total += drawn(int(k), a, b)
+                n += 1
+            yield pd.DataFrame(out, columns=columns)
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=columns)
+
+    return x.mapInPandas(draw, "chain_id long, efficacy double, low double, high double")
 
 
 def planted(spark, chains: int, edges: int, per_chain: int, seed: int = 0) -> DataFrame:

@@ -49,6 +49,25 @@ def learned_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def edge_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out success probability from the edges of a chain alone: hashed incidence, logistic fit on the other folds."""
+    from functools import reduce
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    y = labels(spark, sf_dir).where("label in ('success', 'failure')").select("chain_id", F.when(F.col("label") == "success", 1.0).otherwise(0.0).alias("y"))
+    e = unpivot(chains(spark, sf_dir), "chain_id", "trial_id").groupBy("chain_id", "trial_id").agg(F.array_sort(F.collect_set(F.concat_ws("|", *KEY))).alias("edges"))
+    x = e.join(y, "chain_id").withColumn("fold", fold(F.col("trial_id"), FOLDS))
+    x = cut(HashingTF(inputCol="edges", outputCol="f", numFeatures=1 << 14, binary=True).transform(x).select("chain_id", "y", "fold", "f"))
+    parts = []
+    for i in range(FOLDS):
+        fit = LogisticRegression(featuresCol="f", labelCol="y", regParam=0.3).fit(x.where(F.col("fold") != i))
+        parts.append(fit.transform(x.where(F.col("fold") == i)).select("chain_id", "y", "fold", F.round(vector_to_array("probability")[1], 6).alias("p")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def combo_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A combination's chance over its parts' edges into the target, each edge once; softmin of their means."""
     b = beliefs(evidence_log(spark, sf_dir)).where("edge_type = 'affects'").select("src", "dst", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("p"))
@@ -135,7 +154,7 @@ def hypothesis_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.cube("phase", "area").agg(F.count("*").alias("n"), F.round(F.avg("y"), 6).alias("rate")).select(F.coalesce("phase", F.lit("all")).alias("phase"), F.coalesce("area", F.lit("all")).alias("area"), "n", "rate")
 
 
-QUERIES = {f.__name__: f for f in (sampled_prediction, planted_recovery, learned_baseline, combo_prediction, combo_prediction_parts, indication_ancestors, resolve_ladder, holdout_provenance, penalty_forms, hypothesis_table)}
+QUERIES = {f.__name__: f for f in (sampled_prediction, planted_recovery, learned_baseline, edge_baseline, combo_prediction, combo_prediction_parts, indication_ancestors, resolve_ladder, holdout_provenance, penalty_forms, hypothesis_table)}
 
 
 SQL = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credograph.functions import belief as B
@@ -83,6 +83,34 @@ def ae_organ_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.where("siblings >= 2").select("target", "organ", "siblings", "strongest", "grades", "serious", (1 + F.col("u").cast("double")).alias("alpha"), (1 + 4 * F.col("siblings") - F.col("u").cast("double")).alias("beta"))
 
 
+def provenance_of_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each trial's edges the records that are its own, from trials of the same first condition, from other trials, and from elsewhere."""
+    log = evidence_log(spark, sf_dir).withColumns({"clinical": F.col("source_type") == "clinical_trial", "condition": F.coalesce(F.get("conditions", F.lit(0)), F.lit(""))})
+    own = log.where("clinical").groupBy(*KEY, "source_id", "condition").agg(F.count("*").alias("own"))
+    same = log.where("clinical").groupBy(*KEY, "condition").agg(F.count("*").alias("s"))
+    whole = log.groupBy(*KEY).agg(F.count_if("clinical").alias("c"), F.count_if(~F.col("clinical")).alias("elsewhere"))
+    x = own.join(same, [*KEY, "condition"]).join(whole, KEY)
+    return x.select(*KEY, "source_id", "own", (F.col("s") - F.col("own")).alias("same"), (F.col("c") - F.col("s")).alias("cross"), "elsewhere")
+
+
+def trial_concordance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each edge's trials the share that points the way most do; edges of several trials only."""
+    per = evidence_log(spark, sf_dir).where("source_type = 'clinical_trial'").groupBy(*KEY, "source_id").agg((F.sum("up") > F.sum("down")).alias("for"), (F.sum("up") < F.sum("down")).alias("against"))
+    x = per.groupBy(*KEY).agg(F.count("*").alias("trials"), F.count_if("for").alias("f"), F.count_if("against").alias("a")).where("trials >= 2")
+    return x.select(*KEY, "trials", F.round(F.greatest("f", "a") / F.col("trials"), 6).alias("concordance"))
+
+
+def trial_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five edges whose means each trial moved most: with all evidence against all but its own; a report a trial."""
+    log = evidence_log(spark, sf_dir)
+    whole = log.groupBy(*KEY).agg(F.sum("up").alias("u"), F.sum("down").alias("d"))
+    own = log.where("source_type = 'clinical_trial'").groupBy(*KEY, "source_id").agg(F.sum("up").alias("ou"), F.sum("down").alias("od"))
+    mean = lambda u, d: (1 + u.cast("double")) / (2 + (u + d).cast("double"))
+    x = own.join(whole, KEY).select("source_id", *KEY, F.round(mean(F.col("u") - F.col("ou"), F.col("d") - F.col("od")), 6).alias("before"), F.round(mean(F.col("u"), F.col("d")), 6).alias("after"))
+    x = x.withColumn("change", F.round(F.abs(F.col("after") - F.col("before")), 6))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("change"), *KEY))).where("rank <= 5").drop("change")
+
+
 def attributed_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beliefs attributed year by year: a year's failures are split by the beliefs that the years before have left, failures included."""
     e = _edges(spark, sf_dir)
@@ -90,7 +118,7 @@ def attributed_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.attribute_epochs(e.join(year, "trial_id"))
 
 
-QUERIES = {f.__name__: f for f in (orphans, trial_edges, unscoped, rekeyed_beliefs, migrated_codenames, retune_overrides, informed_means, modulation_beliefs, ae_organ_class, attributed_by_year)}
+QUERIES = {f.__name__: f for f in (orphans, trial_edges, unscoped, rekeyed_beliefs, migrated_codenames, retune_overrides, informed_means, modulation_beliefs, ae_organ_class, provenance_of_trials, trial_concordance, trial_changes, attributed_by_year)}
 
 SQL = {
     "orphans": f"WITH {EV_SQL} SELECT entity_id, entity_type FROM ref_entities WHERE entity_id NOT IN (SELECT src FROM ev) AND entity_id NOT IN (SELECT dst FROM ev)",
@@ -101,5 +129,8 @@ SQL = {
     "retune_overrides": f"WITH {EV_SQL}, l AS (SELECT ev.*, coalesce(upper((SELECT overall_status FROM trials WHERE nct_id = source_id)) <> 'WITHDRAWN', true) AS keep FROM ev) SELECT src, dst, edge_type, 'soft_contradictions' AS config, 1 + sum(CASE bucket WHEN 'moderate_contradict' THEN round(n_eff * 0.35, 6)::DECIMAL(18,6) ELSE up END)::DOUBLE AS alpha, 1 + sum(CASE bucket WHEN 'moderate_contradict' THEN round(n_eff * 0.65, 6)::DECIMAL(18,6) ELSE down END)::DOUBLE AS beta FROM l GROUP BY ALL UNION ALL SELECT src, dst, edge_type, 'without_withdrawn', 1 + coalesce(sum(up) FILTER (WHERE keep), 0)::DOUBLE, 1 + coalesce(sum(down) FILTER (WHERE keep), 0)::DOUBLE FROM l GROUP BY ALL",
     "informed_means": f"WITH {EV_SQL} SELECT src, dst, edge_type, round(greatest(alpha + 0.5, 1e-6) / (greatest(alpha + 0.5, 1e-6) + greatest(beta - 0.5, 1e-6)), 6) AS mean FROM bel",
     "modulation_beliefs": f"WITH {_ARMS}, al AS (SELECT * FROM arms WHERE len(compounds) > 1 AND arm_id NOT IN (SELECT combo_arm FROM sp)), x AS (SELECT outcome, unnest(compounds) AS a, compounds FROM al), y AS (SELECT outcome, a, unnest(compounds) AS b FROM x), z AS (SELECT a, b, CASE outcome WHEN 'success' THEN 0.65 WHEN 'partial' THEN 0.5 ELSE 0.35 END AS p FROM y WHERE a < b) SELECT a, b, 1 + sum(round(2 * p, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + sum(round(2 * (1 - p), 6)::DECIMAL(18,6))::DOUBLE AS beta, count(*) AS arms FROM z GROUP BY 1, 2",
+    "provenance_of_trials": f"WITH {EV_SQL}, l AS (SELECT *, coalesce(conditions[1], '') AS condition FROM ev), o AS (SELECT src, dst, edge_type, source_id, condition, count(*) AS own FROM l WHERE source_type = 'clinical_trial' GROUP BY ALL) SELECT o.src, o.dst, o.edge_type, o.source_id, own, (SELECT count(*) FROM l WHERE l.src = o.src AND l.dst = o.dst AND l.edge_type = o.edge_type AND l.source_type = 'clinical_trial' AND l.condition = o.condition) - own AS same, (SELECT count(*) FROM l WHERE l.src = o.src AND l.dst = o.dst AND l.edge_type = o.edge_type AND l.source_type = 'clinical_trial' AND l.condition <> o.condition) AS cross, (SELECT count(*) FROM l WHERE l.src = o.src AND l.dst = o.dst AND l.edge_type = o.edge_type AND l.source_type <> 'clinical_trial') AS elsewhere FROM o",
+    "trial_concordance": f"WITH {EV_SQL}, p AS (SELECT src, dst, edge_type, source_id, sign(sum(up) - sum(down)) AS d FROM ev WHERE source_type = 'clinical_trial' GROUP BY ALL) SELECT src, dst, edge_type, count(*) AS trials, round(greatest(count(*) FILTER (WHERE d = 1), count(*) FILTER (WHERE d = -1)) / count(*), 6) AS concordance FROM p GROUP BY ALL HAVING count(*) >= 2",
+    "trial_changes": f"WITH {EV_SQL}, w AS (SELECT src, dst, edge_type, sum(up) AS u, sum(down) AS d FROM ev GROUP BY ALL), o AS (SELECT src, dst, edge_type, source_id, sum(up) AS ou, sum(down) AS od FROM ev WHERE source_type = 'clinical_trial' GROUP BY ALL), m AS (SELECT source_id, src, dst, edge_type, round((1 + (u - ou)::DOUBLE) / (2 + (u - ou + d - od)::DOUBLE), 6) AS before, round((1 + u::DOUBLE) / (2 + (u + d)::DOUBLE), 6) AS after FROM o JOIN w USING (src, dst, edge_type)), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(abs(after - before), 6) DESC, src, dst, edge_type) AS rank FROM m) SELECT * FROM r WHERE rank <= 5",
     "ae_organ_class": f"WITH {_AE}, b AS (SELECT compound, ae, round(alpha / (alpha + beta), 6) AS p, {_case(ORGANS, 'ae')} AS organ, {_case(GRADES, 'ae')} AS grade FROM ab WHERE alpha + beta - 2 >= 1), t AS (SELECT compound, organ, max(p) AS p, arg_max(ae, (p, ae)) AS ae, max(grade) AS g FROM b WHERE organ IS NOT NULL GROUP BY 1, 2), v AS (SELECT target, organ, t.p, t.ae, g, CASE WHEN t.p >= 0.75 THEN 0.95 WHEN t.p >= 0.55 THEN 0.8 WHEN t.p >= 0.40 THEN 0.65 WHEN t.p <= 0.25 THEN 0.35 ELSE 0.5 END AS w FROM t JOIN (SELECT DISTINCT compound, target FROM cc WHERE target IS NOT NULL) USING (compound)) SELECT target, organ, count(*) AS siblings, arg_max(ae, (p, ae)) AS strongest, array_to_string(list_sort(list_distinct(list(g::VARCHAR))), ',') AS grades, max(g) >= 3 AS serious, 1 + sum(round(4 * w, 6)::DECIMAL(18,6))::DOUBLE AS alpha, 1 + 4 * count(*) - sum(round(4 * w, 6)::DECIMAL(18,6))::DOUBLE AS beta FROM v GROUP BY 1, 2 HAVING count(*) >= 2",
 }

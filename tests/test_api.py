@@ -21,3 +21,13 @@ def test_views_agree(spark):
     assert chain["chain_id"] in {r["chain_id"] for r in found}
     assert api.trial(spark, SF, chain["trial_id"]).count() >= 1
     assert api.node(spark, SF, -1).count() == 0
+
+
+def test_annotate_moves_what_the_trial_says(spark):
+    new = "chain_id long, src string, dst string, edge_type string, outcome string, branch string, w double"
+    rows = [(1, "never seen", "target", "affects", "success", "unknown", 10.0), (2, "other", "target", "affects", "failure", "safety", 10.0)]
+    rows += [(3, f"s{i}", "t", "affects", "failure", "unknown", 6.0) for i in range(7)]
+    out = api.annotate(spark, SF, spark.createDataFrame(rows, new)).collect()
+    assert len(out) == 5 and (out[0]["src"], out[0]["before"], round(out[0]["after"], 6)) == ("never seen", 0.5, round((1 + 8) / (2 + 10), 6))
+    assert all(r["after"] < r["before"] for r in out[1:]) and "other" not in {r["src"] for r in out}
+    assert api.annotate(spark, SF, spark.createDataFrame([], new)).count() == 0
