@@ -189,32 +189,36 @@ class Index:
     def matrices(self, found: list[tuple[int, list[str]]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each word of the texts in turn: what it is to the items' words (1 or -1), and the local alignments' scores up to it."""
         height, width = max(len(text) for _, text in found), max(len(self.words[i]) for i, _ in found)
-        same = np.full((height, len(found), width), -1, np.int8)
+        same = np.full((height, width, len(found)), -1, np.int16)
         for n, (item, text) in enumerate(found):
-            held, like = self.places[item], self.like
+            held, like, spelt, at = self.places[item], self.like, self.spelt, []
             for i, w in enumerate(text):
                 if w in held:
-                    same[i, n, held[w]] = 1
-                elif w not in self.spelt or self.spelt[w]:
-                    for x in like(item, w):
-                        same[i, n, held[x]] = 1
-        at = np.arange(width, dtype=np.int16)
-        score = np.zeros((len(found), width + 1), np.int16)
+                    at += [(i, j) for j in held[w]]
+                elif w not in spelt or spelt[w]:
+                    at += [(i, j) for x in like(item, w) for j in held[x]]
+            if at:
+                i, j = np.array(at).T
+                same[i, j, n] = 1
+        at = np.arange(width, dtype=np.int16)[:, None]
+        score = np.zeros((width + 1, len(found)), np.int16)
+        x, skipped = np.empty((width, len(found)), np.int16), np.empty((width, len(found)), np.int16)
         for row in same:
-            x = np.maximum(score[:, :-1] + row, score[:, 1:] - 1)
+            np.add(score[:-1], row, out=x)
+            np.subtract(score[1:], 1, out=skipped)
+            np.maximum(x, skipped, out=x)
             np.maximum(x, 0, out=x)
             x += at  # a word of the item left out costs one: the running maximum over the item
-            np.maximum.accumulate(x, axis=1, out=x)
-            x -= at
-            score[:, 1:] = x
+            np.maximum.accumulate(x, axis=0, out=x)
+            np.subtract(x, at, out=score[1:])
             yield row, score
 
     def scores(self, found: list[tuple[int, list[str]]]) -> list[int]:
         """The best local alignment's score of each item and text, all in one pass."""
-        best = np.zeros(len(found), np.int16)
+        best = np.zeros((1, 1), np.int16)
         for _, score in self.matrices(found):
-            np.maximum(best, score.max(axis=1), out=best)
-        return best.tolist()
+            best = np.maximum(best, score)
+        return best.max(axis=0).tolist()
 
     def alignments(self, found: list[tuple[int, list[str]]]) -> list[tuple[int, int, float]]:
         """Score, matched words and evidence of the best local alignment of each item and text: what ``alignment`` gives."""
@@ -222,12 +226,12 @@ class Index:
         same, score = np.array([x for x, _ in rows]), np.array([x for _, x in rows])
         out = []
         for n, (item, text) in enumerate(found):
-            mine = np.vstack([np.zeros((1, score.shape[2]), np.int16), score[: len(text), n]])
+            mine = np.vstack([np.zeros((1, score.shape[1]), np.int16), score[: len(text), :, n]])
             i, j = divmod(int(mine[:, : len(self.words[item]) + 1].argmax()), len(self.words[item]) + 1)
             best, matched, evidence, worth = int(mine[i, j]), 0, 0.0, self.worth[item]
             while i and j and mine[i, j] > 0:
-                if mine[i, j] == mine[i - 1, j - 1] + same[i - 1, n, j - 1]:
-                    hit = same[i - 1, n, j - 1] > 0
+                if mine[i, j] == mine[i - 1, j - 1] + same[i - 1, j - 1, n]:
+                    hit = same[i - 1, j - 1, n] > 0
                     matched += int(hit)
                     evidence += worth[j - 1] if hit else -worth[j - 1]
                     i, j = i - 1, j - 1
