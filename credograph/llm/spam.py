@@ -44,7 +44,8 @@ TAG = re.compile(r"<[/!?a-zA-Z][^<>]*>")
 META = re.compile(r"<meta\b[^>]*\bcontent\s*=\s*\"([^\"]*)\"[^>]*>", re.I)
 OFFER = re.compile(r"[$€£¥₹]\s?\d|\d\s?[$€£¥₹]")
 WORD = re.compile(r"[^\W_]+(?:[-'’,][^\W_]+)*")
-SENTENCE = re.compile(r"[^.!?\n]*[.!?]+[\"'”)]*(?:\s|$)|[^.!?\n]+(?:\n|$)")
+#: A sentence, or (without a group) text up to a mark that ends none, which is passed over in one go.
+SENTENCE = re.compile(r"([^.!?\n]*[.!?]+[\"'”)]*(?:\s|$)|[^.!?\n]+(?:\n|$))|[^.!?\n]*[.!?]+")
 SEPARATORS = ("\n", "»", "|", "•", "#", ";", " / ", ", ", " - ", " · ")
 
 
