@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from credograph.functions import belief as B
-from credograph.plans.base import EV_SQL, beliefs, evidence_log
+from credograph.functions import text as X
+from credograph.plans.base import CH_SQL, EV_SQL, beliefs, chains, evidence_log
+from credograph.plans.vocabulary import _DIR
 from credograph.sources.tables import table
 
 KEY = ["src", "dst", "edge_type"]
@@ -97,8 +99,12 @@ def family_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def direction_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Belief without the mass of the opposite direction, backed off to the whole; direction: significant or not."""
-    log = evidence_log(spark, sf_dir).withColumn("opposite", F.coalesce(F.col("p_value") >= 0.05, F.lit(False)))
+    """Belief as a chain that suppresses its target sees it: without records of trials that activate theirs, backed off to the whole.
+
+    A trial's direction is that of most of its mechanisms; records without one stay.
+    """
+    d = chains(spark, sf_dir).select(F.col("trial_id").alias("source_id"), X.direction(F.col("mechanism")).alias("d")).groupBy("source_id").agg((F.count_if(F.col("d") == "agonist") > F.count_if(F.col("d") == "antagonist")).alias("opposite"))
+    log = evidence_log(spark, sf_dir).join(d, "source_id", "left").withColumn("opposite", F.coalesce("opposite", F.lit(False)))
     x = log.groupBy(*KEY).agg(*[F.sum(c).cast("double").alias(c) for c in ("up", "down")], *[F.sum(F.when(F.col("opposite"), F.col(c)).otherwise(0)).cast("double").alias(f"o_{c}") for c in ("up", "down")])
     whole = (1 + F.col("up"), 1 + F.col("down"))
     child = [F.greatest(1 + F.col(c) - F.col(f"o_{c}"), F.lit(1e-6)) for c in ("up", "down")]
@@ -157,7 +163,7 @@ SQL = {
     "trajectory": f"{_W}, r AS (SELECT src, dst, edge_type, seq, 1 + (sum(up) OVER w)::DOUBLE AS alpha, 1 + (sum(down) OVER w)::DOUBLE AS beta, count(*) OVER w AS n_records FROM ev WINDOW w AS (PARTITION BY src, dst, edge_type ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) SELECT *, {_P} AS p FROM r",
     "cluster_order": f"{_W} SELECT a.seq, count(b.seq) AS earlier FROM ev a LEFT JOIN ev b ON a.src = b.src AND a.dst = b.dst AND a.edge_type = b.edge_type AND a.source_type = b.source_type AND (b.ts < a.ts OR b.ts = a.ts AND b.seq < a.seq) GROUP BY 1",
     "family_backoff": f"{_W}, f AS (SELECT *, floor((dst - 5001) / 4.0) AS family FROM ev), t0 AS (SELECT src, edge_type, 1 + sum(up)::DOUBLE AS a0, 1 + sum(down)::DOUBLE AS b0 FROM f GROUP BY ALL), t1 AS (SELECT src, edge_type, family, 1 + sum(up)::DOUBLE AS a1, 1 + sum(down)::DOUBLE AS b1 FROM f GROUP BY ALL), t2 AS (SELECT src, dst, edge_type, family, 1 + sum(up)::DOUBLE AS a2, 1 + sum(down)::DOUBLE AS b2 FROM f GROUP BY ALL), j AS (SELECT * FROM t2 JOIN t1 USING (src, edge_type, family) JOIN t0 USING (src, edge_type)), k AS (SELECT *, a0 * least(1, 20 / (a0 + b0)) + greatest(a1 - 1, 0) AS pa, b0 * least(1, 20 / (a0 + b0)) + greatest(b1 - 1, 0) AS pb FROM j)" + _POOL.format(a="pa", b="pb", x="a2", y="b2", t="k"),
-    "direction_filtered": f"{_W}, s AS (SELECT src, dst, edge_type, 1 + sum(up)::DOUBLE AS a, 1 + sum(down)::DOUBLE AS b, greatest(1 + sum(up)::DOUBLE - coalesce(sum(up) FILTER (WHERE p_value >= 0.05), 0)::DOUBLE, 1e-6) AS x, greatest(1 + sum(down)::DOUBLE - coalesce(sum(down) FILTER (WHERE p_value >= 0.05), 0)::DOUBLE, 1e-6) AS y FROM ev GROUP BY ALL)" + _POOL.format(a="a", b="b", x="x", y="y", t="s"),
+    "direction_filtered": f"WITH {CH_SQL}, {EV_SQL}, td AS (SELECT trial_id, count(*) FILTER (WHERE {_DIR.format('mechanism')} > 0) > count(*) FILTER (WHERE {_DIR.format('mechanism')} < 0) AS opposite FROM ch GROUP BY 1), ed AS (SELECT ev.*, coalesce(opposite, false) AS opposite FROM ev LEFT JOIN td ON trial_id = source_id), s AS (SELECT src, dst, edge_type, 1 + sum(up)::DOUBLE AS a, 1 + sum(down)::DOUBLE AS b, greatest(1 + sum(up)::DOUBLE - coalesce(sum(up) FILTER (WHERE opposite), 0)::DOUBLE, 1e-6) AS x, greatest(1 + sum(down)::DOUBLE - coalesce(sum(down) FILTER (WHERE opposite), 0)::DOUBLE, 1e-6) AS y FROM ed GROUP BY ALL)" + _POOL.format(a="a", b="b", x="x", y="y", t="s"),
     "capped_beliefs": f"{_W} SELECT src, dst, edge_type, round(alpha * least(1, 20 / (alpha + beta)), 6) AS alpha, round(beta * least(1, 20 / (alpha + beta)), 6) AS beta FROM bel",
     "bucket_flips": f"{_W} SELECT bucket, CASE WHEN bucket LIKE '%support' THEN replace(bucket, 'support', 'contradict') WHEN bucket LIKE '%contradict' THEN replace(bucket, 'contradict', 'support') ELSE bucket END AS flipped, count(*) AS n FROM ev GROUP BY 1, 2",
     "modulation_buckets": "WITH m AS (SELECT confidence_overall AS c, unnest(edges_to_update) AS u FROM classifications), x AS (SELECT u.edge_type AS edge_type, CASE WHEN u.support IN ('strong', 'moderate') THEN 'support' WHEN u.support = 'weak' THEN 'contradict' END AS side, CASE WHEN c >= 0.85 THEN 'strong' WHEN c >= 0.7 THEN 'moderate' WHEN c >= 0.55 THEN 'weak' END AS grade FROM m) SELECT edge_type, CASE WHEN side IS NULL OR grade IS NULL THEN 'ambiguous' ELSE grade || '_' || side END AS bucket, count(*) AS n FROM x GROUP BY 1, 2",

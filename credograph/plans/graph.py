@@ -90,9 +90,9 @@ def ae_risk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed names that a condition's sponsor, or its first word, is part of; the reference list is bounded."""
+    """The listed entity, of the smallest id, whose name is one of a compound's words."""
     names = table(spark, sf_dir, "ref_entities", "entity_id", "canonical_name").select("entity_id", F.lower("canonical_name").alias("name"))
-    q = chains(spark, sf_dir).select("compound").distinct().where("compound is not null and length(compound) >= 4")
+    q = chains(spark, sf_dir).select("compound").distinct().where("compound is not null")
     parts = q.select("compound", F.explode(F.array_distinct(F.split("compound", r"[^\p{L}\p{Nd}]+"))).alias("name"))
     return parts.join(names, "name").groupBy("compound").agg(F.min("entity_id").alias("entity_id"))
 
@@ -191,7 +191,7 @@ SQL = {
     "trial_subgraph": f"{_T}{CH_SQL}, e AS (SELECT DISTINCT trial_id, src, dst, edge_type FROM ce), n AS (SELECT trial_id, src AS node FROM e UNION SELECT trial_id, dst FROM e), k AS (SELECT trial_id, count(*) AS nodes FROM n GROUP BY 1) SELECT trial_id, count(*) AS edges, any_value(nodes) AS nodes FROM e JOIN k USING (trial_id) GROUP BY 1",
     "target_siblings": f"{_T}{EV_SQL}, b AS (SELECT DISTINCT src, dst FROM ev WHERE edge_type = 'affects'), n AS (SELECT dst, count(*) - 1 AS others FROM b GROUP BY 1) SELECT src, count(*) AS targets, sum(others)::BIGINT AS siblings FROM b JOIN n USING (dst) GROUP BY 1",
     "ae_risk_retrieval": f"{_T}{EV_SQL}, p AS (SELECT src, dst, round(alpha / (alpha + beta), 6) AS p, alpha + beta - 2 AS s FROM bel WHERE edge_type = 'target_associated_ae' AND alpha + beta - 2 >= 1), r AS (SELECT src, dst, p, row_number() OVER (PARTITION BY src ORDER BY round(p * s, 6) DESC, dst) AS rank FROM p WHERE p >= 0.4) SELECT * FROM r WHERE rank <= 10",
-    "name_lookup": f"{_T}{CH_SQL}, q AS (SELECT DISTINCT compound FROM ch WHERE length(compound) >= 4), p AS (SELECT compound, unnest(list_distinct(string_split_regex(compound, '[^\\p{{L}}\\p{{Nd}}]+'))) AS name FROM q) SELECT compound, min(entity_id) AS entity_id FROM p JOIN ref_entities ON name = lower(canonical_name) GROUP BY 1",
+    "name_lookup": f"{_T}{CH_SQL}, q AS (SELECT DISTINCT compound FROM ch WHERE compound IS NOT NULL), p AS (SELECT compound, unnest(list_distinct(string_split_regex(compound, '[^\\p{{L}}\\p{{Nd}}]+'))) AS name FROM q) SELECT compound, min(entity_id) AS entity_id FROM p JOIN ref_entities ON name = lower(canonical_name) GROUP BY 1",
     "population_subsets": f"{_T}{CH_SQL}, f AS (SELECT chain_id, list_sort(list_filter({_AXES}, lambda a: list_contains(string_split(population, ' '), a))) AS f FROM ch WHERE population IS NOT NULL), m AS (SELECT chain_id, f, unnest(range(1, (1 << len(f)))) AS m FROM f WHERE len(f) > 0), s AS (SELECT chain_id, array_to_string(list_filter(f, lambda x, i: ((m >> (i - 1)::BIGINT) & 1) = 1), '__') AS population_id FROM m) SELECT population_id, count(*) AS chains FROM s GROUP BY 1",
     "biology_bridges": f"{_T}{CH_SQL}, p AS (SELECT biology, indication, avg(CASE outcome WHEN 'success' THEN 1.0 ELSE 0.0 END) AS m, count(*) AS n FROM ci WHERE biology IS NOT NULL AND outcome <> 'unknown' GROUP BY 1, 2) SELECT biology, count(*) AS sides, sum(n)::BIGINT AS uses, round(max(m) - min(m), 6) AS spread, arg_max(indication, (round(m, 9), indication)) AS high, arg_min(indication, (round(m, 9), indication)) AS low FROM p GROUP BY 1 HAVING count(*) >= 2",
     "mechanism_bridges": f"{_T}{CH_SQL} SELECT src, dst, count(DISTINCT indication) AS indications, count(DISTINCT trial_id) AS trials FROM cei WHERE edge_type = 'mechanism_affects' GROUP BY 1, 2 HAVING count(DISTINCT indication) >= 2",
