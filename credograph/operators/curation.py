@@ -115,3 +115,19 @@ def filled(found: DataFrame, extra: DataFrame, key: str, column: str) -> DataFra
     empty = F.col(column).isNull() | ((F.size(column) == 0) if kind.startswith("array") else (F.trim(column) == ""))
     e = extra.groupBy(key).agg(F.min(column).alias("__e"))
     return found.join(e, key, "left").withColumn(column, F.when(empty, F.coalesce("__e", column)).otherwise(F.col(column))).drop("__e")
+
+
+def event_parents(terms: DataFrame, tables: dict[str, DataFrame], names: DataFrame) -> DataFrame:
+    """``term, hlt, hlgt, soc, soc_name`` of adverse-event terms (slugs): up the levels as far as the tables lead.
+
+    ``tables`` has ``hlt``, ``hlgt`` and ``soc`` (``child, parent`` from the level below) and ``direct`` (a
+    term's organ class where the levels don't lead there); ``names`` has ``soc, soc_name``. A term's own
+    ``fallback`` name of its class counts last. Of several parents the smallest counts.
+    """
+    up = {k: t.groupBy("child").agg(F.min("parent").alias(k)) for k, t in tables.items()}
+    x = terms.select("term", "fallback").join(up["hlt"].withColumnRenamed("child", "term"), "term", "left")
+    x = x.join(up["hlgt"].withColumnRenamed("child", "hlt"), "hlt", "left").join(up["soc"].withColumnRenamed("child", "hlgt"), "hlgt", "left")
+    x = x.join(up["direct"].withColumnRenamed("child", "term"), "term", "left")
+    by_name = names.groupBy(F.lower("soc_name").alias("n")).agg(F.min("soc").alias("named"))
+    x = x.join(by_name, F.lower("fallback") == F.col("n"), "left").withColumn("soc", F.coalesce("soc", "direct", "named"))
+    return x.join(names.groupBy("soc").agg(F.min("soc_name").alias("soc_name")), "soc", "left").select("term", "hlt", "hlgt", "soc", "soc_name")

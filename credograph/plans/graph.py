@@ -129,15 +129,22 @@ def chain_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy(F.when(F.col("k") == 0, "zero").when(F.col("k") < F.col("n"), "partial").otherwise("full").alias("coverage")).agg(F.count("*").alias("trials"))
 
 
+# Edges that a node of each role has to have, into it or out of it.
+CONTRACT = [
+    ("compound", "out", "affects"), ("target", "in", "affects"), ("target", "out", "modulates_via"), ("mechanism", "in", "modulates_via"), ("mechanism", "out", "mechanism_affects"), ("biology", "in", "mechanism_affects"),
+    ("biology", "out", "biology_drives"), ("biology", "out", "reflects_biology"), ("endpoint", "in", "reflects_biology"), ("endpoint", "out", "endpoint_captures"), ("indication", "in", "biology_drives"),
+]
+
+
 def completeness_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes that lack an edge their role calls for."""
-    e = cut(unpivot(chains(spark, sf_dir), "chain_id"))
-    out, into = e.select(F.col("src").alias("node"), "edge_type").distinct(), e.select(F.col("dst").alias("node"), "edge_type").distinct()
-    targets = into.where("edge_type = 'affects'").select("node")
-    mechanisms = into.where("edge_type = 'modulates_via'").select("node")
-    a = targets.join(out.where("edge_type = 'modulates_via'"), "node", "left_anti").withColumn("lacks", F.lit("modulates_via"))
-    b = mechanisms.join(out.where("edge_type = 'mechanism_affects'"), "node", "left_anti").withColumn("lacks", F.lit("mechanism_affects"))
-    return a.unionByName(b)
+    """Nodes of the chains that lack an edge their role calls for, by role, side and edge type."""
+    c = cut(chains(spark, sf_dir))
+    roles = F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("node")) for r in ("compound", "target", "mechanism", "biology", "endpoint")])
+    nodes = c.select(F.inline(F.concat(roles, F.transform("indications", lambda i: F.struct(F.lit("indication").alias("role"), i.alias("node")))))).where("node is not null").distinct()
+    wanted = nodes.join(F.broadcast(spark.createDataFrame(CONTRACT, "role string, side string, edge_type string")), "role")
+    e = unpivot(c, "chain_id")
+    there = e.select(F.explode(F.array(F.struct(F.lit("out").alias("side"), F.col("src").alias("node"), "edge_type"), F.struct(F.lit("in").alias("side"), F.col("dst").alias("node"), "edge_type"))).alias("x")).select("x.*").distinct()
+    return wanted.join(there, ["side", "node", "edge_type"], "left_anti").select("role", "node", F.concat_ws(" ", "side", "edge_type").alias("lacks"))
 
 
 def integrity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,7 +204,7 @@ SQL = {
     "mechanism_bridges": f"{_T}{CH_SQL} SELECT src, dst, count(DISTINCT indication) AS indications, count(DISTINCT trial_id) AS trials FROM cei WHERE edge_type = 'mechanism_affects' GROUP BY 1, 2 HAVING count(DISTINCT indication) >= 2",
     "census": f"{_T}{CH_SQL}, k AS (SELECT src, dst, edge_type, count(DISTINCT indication) AS k FROM cei GROUP BY ALL) SELECT edge_type, count(*) AS edges, sum(CASE WHEN k >= 2 THEN 1 ELSE 0 END)::BIGINT AS shared, max(k) AS most FROM k GROUP BY 1",
     "chain_coverage": f"{_T}{RT_SQL}, p AS (SELECT trial_id, count(*) AS n, count(sb.n_records) AS k FROM re LEFT JOIN sb USING (src, dst, edge_type) GROUP BY 1) SELECT CASE WHEN k = 0 THEN 'zero' WHEN k < n THEN 'partial' ELSE 'full' END AS coverage, count(*) AS trials FROM p GROUP BY 1",
-    "completeness_audit": f"{_T}{CH_SQL} SELECT DISTINCT dst AS node, 'modulates_via' AS lacks FROM ce WHERE edge_type = 'affects' AND dst NOT IN (SELECT src FROM ce WHERE edge_type = 'modulates_via') UNION ALL SELECT DISTINCT dst, 'mechanism_affects' FROM ce WHERE edge_type = 'modulates_via' AND dst NOT IN (SELECT src FROM ce WHERE edge_type = 'mechanism_affects')",
+    "completeness_audit": f"{_T}{CH_SQL}, n AS (SELECT 'compound' AS role, compound AS node FROM ch UNION SELECT 'target', target FROM ch UNION SELECT 'mechanism', mechanism FROM ch UNION SELECT 'biology', biology FROM ch UNION SELECT 'endpoint', endpoint FROM ch UNION SELECT 'indication', indication FROM ci), k(role, side, t) AS (VALUES ('compound', 'out', 'affects'), ('target', 'in', 'affects'), ('target', 'out', 'modulates_via'), ('mechanism', 'in', 'modulates_via'), ('mechanism', 'out', 'mechanism_affects'), ('biology', 'in', 'mechanism_affects'), ('biology', 'out', 'biology_drives'), ('biology', 'out', 'reflects_biology'), ('endpoint', 'in', 'reflects_biology'), ('endpoint', 'out', 'endpoint_captures'), ('indication', 'in', 'biology_drives')) SELECT n.role, node, side || ' ' || t AS lacks FROM n JOIN k ON k.role = n.role WHERE node IS NOT NULL AND NOT EXISTS (SELECT 1 FROM ce WHERE edge_type = t AND ((side = 'out' AND src = node) OR (side = 'in' AND dst = node)))",
     "integrity_audit": f"{_T}{CH_SQL}, r AS (SELECT chain_id, unnest([CASE WHEN compound IS NULL THEN 'no compound' END, CASE WHEN target IS NULL THEN 'no target' END, CASE WHEN mechanism IS NULL THEN 'no mechanism' END, CASE WHEN biology IS NULL THEN 'no biology' END, CASE WHEN indication IS NULL THEN 'no indication' END, CASE WHEN target = mechanism THEN 'same target and mechanism' END]) AS reason FROM ch) SELECT * FROM r WHERE reason IS NOT NULL",
     "provenance_split": f"{_T}{EV_SQL}, x AS (SELECT src, dst, edge_type, count(*) FILTER (WHERE source_type = 'clinical_trial') AS clinical, count(*) FILTER (WHERE source_type = 'database') AS database, count(DISTINCT conditions[1]) AS conditions FROM ev GROUP BY ALL) SELECT *, CASE WHEN clinical = 0 THEN 'no trial' WHEN conditions > 1 THEN 'cross' ELSE 'same' END AS kind FROM x",
     "group_rate_baseline": f"{_T}{CH_SQL}, y AS (SELECT chain_id, indication, CASE outcome WHEN 'success' THEN 1.0::DOUBLE ELSE 0 END AS y FROM ci WHERE outcome IN ('success', 'failure')) SELECT *, round((sum(y) OVER w - y + 1.0) / (count(*) OVER w - 1 + 2.0), 6) AS rate FROM y WINDOW w AS (PARTITION BY indication)",

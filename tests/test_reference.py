@@ -85,6 +85,15 @@ def test_descriptions_and_answers(spark):
     assert {(r["k"], tuple(r["v"] or ())) for r in curation.filled(f, e, "k", "v").collect()} == {("a", ("y",)), ("b", ("z",)), ("c", ("x",)), ("d", ())}
 
 
+def test_parents_of_events(spark):
+    t = lambda *rows: spark.createDataFrame(rows, "child string, parent string")
+    tables = {"hlt": t(("af", "arrhythmia"), ("odd", "nowhere")), "hlgt": t(("arrhythmia", "rhythm")), "soc": t(("rhythm", "S1")), "direct": t(("rash", "S2"), ("af", "S9"))}
+    names = spark.createDataFrame([("S1", "Cardiac disorders"), ("S2", "Skin"), ("S3", "General")], "soc string, soc_name string")
+    terms = spark.createDataFrame([("af", None), ("rash", "General"), ("odd", "general"), ("new", "what"), ("new2", None)], "term string, fallback string")
+    got = {r["term"]: tuple(r)[1:] for r in curation.event_parents(terms, tables, names).collect()}
+    assert got == {"af": ("arrhythmia", "rhythm", "S1", "Cardiac disorders"), "rash": (None, None, "S2", "Skin"), "odd": ("nowhere", None, "S3", "General"), "new": (None, None, None, None), "new2": (None, None, None, None)}
+
+
 @pytest.fixture()
 def study():
     return {"protocolSection": {"identificationModule": {"nctId": "NCT9"}, "armsInterventionsModule": {"armGroups": []}, "outcomesModule": {"primaryOutcomes": [{"measure": "OS"}]}, "eligibilityModule": {"sex": "ALL"}, "referencesModule": {"references": [{"pmid": "1"}]}},
