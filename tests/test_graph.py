@@ -26,3 +26,26 @@ def test_all_simple_paths_of_up_to_six_hops(spark):
     want = {p for a, b in pairs if a != b for p in brute(edges, a, b, 6)}
     assert {(x["src"], x["tgt"], tuple(x["nodes"]), tuple(x["edge_types"])) for x in got} == want and len(got) == len(want)
     assert all(x["hops"] == len(x["edge_types"]) for x in got) and {x["hops"] for x in got} >= {1, 3, 6}
+
+
+def test_paths_are_not_stored_on_the_way(spark, monkeypatch):
+    """12^4 paths over 456 edges: no table written holds more rows than the edges, and none is joined by a shuffle."""
+    layers = [["s"], *[[f"{k}{i}" for i in range(12)] for k in "abcd"], ["t"]]
+    edges = [(a, b, "x") for here, there in zip(layers, layers[1:]) for a in here for b in there]
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: (written.append(cut(df)), written[-1])[1])
+    got = graph.simple_paths(spark.createDataFrame(edges, "src string, dst string, edge_type string"), spark.createDataFrame([("s", "t")], "src string, tgt string"))
+    assert got.count() == got.distinct().count() == 12**4
+    assert max(df.count() for df in written) <= len(edges)
+    assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_paths_of_edges_too_many_to_broadcast(spark):
+    r = random.Random(6)
+    edges = {(f"n{r.randrange(9)}", f"n{r.randrange(9)}", r.choice("xy")) for _ in range(22)}
+    pairs = [(f"n{i}", f"n{j}") for i in range(9) for j in range(9)]
+    args = spark.createDataFrame([*edges], "src string, dst string, edge_type string"), spark.createDataFrame(pairs, "src string, tgt string")
+    got = graph.simple_paths(*args, broadcast_bytes=0).collect()
+    want = {p for a, b in pairs if a != b for p in brute([*edges], a, b, 6)}
+    assert {(x["src"], x["tgt"], tuple(x["nodes"]), tuple(x["edge_types"])) for x in got} == want and len(got) == len(want)
+    assert sorted(got) == sorted(graph.simple_paths(*args).collect())
