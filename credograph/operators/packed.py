@@ -25,8 +25,8 @@ TOKEN = r"[nN]/[aA](?!\p{L})|\p{L}+|\p{Nd}+|\r?\n|[^\S\r\n]+|."
 PHRASES = ["I~M~W", "C~W", "F~B", "A", "P", "W"]
 CLOSING = {'"': '"', "“": "”", "'": "'", "‘": "’", "„": "“", "«": "»"}
 SIGNS = ";；|•\n&+,/"
-#: Up to so many distinct skeletons are broadcast; beyond, the join is salted.
-BROADCAST_ROWS = 50_000
+#: Up to so many distinct skeletons, and bytes of them and their rules in memory, are broadcast; beyond, the join is salted.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 64_000_000
 
 
 def tokens(value: Column) -> Column:
@@ -129,15 +129,15 @@ def cuts(skeletons: DataFrame) -> DataFrame:
     return skeletons.where("s <> ''").select("s", F.expr(found).alias("cuts"))
 
 
-def split_packed(df: DataFrame, value: str, keep: list[str], pos: str = "pos", item: str = "item_value", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def split_packed(df: DataFrame, value: str, keep: list[str], pos: str = "pos", item: str = "item_value", broadcast_rows: int = BROADCAST_ROWS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``keep`` columns and, for each value packed in ``value``, its position from 1 and its text.
 
     Null, empty and blank fields and fields of nothing but delimiters give no row; repeated
     rows give repeated results; texts of any length are cut. Columns named like the
     output's are not carried along unless they are in ``keep``, where ``pos`` and
     ``item`` have to be given other names. A skeleton shared by a third of the rows does
-    no harm: rules are broadcast while at most ``broadcast_rows`` of them exist (counted
-    first) and joined salted beyond.
+    no harm: rules are broadcast while at most ``broadcast_rows`` of them exist, of at most
+    ``broadcast_bytes`` (counted first), and joined salted beyond, never broadcast.
     """
     if clash := {pos, item} & set(keep):
         raise ValueError(f"{sorted(clash)} would be both kept and made")
@@ -145,11 +145,13 @@ def split_packed(df: DataFrame, value: str, keep: list[str], pos: str = "pos", i
     base = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(value).alias("__v")).where(F.trim(F.regexp_replace("__v", r"\s+", " ")) != "")
     base = base.withColumn("__t", tokens(F.col("__v"))).withColumn("__s", skeleton(F.col("__t"))).drop("__v")
     rules = cut(cuts(base.select(F.col("__s").alias("s")).distinct()).select(F.col("s").alias("__s"), F.col("cuts").alias("__r")))
-    if rules.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    n, size = rules.agg(F.count("*"), F.coalesce(F.sum(2 * F.octet_length("__s") + 32 * F.size("__r") + 100), F.lit(0))).first()
+    if n <= broadcast_rows and size <= broadcast_bytes:
         joined = base.join(F.broadcast(rules), "__s")
     else:
         salts = 32
-        wide = rules.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        # the planner knows the file's size only, which is far below that of the salted rows, and would broadcast them
+        wide = rules.withColumn("__z", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
         joined = base.withColumn("__z", F.pmod(F.xxhash64(*kept, "__s"), F.lit(salts)).cast("int")).join(wide, ["__s", "__z"])
     return joined.select(*kept, "__t", F.posexplode("__r").alias("__p", "__c")).select(
         *[F.col(k).alias(c) for c, k in zip(keep, kept)],

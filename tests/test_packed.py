@@ -74,6 +74,15 @@ def test_salted_join_gives_the_same(spark):
     assert sorted(split_packed(df, "v", ["id"]).collect()) == sorted(split_packed(df, "v", ["id"], broadcast_rows=1).collect())
 
 
+@pytest.mark.parametrize("most", [{"broadcast_rows": 1}, {"broadcast_bytes": 1000}])
+def test_rules_beyond_the_limits_are_not_broadcast(spark, most):
+    """Their file is small enough for the planner to broadcast them of its own accord, salted."""
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(CASES)], "id long, v string")
+    out = split_packed(df, "v", ["id"], **most)
+    assert sorted(out.collect()) == sorted(split_packed(df, "v", ["id"]).collect())
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("seed", [3, 4])
 def test_rules_against_a_walk_over_the_characters(spark, seed):
     """Random skeletons, rules in SQL against the same rules in a loop."""
