@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from credograph.operators import graph
 
@@ -50,3 +53,26 @@ def test_paths_of_edges_too_many_to_broadcast(spark):
     want = {p for a, b in pairs if a != b for p in brute([*edges], a, b, 6)}
     assert {(x["src"], x["tgt"], tuple(x["nodes"]), tuple(x["edge_types"])) for x in got} == want and len(got) == len(want)
     assert sorted(got) == sorted(graph.simple_paths(*args).collect())
+
+
+def test_paths_through_a_hub_are_shared_by_all_tasks(spark):
+    """One pair whose target has 240 mechanisms: 480 paths, a sixteenth in each task, and those of a mechanism all in one."""
+    mids = [f"m{i}" for i in range(240)]
+    edges = [("s", "h", "x"), *[("h", m, "x") for m in mids], *[(m, f"b{i % 2}", "x") for m in mids for i in range(2)], *[(f"b{i}", "t", "x") for i in range(2)]]
+    got = graph.simple_paths(spark.createDataFrame(edges, "src string, dst string, edge_type string"), spark.createDataFrame([("s", "t")], "src string, tgt string"))
+    tasks = got.select(F.get("nodes", F.lit(2)).alias("mid"), F.spark_partition_id().alias("task")).collect()
+    assert len(tasks) == 480 and len({(x["mid"], x["task"]) for x in tasks}) == 240
+    each = Counter(x["task"] for x in tasks)
+    assert len(each) == 4 * spark.sparkContext.defaultParallelism and max(each.values()) == 30
+
+
+def test_paths_to_more_goals_than_a_mask_has_bits(spark):
+    r = random.Random(7)
+    edges = [*{(f"n{r.randrange(150)}", f"n{r.randrange(150)}", r.choice("xy")) for _ in range(260)}]
+    pairs = [(f"n{r.randrange(150)}", f"n{i}") for i in range(150) for _ in range(3)]
+    args = spark.createDataFrame(edges, "src string, dst string, edge_type string"), spark.createDataFrame(pairs, "src string, tgt string")
+    want = {p for a, b in {*pairs} if a != b for p in brute(edges, a, b, 6)}
+    assert len({x[1] for x in want}) > 64
+    for how in ({}, {"broadcast_bytes": 0}):
+        got = graph.simple_paths(*args, **how).collect()
+        assert {(x["src"], x["tgt"], tuple(x["nodes"]), tuple(x["edge_types"])) for x in got} == want and len(got) == len(want)
